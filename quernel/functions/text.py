@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters, digits and underscore over all of Unicode; a bare ``\w`` is ASCII in Java and RE2.
 WORD = r"[\p{L}\p{N}_]+"
@@ -14,12 +15,12 @@ NOT_WORD = r"[^\p{L}\p{N}_]"
 _CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(s: pd.Series) -> pd.Series:
     def one(x):
         return None if x is None else unicodedata.normalize("NFC", unicodedata.normalize("NFC", x).casefold())
