@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import cutoff, leakage, mixing, packing, prose, repetition, tokenizing
+from quernel.llm import cutoff, leakage, mixing, packing, prose, provenance, repetition, tokenizing
 from quernel.sources.tables import table
 
 
@@ -28,6 +28,14 @@ def p1_repetition(spark, folder):
     return repetition.repetitive_records(_records(spark, folder))
 
 
+def p2_found(spark, folder):
+    return provenance.machine_made(table(spark, folder, "sql_files"))
+
+
+def p2_evidence(spark, folder):
+    return provenance.file_evidence(table(spark, folder, "sql_files"))
+
+
 def p3_cutoffs(spark, folder):
     return cutoff.source_cutoffs(table(spark, folder, "clean_docs"), table(spark, folder, "source_targets"))
 
