@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import cutoff, leakage, mixing, packing, prose, provenance, repetition, tokenizing
+from quernel.llm import cutoff, leakage, mixing, packing, prose, provenance, repetition, tokenizing, toxicity
 from quernel.sources.tables import table
 
 
@@ -89,6 +89,19 @@ def p8_leaks(spark, folder):
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_questions"))
 
 
+def p9_found(spark, folder):
+    return toxicity.flagged(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+
+
+def p9_scores(spark, folder):
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "doc_labels")))
+
+
+def p9_rates(spark, folder):
+    return toxicity.source_rates(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+
+
 QUERIES = {
     name: f
     for name, f in list(globals().items())
