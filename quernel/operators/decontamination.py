@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.text import words
@@ -33,16 +33,14 @@ def hits(docs: DataFrame, index: DataFrame, key: str = "doc_id", text: str = "te
     if index.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
         small = F.broadcast(small)
     t = docs.select(F.col(key), words(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    one = [
-        F.when(
-            F.size("t") >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size("t") - n + 1, F.lit(1))),
-                lambda i, n=n: F.struct(F.lit(n).alias("n"), (i - 1).alias("pos"), F.array_join(F.slice("t", i, n), " ").alias("gram")),
-            ),
-        ).otherwise(F.array().cast("array<struct<n:int,pos:int,gram:string>>"))
-        for n in lengths
-    ] or [F.array().cast("array<struct<n:int,pos:int,gram:string>>")]
+
+    def runs(n: int):
+        at = F.sequence(F.lit(1), F.greatest(F.size("t") - n + 1, F.lit(1)))
+        gram = lambda i: F.struct(F.lit(n).alias("n"), (i - 1).alias("pos"), F.array_join(F.slice("t", i, n), " ").alias("gram"))
+        return F.when(F.size("t") >= n, F.transform(at, gram)).otherwise(none)
+
+    none = F.array().cast("array<struct<n:int,pos:int,gram:string>>")
+    one = [runs(n) for n in lengths] or [none]
     grams = t.select(key, F.explode(F.concat(*one)).alias("x")).select(key, "x.*").withColumn("g", F.xxhash64("gram"))
     return (
         grams.join(small, ["n", "g"])
@@ -61,8 +59,6 @@ def report(docs: DataFrame, found: DataFrame, key: str = "doc_id", source: str =
     """Per source: documents, removed documents, and the three least removed ids as examples."""
     d = docs.select(key, source).join(found.select(key, F.lit(1).alias("hit")), key, "left")
     ids = F.slice(F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.col(key)))), 1, 3)
-    from pyspark.sql import Window
-
     w = Window.partitionBy(source).orderBy(key)
     top = d.where("hit = 1").withColumn("r", F.row_number().over(w)).where("r <= 3").groupBy(source).agg(ids.alias("examples"))
     n = d.groupBy(source).agg(F.count("*").alias("docs_in"), F.count("hit").alias("removed"))

@@ -370,7 +370,7 @@ def ground(conds: DataFrame, values: DataFrame) -> DataFrame:
     first = values.withColumn("w", F.regexp_extract("txt", word, 0)).where("w <> ''").select("table_id", F.col("col_ix").alias("cell_col"), "txt", "w")
     parts = open_.withColumn("w", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(word), F.lit(0)))))
     bounded = F.concat(F.lit(r"(?s).*(?<![a-z0-9])\Q"), F.col("txt"), F.lit(r"\E(?![a-z0-9]).*"))
-    hit = parts.join(first, ["table_id", "w"]).where(F.col("low").rlike(bounded))
+    hit = parts.join(first, ["table_id", "w"]).where(F.rlike("low", bounded))
     rank = F.struct((F.col("cell_col") != F.col("col_ix")).cast("int"), F.when(F.col("cell_col") != F.col("col_ix"), F.col("cell_col")).otherwise(-1), -F.length("txt"), F.col("txt"))
     best = hit.groupBy("id").agg(F.min_by(F.struct("cell_col", "txt"), rank).alias("b"))
     return conds.join(best, "id", "left").select(

@@ -37,7 +37,7 @@ def weighted_score(df: DataFrame, run: str, source: str, value: str, weights: di
     """Mean over the sources present, their weights renormalised."""
     t = df.sparkSession.createDataFrame(list(weights.items()), f"{source} string, w double")
     d = df.join(F.broadcast(t), source).where(F.col(value).isNotNull())
-    return d.groupBy(run).agg(F.round(F.sum(F.col("w") * F.col(value)) / F.sum("w"), 6).alias("score"))
+    return d.groupBy(run).agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("score"))
 
 
 def best_run(df: DataFrame, setting: str, score: str) -> DataFrame:

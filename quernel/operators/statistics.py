@@ -52,7 +52,7 @@ def resampled_means(values: DataFrame, value: str, n_boot: int, seed: int = 0, c
 
     The vector is shipped to the tasks; more than ``most`` values is an error.
     """
-    x = np.array([float(r[0]) for r in values.select(F.col(value).cast("double")).where(F.col(value).isNotNull()).orderBy(value).limit(most + 1).collect()])
+    x = np.array([r[0] for r in values.select(F.col(value).cast("double")).where(F.col(value).isNotNull()).orderBy(value).limit(most + 1).collect()])
     if len(x) > most:
         raise ValueError(f"more than {most} values")
     spark = values.sparkSession
@@ -71,19 +71,19 @@ def resampled_means(values: DataFrame, value: str, n_boot: int, seed: int = 0, c
 
 
 def bootstrap_interval(values: DataFrame, value: str, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """One row ``mean, low, high``: sorted resampled means at fixed places, without interpolation."""
+    """One row ``mean, low, high``, null without values: sorted resampled means at fixed places, without interpolation."""
     means = resampled_means(values, value, n_boot, seed).agg(F.sort_array(F.collect_list("mean")).alias("m"))  # n_boot numbers
-    at = lambda i: F.element_at("m", F.lit(i + 1))
+    at = lambda i: F.try_element_at("m", F.lit(i + 1))
     return values.agg(F.avg(value).alias("mean")).crossJoin(means).select(
         "mean", at(int(alpha / 2 * n_boot)).alias("low"), at(int((1 - alpha / 2) * n_boot) - 1).alias("high")
     )
 
 
 def paired_bootstrap(pairs: DataFrame, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """One row ``diff, low, high, p`` for ``a - b``: p is the share of resampled differences as far from the mean as 0 is."""
+    """One row ``diff, low, high, p`` for ``a - b``, null without pairs: p is the share of resampled differences as far from the mean as 0 is."""
     d = pairs.select((F.col("a").cast("int") - F.col("b").cast("int")).alias("d"))
     m = resampled_means(d, "d", n_boot, seed).agg(F.sort_array(F.collect_list("mean")).alias("m"))
-    at = lambda i: F.element_at("m", F.lit(i + 1))
+    at = lambda i: F.try_element_at("m", F.lit(i + 1))
     far = F.size(F.filter("m", lambda x: F.abs(x - F.col("diff")) >= F.abs(F.col("diff")))) / n_boot
     return d.agg(F.avg("d").alias("diff")).crossJoin(m).select(
         "diff", at(int(alpha / 2 * n_boot)).alias("low"), at(int((1 - alpha / 2) * n_boot) - 1).alias("high"), F.greatest(far, F.lit(1 / n_boot)).alias("p")

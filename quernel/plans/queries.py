@@ -119,7 +119,7 @@ def exact_dedup_report(s, d):
 @query
 def minhash_signature(s, d):
     t = table(s, d, "documents", "doc_id", "text").where("text IS NOT NULL")
-    g = t.select("doc_id", similarity.signature(similarity.shingle_hashes(F.col("text"))).alias("g"))
+    g = t.select("doc_id", similarity.signature(words(F.col("text")), "text").alias("g"))
     return g.select("doc_id", F.md5(F.array_join(F.transform("g", lambda x: x.cast("string")), ",")).alias("signature"))
 
 
@@ -541,7 +541,8 @@ def tail_summary(s, d):
 @query
 def weighted_score(s, d):
     e = table(s, d, "events", "user_id", "event_type", "value").groupBy("user_id", "event_type").agg(F.avg("value").alias("v"))
-    return logs.weighted_score(e, "user_id", "event_type", "v", {"click": 0.6, "view": 0.3, "purchase": 0.1})
+    w = logs.weighted_score(e, "user_id", "event_type", "v", {"click": 0.6, "view": 0.3, "purchase": 0.1})
+    return w.withColumn("score", F.round("score", 4))
 
 
 @query
@@ -564,9 +565,9 @@ def label_spread(s, d):
 
 @query
 def throughput(s, d):
-    e = table(s, d, "events", "event_id", "event_type", "ts").withColumn("t", F.unix_micros("ts"))
+    e = table(s, d, "events", "event_id", "event_type", "ts").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
     t = logs.throughput(e, "event_type", "event_id", F.col("t") / 1_000_000, 1000, 1.25e8, 1.2e14)
-    return t.select("event_id", F.round("tokens_per_s", 3).alias("tokens_per_s"), F.round("mfu", 6).alias("mfu"))
+    return t.select("event_id", F.round("tokens_per_s", 2).alias("tokens_per_s"), F.round("mfu", 6).alias("mfu"))
 
 
 @query
