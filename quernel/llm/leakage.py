@@ -44,7 +44,7 @@ def leaks(docs: DataFrame, items: DataFrame, least_score: float = 0.6) -> DataFr
     """``doc_id, item_id, score, exact``: documents with passages of the items ``(item_id, question)``.
 
     Every run of ``PASSAGE`` words of a question (the whole question if it has ``FEWEST`` to ``PASSAGE`` words) gives
-    one seed: its run of ``SEED`` words that is rarest in the whole corpus. Seeds are joined with the corpus, and the
+    one seed: of its runs of ``SEED`` words that occur in the corpus, the one that is rarest there. Seeds are joined with the corpus, and the
     words around each hit are aligned with the question by Smith-Waterman. ``score`` is the best alignment's share of
     a perfect one, ``exact`` says whether such a run stands there word for word. Pairs that are exact or reach
     ``least_score`` are returned once. As every exact passage holds its own seed, none is missed; edited copies are
@@ -65,8 +65,8 @@ def leaks(docs: DataFrame, items: DataFrame, least_score: float = 0.6) -> DataFr
     corpus = docs.select("doc_id", _tokens(F.col("text")).alias("tokens"))
     hits = cut(_grams(corpus, "doc_id").join(_small(wanted, BROADCAST_GRAMS), "gram"))
 
-    # the rarest seed of each passage
-    often = wanted.join(hits.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").na.fill(0, ["n"])
+    # the rarest seed of each passage among those that occur
+    often = hits.groupBy("gram").agg(F.count("*").alias("n"))
     length = F.size("tokens")
     spans = q.select(
         "item", F.least(length, F.lit(PASSAGE)).alias("words"),

@@ -29,27 +29,19 @@ LOOK_ALIKE = str.maketrans("аеорсухіјѕԁһαεορνικτ", "aeopcyxi
 SIGNS = str.maketrans("@$0134578!|€", "asoieastbile")
 
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯︀-️﻿]")
-_SPELT = re.compile(r"(?<![^\W_])(?:[^\W\d_](?P<s>[-._·*~ ])(?=[^\W\d_])){2,}[^\W\d_]+")
+#: Letters spelt out, with one separator throughout; the last part may be the rest of the word unless blanks separate.
+_SPELT = re.compile(r"(?<![^\W_])[^\W\d_]([-._·*~])(?:[^\W\d_]\1)+[^\W\d_]+|(?<![^\W_])[^\W\d_](?: [^\W\d_]){2,}(?![^\W_])")
 _PIECES = re.compile(r"[^\W_](?:[\w@$!|€*'’]*[\w$@*])?|[@$][\w@$!|*]*\w", re.U)
 _RUNS = re.compile(r"([^\W\d_])\1{2,}")
 
 
-def _spelt(m: re.Match) -> str:
-    """Joins letters spelt out with one separator: ``l-o-s-e-r``, ``s.c.u.m``. Blanks only join single letters."""
-    text = m.group()
-    parts = re.split(r"[-._·*~ ]", text)
-    if " " in text and any(len(p) > 1 for p in parts):
-        return text
-    return "".join(parts)
-
-
 def words(text: str) -> list[str]:
     """Words in one spelling: composed, lower case, without invisible characters, look-alikes, signs and long runs.
 
     A word with letters left out keeps its asterisks.
     """
     t = text.casefold() if text.isascii() else _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).casefold()
-    t = _SPELT.sub(_spelt, t)
+    t = _SPELT.sub(lambda m: re.sub(r"[-._·*~ ]", "", m.group()), t)
     out = []
     for w in _PIECES.findall(t):
         if len(w) > 6 and len(set(w)) == 1:
