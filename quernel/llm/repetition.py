@@ -23,6 +23,7 @@ NEAR = 0.85
 _WORDS = re.compile(r"\w+")
 _LINES = re.compile(r"[^\n]*\n?")
 _SENTENCES = re.compile(r".+?(?:[.!?;:…]+(?=\s)|\n|$)", re.S)
+_LONG = re.compile(r"\S{12,}")
 _RUN = re.compile(r"(\S{1,8}?)\1{5,}")
 _NOISE = re.compile(r"[\W\d_]+")
 
@@ -30,39 +31,49 @@ _NOISE = re.compile(r"[\W\d_]+")
 RULES = ("ngrams", "lines", "sentences", "periods", "all", "packed")
 
 
-def _mark(mask: bytearray, start: int, end: int) -> None:
-    mask[start:end] = b"\1" * (end - start)
-
-
-def _ngrams(words: list[str], starts: list[int], mask: bytearray) -> None:
-    """Runs of NGRAM words, numbers being equal to each other, that occurred before."""
-    seen: set[int] = set()
-    for i in range(len(words) - NGRAM + 1):
-        gram = hash(tuple(words[i : i + NGRAM]))
-        if gram in seen:
-            _mark(mask, starts[i], starts[i + NGRAM])
-        else:
-            seen.add(gram)
-
-
-def _periods(text: str, words: list[str], starts: list[int], mask: bytearray) -> None:
-    """Three or more rounds of a few words, or six or more of a few letters; the first round is not marked."""
-    for p in range(1, LONGEST_PERIOD + 1):
-        begin = None
-        for i in range(p, len(words) + 1):
-            if i < len(words) and words[i] == words[i - p]:
-                begin = i if begin is None else begin
-            elif begin is not None:
-                if i - begin >= 2 * p:
-                    _mark(mask, starts[begin], starts[i])
-                begin = None
-    for m in _RUN.finditer(text):
-        if m.end() - m.start() >= 12:
-            _mark(mask, m.start() + len(m.group(1)), m.end())
-
-
-def _units(text: str, pattern: re.Pattern, least: int, near: bool, mask: bytearray) -> int:
-    """Marks lines or sentences whose letters occurred before; with ``near`` also if most words agree."""
+def _cover(marks: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Characters of the marked words, each with what follows it up to the next word."""
+    out = np.zeros(n, dtype=bool)
+    if len(marks):
+        out[starts[0] :] = np.repeat(marks, np.diff(np.append(starts, n)))
+    return out
+
+
+def _ngrams(ids: np.ndarray) -> np.ndarray:
+    """Words in runs of NGRAM words, numbers being equal to each other, that occurred before."""
+    marks = np.zeros(len(ids) + 1, dtype=np.int64)
+    k = len(ids) - NGRAM + 1
+    if k > 1:
+        gram = np.zeros(k, dtype=np.uint64)
+        for j in range(NGRAM):
+            gram = gram * np.uint64(0x9E3779B97F4A7C15) + ids[j : j + k] + np.uint64(1)
+        again = np.ones(k, dtype=bool)
+        again[np.unique(gram, return_index=True)[1]] = False
+        at = np.flatnonzero(again)
+        np.add.at(marks, at, 1)
+        np.add.at(marks, at + NGRAM, -1)
+    return np.cumsum(marks)[:-1] > 0
+
+
+def _periods(ids: np.ndarray) -> np.ndarray:
+    """Words in three or more rounds of a few words; the first round is not marked."""
+    marks = np.zeros(len(ids), dtype=bool)
+    for p in range(1, min(LONGEST_PERIOD, len(ids) - 1) + 1):
+        equal = ids[p:] == ids[:-p]
+        if np.count_nonzero(equal) < 2 * p:
+            continue
+        same = np.concatenate([[False], equal, [False]])
+        edge = np.flatnonzero(same[1:] != same[:-1])
+        for i, j in zip(edge[::2], edge[1::2]):
+            if j - i >= 2 * p:
+                marks[i + p : j + p] = True
+    return marks
+
+
+def _units(text: str, pattern: re.Pattern, least: int, near: bool) -> tuple[np.ndarray, int]:
+    """Lines or sentences whose letters occurred before; with ``near`` also those of which most words agree with an
+    earlier one. Gives the marked characters and the number of units."""
+    mask = np.zeros(len(text), dtype=bool)
     seen: set[str] = set()
     by_gram: dict[tuple, Counter] = {}
     count = 0
@@ -76,19 +87,17 @@ def _units(text: str, pattern: re.Pattern, least: int, near: bool, mask: bytearr
         if len(words) < least or len(key) < 3:
             continue
         if key in seen:
-            _mark(mask, m.start(), m.end())
+            mask[m.start() : m.end()] = True
             continue
         seen.add(key)
         if near and len(words) >= 5:
             bag = Counter(words)
-            grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-            for g in grams:
-                other = by_gram.get(g)
-                if other is not None and 2 * (bag & other).total() >= NEAR * (bag.total() + other.total()):
-                    _mark(mask, m.start(), m.end())
-                    break
+            grams = list(zip(words, words[1:], words[2:]))
+            others = {id(o): o for o in (by_gram.get(g) for g in grams) if o is not None and 2 * min(o.total(), len(words)) >= NEAR * (o.total() + len(words))}
+            if any(2 * (bag & o).total() >= NEAR * (len(words) + o.total()) for o in others.values()):
+                mask[m.start() : m.end()] = True
             by_gram.update(dict.fromkeys(grams, bag))
-    return count
+    return mask, count
 
 
 def repetition(text: str) -> dict[str, float]:
@@ -96,19 +105,23 @@ def repetition(text: str) -> dict[str, float]:
     n = len(text)
     if not text.strip():
         return dict.fromkeys(("ngrams", "lines", "sentences", "periods", "all"), 0.0) | {"n_lines": 0, "packed": 1.0}
-    found = [(m.group().casefold(), m.start()) for m in _WORDS.finditer(text)]
-    words = ["0" if w.isdigit() else w for w, _ in found]
-    starts = [s for _, s in found] + [n]
-    masks = {k: bytearray(n) for k in ("ngrams", "lines", "sentences", "periods")}
-    _ngrams(words, starts, masks["ngrams"])
-    _periods(text, words, starts, masks["periods"])
-    lines = _units(text, _LINES, 1, False, masks["lines"])
-    _units(text, _SENTENCES, 4, True, masks["sentences"])
-    union = np.zeros(n, dtype=bool)
-    for m in masks.values():
-        union |= np.frombuffer(m, dtype=np.uint8).astype(bool)
+    number: dict[str, int] = {}
+    low = text.lower()
+    if len(low) != n:  # a few letters grow when lowered
+        low = text
+    spans = [m.span() for m in _WORDS.finditer(low)]
+    ids = np.array([number.setdefault("0" if w.isdigit() else w, len(number)) for w in (low[i:j] for i, j in spans)], dtype=np.uint64)
+    starts = np.array([i for i, _ in spans], dtype=np.int64)
+    masks = {"ngrams": _cover(_ngrams(ids), starts, n), "periods": _cover(_periods(ids), starts, n)}
+    for word in _LONG.finditer(text):
+        for m in _RUN.finditer(word.group()):
+            if m.end() - m.start() >= 12:  # six or more rounds of a few letters
+                masks["periods"][word.start() + m.start() + len(m.group(1)) : word.start() + m.end()] = True
+    masks["lines"], lines = _units(text, _LINES, 1, False)
+    masks["sentences"], _ = _units(text, _SENTENCES, 4, True)
+    union = np.logical_or.reduce(list(masks.values()))
     data = text.encode("utf-8", "replace")
-    return {k: m.count(1) / n for k, m in masks.items()} | {
+    return {k: float(m.mean()) for k, m in masks.items()} | {
         "all": float(union.mean()), "n_lines": lines, "packed": len(zlib.compress(data)) / len(data),
     }
 
