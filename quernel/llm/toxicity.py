@@ -33,6 +33,7 @@ _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯︀-️﻿]"
 _SPELT = re.compile(r"(?<![^\W_])[^\W\d_]([-._·*~])(?:[^\W\d_]\1)+[^\W\d_]+|(?<![^\W_])[^\W\d_](?: [^\W\d_]){2,}(?![^\W_])")
 _PIECES = re.compile(r"[^\W_](?:[\w@$!|€*'’]*[\w$@*])?|[@$][\w@$!|*]*\w", re.U)
 _RUNS = re.compile(r"([^\W\d_])\1{2,}")
+_FILLER = re.compile(r"(?<!\w)([^\W\d_])\1{6,}(?!\w)")
 
 
 def words(text: str) -> list[str]:
@@ -41,15 +42,19 @@ def words(text: str) -> list[str]:
     A word with letters left out keeps its asterisks.
     """
     t = text.casefold() if text.isascii() else _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).casefold()
+    if _RUNS.search(t):
+        t = _RUNS.sub(r"\1", _FILLER.sub(" ", t))
     t = _SPELT.sub(lambda m: re.sub(r"[-._·*~ ]", "", m.group()), t)
     out = []
     for w in _PIECES.findall(t):
-        if len(w) > 6 and len(set(w)) == 1:
-            continue  # filler
-        if w.isalpha() and w.isascii():
-            out.append(_RUNS.sub(r"\1", w))
-            continue
-        if not w.isascii():
+        if w.isascii():
+            if w.isalpha():
+                out.append(w)
+                continue
+            if w.replace("_", "").isalpha():
+                out.append(w.strip("_"))
+                continue
+        else:
             swapped = w.translate(LOOK_ALIKE)
             w = swapped if swapped.isascii() else unicodedata.normalize("NFC", w)
         if not w.isalpha():
