@@ -82,6 +82,11 @@ def rotate(v: Column, position: Column, base: float = 10_000.0) -> Column:
     return F.concat(first, second)
 
 
+def matvec(rows: Column, v: Column) -> Column:
+    """The product of a matrix, given as an array of rows, with a vector."""
+    return F.transform(rows, lambda r: dot(r, v))
+
+
 def lookup(df: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """Embedding lookup: rows with the vector of their id."""
     return df.join(vectors, key, "left")

@@ -214,6 +214,7 @@ SELECT item_id, array_to_string(list_transform(p, lambda x: CASE WHEN x[1] = '''
 SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(i, lambda x: NOT list_contains(list_slice(names, 1, 2), x) AND x <> 't'))), '|') AS unknown FROM p""",
     "parse_roundtrip": "SELECT item_id, TRUE AS same FROM eval_questions JOIN table_meta USING (table_id)",
     "grammar_states": "SELECT item_id, 'complete' AS whole, 'prefix' AS half FROM eval_questions JOIN table_meta USING (table_id)",
+    "grammar_pattern": "SELECT item_id, TRUE AS whole, FALSE AS cut FROM eval_questions JOIN table_meta USING (table_id)",
     "batch_execute": """WITH q AS (SELECT n_nationkey AS k, n_nationkey % 6 AS agg, n_nationkey % 5 = 4 AS free, n_nationkey % 2 = 1 AS two FROM nation),
 r AS (SELECT k, agg, c_acctbal AS v, lower(c_mktsegment) AS t FROM q LEFT JOIN customer ON free OR (c_nationkey = k AND (NOT two OR c_acctbal > 0)))
 SELECT k::BIGINT AS query_id, count(t) AS n, round(CASE agg WHEN 1 THEN max(v) WHEN 2 THEN min(v) WHEN 3 THEN count(t) WHEN 4 THEN sum(v) WHEN 5 THEN avg(v) END, 2) AS number,

@@ -402,6 +402,13 @@ def grammar_states(s, d):
     return i.select("item_id", dialect.grammar_column(F.col("gold_sql"), F.col("names"), free).alias("whole"), dialect.grammar_column(half, F.col("names"), free).alias("half"))
 
 
+@query
+def grammar_pattern(s, d):
+    i = inputs.items(s, d).withColumn("names", rendering.column_names(F.col("header")))
+    short = F.substring("gold_sql", F.lit(1), F.length("gold_sql") - 1)
+    return i.select("item_id", dialect.matches(F.col("gold_sql"), F.col("names")).alias("whole"), dialect.matches(short, F.col("names")).alias("cut"))
+
+
 def _batch(s, d, shift=0):
     """One query a nation over its customers."""
     n = F.col("n_nationkey")

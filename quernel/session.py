@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +45,21 @@ def cut(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix=f"quernel-{os.getpid()}-")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def within(spark: SparkSession, seconds: float, action: Callable):
+    """``(True, result)`` of ``action``, or ``(False, message)`` if it fails or its jobs run longer than ``seconds``.
+
+    Only jobs that ``action`` starts are cancelled.
+    """
+    sc, tag = spark.sparkContext, f"within-{uuid.uuid4()}"
+    sc.addJobTag(tag)
+    timer = threading.Timer(seconds, lambda: sc.cancelJobsWithTag(tag))
+    timer.start()
+    try:
+        return True, action()
+    except Exception as e:  # whatever the statement did wrong is its result
+        return False, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)

@@ -159,3 +159,9 @@ def test_scores(spark):
     assert tuple(evaluation.scores(df.limit(0)).first()) == (0, 0.0, 0.0, 0.0)
     s = spark.createDataFrame([(" SELECT  A\nFROM t ; ",)], "q string").select(evaluation.normalize_sql(F.col("q"))).first()[0]
     assert s == "select a from t"
+
+
+def test_pattern(spark):
+    rows = [('SELECT "a""b" FROM t;', True), ("SELECT MAX(\"x\") FROM t WHERE \"x\" > 'it''s' AND \"x\" = '1';", True), ('SELECT "x" FROM t', False), ('SELECT "y" FROM t;', False), (None, False)]
+    df = spark.createDataFrame([(q, ['a"b', "x", r"q\E"], w) for q, w in rows], "q string, c array<string>, w boolean")
+    assert all(r.m == r.w for r in df.select(dialect.matches(F.col("q"), F.col("c")).alias("m"), "w").collect())

@@ -239,3 +239,17 @@ def test_streams(spark, tmp_path):
     assert sorted(r.id for r in run(lambda s: incremental.first_deliveries(s, "id", "ts"), "first")) == [1, 2, 3, 4]
     w = run(lambda s: incremental.windowed_counts(s, "ts", "kind"), "windows")
     assert sorted((r.start.minute, r.kind, r.n, r.total) for r in w) == [(0, "a", 2, 2.0), (5, "a", 1, 3.0), (5, "b", 1, 2.0)]
+
+
+def test_time_limit(spark):
+    from quernel.session import within
+
+    assert within(spark, 60, lambda: spark.range(5).count()) == (True, 5)
+    ok, why = within(spark, 0.5, lambda: spark.range(1 << 40).selectExpr("sum(cos(id))").collect())
+    assert not ok and why
+    assert within(spark, 60, lambda: spark.sql("SELECT nothing"))[0] is False
+
+
+def test_matvec(spark):
+    m = spark.createDataFrame([([[1.0, 2.0], [0.0, -1.0]], [3.0, 4.0])], "m array<array<double>>, v array<double>")
+    assert m.select(distribution.matvec(F.col("m"), F.col("v"))).first()[0] == [11.0, -4.0]
