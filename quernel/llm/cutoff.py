@@ -2,42 +2,24 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.hashing import md5_int
-from quernel.functions.text import NOT_WORD, WORD
+from quernel.operators.selection import query_score
 from quernel.session import cut
 from quernel.sources.tables import latest
 
-# The query features, one pattern each (the score is the number of features present).
-KEYWORDS = ["select", "from", "where", "join", "having", "limit", "union"]
-PHRASES = [r"group\s+by", r"order\s+by"]
-AGGREGATES = r"(?:count|sum|avg|min|max)\s*\("
-COMMON_TABLE = rf"with\s+{WORD}\s+as\s*\("
-
-_BEGIN, _END = rf"(?:^|{NOT_WORD})", rf"(?:$|{NOT_WORD})"
-FEATURES = [f"(?i){_BEGIN}{k}{_END}" for k in KEYWORDS + PHRASES] + [
-    f"(?i){_BEGIN}{p}" for p in (AGGREGATES, COMMON_TABLE)
-]
 TIE_BITS = 48
 
 
-def query_features(text):
-    """0..11: how many distinct query features ``text`` has; 0 for null or empty text."""
-    t = F.coalesce(text, F.lit(""))
-    return reduce(lambda a, b: a + b, [t.rlike(p).cast("int") for p in FEATURES])
-
-
 def ranked_keys(docs: DataFrame) -> DataFrame:
     """``row_id, source, score, tie, key``, a row a record. Only numbers are shuffled, never texts.
 
     ``key`` orders by score and then by a hash of the id, so that no two records of a source compare equal
     (but for 48-bit collisions, which the row id settles).
     """
-    scored = docs.select("row_id", "loaded_at", "source", query_features(F.col("text")).alias("score"))
+    scored = docs.select("row_id", "loaded_at", "source", query_score(F.col("text")).alias("score"))
     one = latest(scored, "row_id", ["source", "score"]).where(F.col("source").isNotNull())
     tie = md5_int(F.coalesce(F.col("row_id").cast("string"), F.lit("")), 1, 12)
     return one.withColumn("tie", tie).withColumn(
