@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.hashing import unit
@@ -38,13 +38,13 @@ def mixture_plan(docs: DataFrame, targets: DataFrame, total: float | None = None
         F.coalesce("n_records", F.lit(0).cast("long")).alias("n_records"),
     )
     live = (F.col("size") > 0) & (F.col("mix_weight") > 0)
-    bound = p.agg(
-        F.sum(F.when(live, F.col("mix_weight"))).alias("live_weight"),
-        F.min(F.when(live, F.col("max_repeats") * F.col("size") / F.col("mix_weight"))).alias("per_weight"),
+    all_targets = Window.partitionBy()  # a row a configured source
+    p = p.withColumn("live_weight", F.sum(F.when(live, F.col("mix_weight"))).over(all_targets)).withColumn(
+        "per_weight", F.min(F.when(live, F.col("max_repeats") * F.col("size") / F.col("mix_weight"))).over(all_targets)
     )
     unit_size = F.col("per_weight") if total is None else F.lit(float(total)) / F.col("live_weight")
     rate = F.least(F.col("mix_weight") * unit_size / F.col("size"), F.col("max_repeats").cast("double"))
-    return p.crossJoin(F.broadcast(bound)).select(  # one row of totals
+    return p.select(
         "source", "mix_weight", "max_repeats", "size", "n_records",
         F.when(live, F.col("mix_weight") / F.col("live_weight")).otherwise(0.0).alias("target_share"),
         F.when(live, rate).otherwise(0.0).alias("rate"),
@@ -81,8 +81,7 @@ def mixture_shares(docs: DataFrame, targets: DataFrame, total: float | None = No
     p = mixture_plan(docs, targets, total).join(got, "source", "left").withColumns(
         {"mixed_size": F.coalesce("mixed_size", zero), "mixed_records": F.coalesce("mixed_records", zero)}
     )
-    whole = p.agg(F.sum("mixed_size").alias("all_size"))
-    return p.crossJoin(F.broadcast(whole)).select(
+    return p.withColumn("all_size", F.sum("mixed_size").over(Window.partitionBy())).select(
         "source", "size", "mixed_records", "mixed_size",
         F.round("target_share", 6).alias("target_share"),
         F.round("rate", 6).alias("rate"),

@@ -78,11 +78,14 @@ def pack_texts(docs: DataFrame, packs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sizes = (
         packs.where((F.col("capacity_chars") > 0) & F.col("pack_id").isNotNull())
-        .groupBy("pack_id").agg(F.max("capacity_chars").alias("cap"))
+        .groupBy("pack_id").agg(F.max("capacity_chars").alias("cap")).collect()  # a few configured container sizes
     )
+    each = F.array(*[F.struct(F.lit(r["pack_id"]).alias("pack_id"), F.lit(r["cap"]).cast("long").alias("cap")) for r in sizes])
+    if not sizes:
+        each = F.array().cast("array<struct<pack_id:int,cap:bigint>>")
     lengths = latest(docs.select("row_id", "loaded_at", F.length("text").alias("n")), "row_id", ["n"])
     lengths = cut(lengths)
-    per_pack = lengths.crossJoin(F.broadcast(sizes))  # a few configured container sizes
+    per_pack = lengths.select("row_id", "n", F.explode(each).alias("p")).select("row_id", "n", "p.*")
     rest = F.col("n") % F.col("cap")
     tally = per_pack.where(F.col("n") > 0).groupBy("pack_id", "cap", rest.alias("rest")).agg(
         F.count("*").alias("items"), F.sum(F.floor(F.col("n") / F.col("cap"))).alias("full")
