@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.text import words
+from quernel.session import cut
 
 LONGEST, SHORTEST = 13, 8
-#: An index of more grams than this is joined by a shuffle instead of broadcast.
-BROADCAST_GRAMS = 1_000_000
+#: Sides with more rows than this are joined by a shuffle instead of broadcast.
+BROADCAST_GRAMS, BROADCAST_DOCS = 500_000, 2_000_000
 
 
 def eval_index(items: DataFrame, key: str = "item_id", text: str = "question") -> DataFrame:
@@ -26,31 +27,30 @@ def eval_index(items: DataFrame, key: str = "item_id", text: str = "question") -
 def hits(docs: DataFrame, index: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, item, n, pos``: per contaminated document its first hit, shortest n-grams first, then by place.
 
-    Only the lengths that the index holds are generated; grams are hashed and compared again as text after the join.
+    Every indexed gram begins with ``SHORTEST`` words, so only hashes of runs of that length are made of the corpus and
+    joined; the few places that meet are compared word by word with the whole gram. ``key`` is unique.
     """
-    lengths = sorted(r["n"] for r in index.select("n").distinct().collect())  # 8..13 at most
-    small = index.select(F.col("n"), F.xxhash64("gram").alias("g"), F.col("gram").alias("index_gram"), "item")
-    if index.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
-        small = F.broadcast(small)
-    t = docs.select(F.col(key), words(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-
-    def runs(n: int):
-        at = F.sequence(F.lit(1), F.greatest(F.size("t") - n + 1, F.lit(1)))
-        gram = lambda i: F.struct(F.lit(n).alias("n"), (i - 1).alias("pos"), F.array_join(F.slice("t", i, n), " ").alias("gram"))
-        return F.when(F.size("t") >= n, F.transform(at, gram)).otherwise(none)
-
-    none = F.array().cast("array<struct<n:int,pos:int,gram:string>>")
-    one = [runs(n) for n in lengths] or [none]
-    grams = t.select(key, F.explode(F.concat(*one)).alias("x")).select(key, "x.*").withColumn("g", F.xxhash64("gram"))
+    start = F.xxhash64(F.slice(F.split("gram", " "), 1, SHORTEST))
+    small = _small(index.select(start.alias("g"), "n", "gram", "item"), BROADCAST_GRAMS)
+    t = docs.select(F.col(key).alias("k"), words(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    last = F.size("t") - SHORTEST + 1
+    runs = t.where(last >= 1).select("k", F.posexplode(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("t", i, SHORTEST)))).alias("pos", "g"))
+    met = cut(runs.join(small, "g").select("k", "pos", "n", "gram", "item"))
+    ids = _small(met.select(F.col("k").alias("id")).distinct(), BROADCAST_DOCS)
+    near = t.join(ids, F.col("k").eqNullSafe(F.col("id")), "left_semi").select(F.col("k").alias("doc"), "t")
     return (
-        grams.join(small, ["n", "g"])
-        .where(F.col("gram") == F.col("index_gram"))
-        .groupBy(key)
+        met.join(near, F.col("k").eqNullSafe(F.col("doc")))
+        .where(F.array_join(F.slice("t", F.col("pos") + 1, F.col("n")), " ") == F.col("gram"))
+        .groupBy(F.col("k").alias(key))
         .agg(F.min(F.struct("n", "pos", "item")).alias("first"))
         .select(key, F.col("first.item").alias("item"), F.col("first.n").alias("n"), F.col("first.pos").alias("pos"))
     )
 
 
+def _small(df: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def keep(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(found.select(key), key, "left_anti")
 

@@ -68,7 +68,7 @@ def throughput(df: DataFrame, run: str, step: str, seconds: Column, tokens_per_s
     d = df.withColumn("_s", seconds)
     steps, dt = F.col(step) - F.lag(step).over(w), F.col("_s") - F.lag("_s").over(w)
     tps = F.when(dt > 0, tokens_per_step * steps / dt)
-    return d.withColumn("tokens_per_s", F.round(tps, 6)).withColumn("mfu", F.round(6 * parameters * F.col("tokens_per_s") / peak, 6)).drop("_s")
+    return d.withColumn("tokens_per_s", F.round(tps, 6)).withColumn("mfu", 6 * parameters * F.col("tokens_per_s") / peak).drop("_s")
 
 
 def cosine_rate(step: Column, most: int, peak: float, warmup: int, least_ratio: float = 0.1) -> Column:

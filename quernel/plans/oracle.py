@@ -291,7 +291,7 @@ ORACLE |= {
 SELECT event_type, max(event_id) AS last_step, round(avg(value) FILTER (r <= 8), 6) AS tail_mean, round(max(value), 6) AS max_value,
   round(list_sort(list(value))[count(*) // 2 + 1], 6) AS median_value FROM e GROUP BY event_type""",
     "weighted_score": """WITH e AS (SELECT user_id, event_type, avg(value) AS v FROM events GROUP BY ALL), w(event_type, w) AS (VALUES ('click', 0.6::DOUBLE), ('view', 0.3), ('purchase', 0.1))
-SELECT user_id, round(sum(w * v) / sum(w), 4) AS score FROM e JOIN w USING (event_type) GROUP BY user_id""",
+SELECT user_id, round(sum(w * v) / sum(w), 9) AS score FROM e JOIN w USING (event_type) GROUP BY user_id""",
     "best_by_group": f"""WITH e AS (SELECT user_id % 10 AS setting, {_SETTING} AS score FROM events GROUP BY ALL), b AS (SELECT * FROM e ORDER BY score, setting LIMIT 1)
 SELECT setting AS best, score, setting = (SELECT min(setting) FROM e) OR setting = (SELECT max(setting) FROM e) AS at_edge FROM b""",
     "best_setting": f"""WITH e AS (SELECT user_id % 10 AS setting, event_type, {_SETTING} AS value FROM events GROUP BY ALL)
@@ -300,7 +300,7 @@ SELECT setting AS best, max(value) AS value FROM e GROUP BY setting ORDER BY val
 SELECT label, round(max(y - i * 0.75::DOUBLE) OVER (PARTITION BY g ORDER BY i) + i * 0.75::DOUBLE, 6) AS place FROM i""",
     "throughput": """WITH e AS (SELECT event_id, epoch_us(ts) / 1000000 AS t, lag(event_id) OVER w AS p, lag(epoch_us(ts) / 1000000) OVER w AS pt FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)),
 v AS (SELECT event_id, CASE WHEN t - pt > 0 THEN round(1000 * (event_id - p) / (t - pt), 6) END AS tps FROM e)
-SELECT event_id, round(tps, 2) AS tokens_per_s, round(6 * 1.25e8::DOUBLE * tps / 1.2e14::DOUBLE, 6) AS mfu FROM v""",
+SELECT event_id, round(tps, 2) AS tokens_per_s, round(6 * 1.25e8::DOUBLE * tps / 1.2e14::DOUBLE, 9) AS mfu FROM v""",
     "log_row_kinds": """WITH e AS (SELECT event_type, try_cast(json_extract_string(props, '$.k') AS INT) AS k FROM events)
 SELECT event_type, count(k) AS with_k, count(*) - count(k) AS without_k, round(avg(k), 6) AS mean_k FROM e GROUP BY event_type""",
     "cosine_schedule": """SELECT o_orderkey, round(CASE WHEN o_orderkey < 100 THEN 1e-3::DOUBLE * (o_orderkey + 1) / 100

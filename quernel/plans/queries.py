@@ -549,7 +549,7 @@ def tail_summary(s, d):
 def weighted_score(s, d):
     e = table(s, d, "events", "user_id", "event_type", "value").groupBy("user_id", "event_type").agg(F.avg("value").alias("v"))
     w = logs.weighted_score(e, "user_id", "event_type", "v", {"click": 0.6, "view": 0.3, "purchase": 0.1})
-    return w.withColumn("score", F.round("score", 4))
+    return w.withColumn("score", F.round("score", 9))
 
 
 @query
@@ -574,7 +574,7 @@ def label_spread(s, d):
 def throughput(s, d):
     e = table(s, d, "events", "event_id", "event_type", "ts").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
     t = logs.throughput(e, "event_type", "event_id", F.col("t") / 1_000_000, 1000, 1.25e8, 1.2e14)
-    return t.select("event_id", F.round("tokens_per_s", 2).alias("tokens_per_s"), F.round("mfu", 6).alias("mfu"))
+    return t.select("event_id", F.round("tokens_per_s", 2).alias("tokens_per_s"), F.round("mfu", 9).alias("mfu"))
 
 
 @query
