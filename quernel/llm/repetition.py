@@ -21,11 +21,10 @@ LONGEST_PERIOD = 12
 NEAR = 0.85
 
 _WORDS = re.compile(r"\w+")
-_LINES = re.compile(r"[^\n]*\n?")
-_SENTENCES = re.compile(r".+?(?:[.!?;:…]+(?=\s)|\n|$)", re.S)
+_FIGURES = re.compile(r"\d+")
+_SENTENCE = re.compile(r"[^.!?;:…\n]+[.!?;:…\n]*")
 _LONG = re.compile(r"\S{12,}")
 _RUN = re.compile(r"(\S{1,8}?)\1{5,}")
-_NOISE = re.compile(r"[\W\d_]+")
 
 #: Each rule votes 1 (repetitive), 0 (not) or abstains (2).
 RULES = ("ngrams", "lines", "sentences", "periods", "all", "packed")
@@ -70,59 +69,69 @@ def _periods(ids: np.ndarray) -> np.ndarray:
     return marks
 
 
-def _units(text: str, pattern: re.Pattern, least: int, near: bool) -> tuple[np.ndarray, int]:
-    """Lines or sentences whose letters occurred before; with ``near`` also those of which most words agree with an
-    earlier one. Gives the marked characters and the number of units."""
+def _units(bounds: Iterator[tuple[int, int]], text: str, ids: list[int], starts: list[int], least: int, near: bool) -> tuple[np.ndarray, int]:
+    """Lines or sentences whose words, numbers aside, occurred before; with ``near`` also those of which most words agree
+    with an earlier one. Gives the marked characters and the number of units."""
     mask = np.zeros(len(text), dtype=bool)
-    seen: set[str] = set()
+    seen: set = set()
     by_gram: dict[tuple, Counter] = {}
-    count = 0
-    for m in pattern.finditer(text):
-        raw = m.group().strip()
-        if not raw:
+    count = at = 0
+    for begin, end in bounds:
+        first = at
+        while at < len(starts) and starts[at] < end:
+            at += 1
+        words = tuple(filter(None, ids[first:at]))  # 0 stands for numbers
+        key = words or text[begin:end].strip()
+        if not key:
             continue
         count += 1
-        key = _NOISE.sub(" ", raw.casefold()).strip() or raw
-        words = key.split()
-        if len(words) < least or len(key) < 3:
+        if len(words) < least or end - begin < 4:
             continue
         if key in seen:
-            mask[m.start() : m.end()] = True
+            mask[begin:end] = True
             continue
         seen.add(key)
         if near and len(words) >= 5:
-            bag = Counter(words)
+            bag, n = Counter(words), len(words)
             grams = list(zip(words, words[1:], words[2:]))
-            others = {id(o): o for o in (by_gram.get(g) for g in grams) if o is not None and 2 * min(o.total(), len(words)) >= NEAR * (o.total() + len(words))}
-            if any(2 * (bag & o).total() >= NEAR * (len(words) + o.total()) for o in others.values()):
-                mask[m.start() : m.end()] = True
+            others = {id(o): o for o in map(by_gram.get, grams) if o is not None and 2 * min(o.total(), n) >= NEAR * (o.total() + n)}
+            if any(2 * (bag & o).total() >= NEAR * (n + o.total()) for o in others.values()):
+                mask[begin:end] = True
             by_gram.update(dict.fromkeys(grams, bag))
     return mask, count
 
 
+def _line_bounds(text: str) -> Iterator[tuple[int, int]]:
+    at = 0
+    for line in text.split("\n"):
+        yield at, min(at + len(line) + 1, len(text))
+        at += len(line) + 1
+
+
 def repetition(text: str) -> dict[str, float]:
     """Shares of the characters that repeat earlier ones, by kind and over all kinds, in time linear in the text."""
     n = len(text)
     if not text.strip():
         return dict.fromkeys(("ngrams", "lines", "sentences", "periods", "all"), 0.0) | {"n_lines": 0, "packed": 1.0}
-    number: dict[str, int] = {}
     low = text.lower()
     if len(low) != n:  # a few letters grow when lowered
         low = text
     spans = [m.span() for m in _WORDS.finditer(low)]
-    ids = np.array([number.setdefault("0" if w.isdigit() else w, len(number)) for w in (low[i:j] for i, j in spans)], dtype=np.uint64)
-    starts = np.array([i for i, _ in spans], dtype=np.int64)
+    number = {"0": 0}
+    listed = [number.setdefault(w if w.isalpha() else _FIGURES.sub("0", w), len(number)) for w in (low[i:j] for i, j in spans)]
+    begins = [i for i, _ in spans]
+    ids, starts = np.array(listed, dtype=np.uint64), np.array(begins, dtype=np.int64)
     masks = {"ngrams": _cover(_ngrams(ids), starts, n), "periods": _cover(_periods(ids), starts, n)}
     for word in _LONG.finditer(text):
         for m in _RUN.finditer(word.group()):
             if m.end() - m.start() >= 12:  # six or more rounds of a few letters
                 masks["periods"][word.start() + m.start() + len(m.group(1)) : word.start() + m.end()] = True
-    masks["lines"], lines = _units(text, _LINES, 1, False)
-    masks["sentences"], _ = _units(text, _SENTENCES, 4, True)
+    masks["lines"], lines = _units(_line_bounds(text), text, listed, begins, 0, False)
+    masks["sentences"], _ = _units((m.span() for m in _SENTENCE.finditer(text)), text, listed, begins, 4, True)
     union = np.logical_or.reduce(list(masks.values()))
     data = text.encode("utf-8", "replace")
-    return {k: float(m.mean()) for k, m in masks.items()} | {
-        "all": float(union.mean()), "n_lines": lines, "packed": len(zlib.compress(data)) / len(data),
+    return {k: float(np.count_nonzero(m)) / n for k, m in masks.items()} | {
+        "all": float(np.count_nonzero(union)) / n, "n_lines": lines, "packed": len(zlib.compress(data)) / len(data),
     }
 
 
