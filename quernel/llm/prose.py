@@ -39,6 +39,8 @@ ENDS = ".!?…:;\"”’»)。！？"
 
 _WORDS = re.compile(r"\w+")
 _LETTERS = re.compile(r"[^\W\d_]")
+#: Letters beyond the Latin script.
+_FOREIGN = re.compile("[^\\W\\d_\u0000-\u024f]")
 _PLAIN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*[,.;:!?…)\"”’»]*")
 #: Marks of tables, markup, addresses and broken encodings.
 _MARKS = re.compile(r"https?://|www\.|[|{}<>\[\]\\#=~^_§¶�%&@*/+]|�|Ã.|â€|Â")
@@ -57,6 +59,7 @@ class Line:
     common: int = 0
     plain: int = 0
     upper: int = 0
+    foreign: int = 0
     longest: int = 0
     last: str = ""
     left: str | None = None
@@ -86,6 +89,8 @@ class Line:
             return
         words = _WORDS.findall(s)
         self.letters += len(_LETTERS.findall(s))
+        if not s.isascii():
+            self.foreign += len(_FOREIGN.findall(s))
         self.digits += sum(map(str.isdigit, s))
         self.marks += len(_MARKS.findall(s))
         self.words += len(words)
@@ -128,13 +133,18 @@ class Line:
         return out
 
 
-_SUMS = ("chars", "letters", "digits", "marks", "words", "word_chars", "common", "plain", "upper")
+_SUMS = ("chars", "letters", "digits", "marks", "words", "word_chars", "common", "plain", "upper", "foreign")
 
 
 def is_prose(x: Line) -> bool:
-    """Whether a line reads as running text: mostly plain words, enough of them common, few marks and figures."""
+    """Whether a line reads as running text: mostly plain words, enough of them common, few marks and figures.
+
+    The common words are of four languages, so in other scripts letters, marks and figures alone decide.
+    """
     if x.words == 0:
         return False
+    if 2 * x.foreign > x.letters:
+        return x.letters >= 0.55 * x.chars and x.marks <= 0.12 * x.words + 1
     common, plain, upper = x.common / x.words, x.plain / x.words, x.upper / x.words
     if x.longest > 60 or x.marks > 0.12 * x.words + 1 or x.letters < 0.55 * x.chars:
         return False

@@ -274,7 +274,7 @@ def test_text_counts_of_long_texts(spark):
 
 def test_junk_found(spark):
     junk = {1: TABLE, 2: "http://a.example/b/1\nhttp://c.example/d/2\n" * 9, 3: "QmFzZTY0IGlzIGEgZ3JvdXAgb2YgdHdvIGJpbmFyeQ\n" * 8, 4: "xqzt vrkp wmnb plgh tzzk\n" * 9, 5: PLAIN + "\n" + TABLE * 2}
-    good = {11: PLAIN, 12: PLAIN.upper(), 13: PLAIN.replace(" ", "\n", 3), 14: "Der Hafen war früh offen. Niemand hatte so viele Boote erwartet.", 15: "Le port était ouvert tôt. Personne ne s'attendait à tant de bateaux.", 16: "It rained.", 17: PLAIN * 3 + "\n" + TABLE[:60], 18: None, 19: ""}
+    good = {11: PLAIN, 12: PLAIN.upper(), 13: PLAIN.replace(" ", "\n", 3), 14: "Der Hafen war früh offen. Niemand hatte so viele Boote erwartet.", 15: "Le port était ouvert tôt. Personne ne s'attendait à tant de bateaux.", 16: "It rained.", 20: "Το λιμάνι άνοιξε νωρίς το πρωί. Κανείς δεν περίμενε τόσα πλοία.", 21: "港口清晨很早就开放了。没有人预料到会有这么多船只。", 17: PLAIN * 3 + "\n" + TABLE[:60], 18: None, 19: ""}
     rows = [(i, t, "fineweb_edu") for i, t in {**junk, **good}.items()] + [(50, TABLE, "stack_sql"), (51, TABLE, None), (1, TABLE, "fineweb_edu")]
     got = prose.junk_found(clashing(docs(spark, rows))).collect()
     assert sorted(r.row_id for r in got) == sorted(junk)
