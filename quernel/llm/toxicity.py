@@ -28,7 +28,7 @@ LEAST_DOCS = 2
 LOOK_ALIKE = str.maketrans("аеорсухіјѕԁһαεορνικτ", "aeopcyxijsdhaeopvikt")
 SIGNS = str.maketrans("@$0134578!|€", "asoieastbile")
 
-_INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯︀-️﻿]")
+_INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
 #: Letters spelt out, with one separator throughout; the last part may be the rest of the word unless blanks separate.
 _SPELT = re.compile(r"(?<![^\W_])[^\W\d_]([-._·*~])(?:[^\W\d_]\1)+[^\W\d_]+|(?<![^\W_])[^\W\d_](?: [^\W\d_]){2,}(?![^\W_])")
 _PIECES = re.compile(r"[^\W_](?:[\w@$!|€*'’]*[\w$@*])?|[@$][\w@$!|*]*\w", re.U)
