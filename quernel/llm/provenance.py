@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,15 +12,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.operators.similarity import components, links
+from quernel.operators.similarity import components, links, similar_pairs
 from quernel.session import cut
 from quernel.sources.tables import latest
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 SIMILAR = 0.8
-#: A copy of a third party's file has at least this many distinct shingles; shorter files are alike by chance.
-COPY_SHINGLES = 150
+#: Files that are alike are copies, not alike by chance, if they share so many shingles that are rare elsewhere: at most
+#: one file outside for so many files that have the shingle.
+COPY_RARE, COPY_OUTSIDE = 16, 10
 #: A file made by a tool repeats itself: at least so many tokens, at most so many distinct masked shingles a token.
 FAMILY_TOKENS, FAMILY_RATIO, FAMILY_FILES = 150, 0.2, 3
 #: At least this share of a tool's family consists of shingles that are mostly its own; what people write is not.
@@ -62,9 +64,10 @@ _GENERATED = re.compile(
     r"|^running\s+upgrade\s.*->|^\**\s*object:\s.*script\s+date:",
     re.I,
 )
+#: Says itself that it comes from elsewhere; the other notices may stand in the third party's own repository too.
+_COPIED = re.compile(r"^vendored\s+from\b|^third[- ]party:|^copied\s+(?:unchanged\s+)?from\s+the\b|^copied\s+unchanged\b", re.I)
 _THIRD = re.compile(
-    r"^vendored\s+from\b|^third[- ]party:|^copied\s+(?:unchanged\s+)?from\s+the\b|^copied\s+unchanged\b"
-    r"|\binstallation\s+script,\s*copyright\b|^copyright\s+\(c\)\s.*\bauthors\b|^\S+\s+v[\d.]+\s*\|\s*\("
+    r"\binstallation\s+script,\s*copyright\b|^copyright\s+\(c\)\s.*\bauthors\b|^\S+\s+v[\d.]+\s*\|\s*\("
     r"|\bis\s+free\s+software;\s+you\s+may\s+redistribute\b",
     re.I,
 )
@@ -176,14 +179,19 @@ def describe(content: str, repo: str | None) -> dict:
     ]
     body = _COMMENT.sub(" ", content)
     plain, masked = tokens(body)
-    a, b = shingles(plain), shingles(masked)
+    b = shingles(masked)
     no_strings = re.sub(r"'(?:[^']|'')*'", "''", body).strip()
     signs = len(_SIGN.findall(no_strings))
     share = data_share(body)
-    mine = {p for p in (repo or "").lower().split("/") if len(p) > 3}
-    own = bool(mine) and sum(p.split("_")[0] in mine for p in plain if p[0].isalpha()) >= 3
+    names = Counter(p.split("_")[0] for p in plain if p[0].isalpha() and p not in KEYWORDS)
+    names = {p: n for p, n in names.items() if len(p) > 3}
+    most = max(names.values(), default=0)
+    own = most >= 3 and any(names.get(p) == most for p in (repo or "").lower().split("/"))
+    whole = _TOKEN.findall(body.lower())
+    grams = shingles(whole)
     return {
         "generated": any(_GENERATED.search(x) for x in lines),
+        "copied": any(_COPIED.search(x) for x in lines),
         "third": any(_THIRD.search(x) for x in lines),
         "minified": share < DATA_SHARE
         and signs >= DENSE_SIGNS
@@ -191,19 +199,22 @@ def describe(content: str, repo: str | None) -> dict:
         and len(no_strings) >= DENSE_LINE * (no_strings.count("\n") + 1),
         "data_share": round(share, 6),
         "own": own,
-        "big": len(a) >= COPY_SHINGLES and share < DATA_SHARE,
+        "script": share < DATA_SHARE,
         "regular": share < DATA_SHARE and len(masked) >= FAMILY_TOKENS and len(b) <= FAMILY_RATIO * len(masked),
         "body": xxhash.xxh64_intdigest("\x1f".join(plain)) - (1 << 63),
-        "plain": signature(a).tolist(),
+        "whole": xxhash.xxh64_intdigest("\x1f".join(whole)) - (1 << 63),
+        "plain": signature(grams).tolist(),
+        "grams": (grams.astype(np.int64) - (1 << 31)).tolist(),
         "masked": signature(b).tolist(),
         "kinds": (b.astype(np.int64) - (1 << 31)).tolist(),
     }
 
 
-_FLAGS = ("generated", "third", "minified", "data_share", "own", "big", "regular", "body")
+_FLAGS = ("generated", "copied", "third", "minified", "data_share", "own", "script", "regular", "body", "whole")
+_SETS = ("plain", "grams", "masked", "kinds")
 _SCHEMA = (
-    "generated boolean, third boolean, minified boolean, data_share double, own boolean, big boolean, regular boolean, "
-    "body long, plain array<long>, masked array<long>, kinds array<int>"
+    "generated boolean, copied boolean, third boolean, minified boolean, data_share double, own boolean, script boolean, "
+    "regular boolean, body long, whole long, plain array<long>, grams array<int>, masked array<long>, kinds array<int>"
 )
 
 
@@ -222,12 +233,34 @@ def _own_families(files: DataFrame, components: DataFrame) -> DataFrame:
     return components.join(good, "component").select("body", F.col("component").alias("family_of"))
 
 
+def _copies(one: DataFrame, raw: DataFrame) -> DataFrame:
+    """``whole, copy_of``: scripts that are alike, literals and names included, in two repositories or more, and not by
+    chance.
+
+    All pairs of distinct token sequences are compared, however short. What many people write alike is told by its
+    shingles: they stand in other scripts too.
+    """
+    classes = cut(raw.where("script").groupBy("whole").agg(F.first("plain").alias("plain"), F.first("grams").alias("grams")))
+    alike = similar_pairs(classes, "whole", "plain", "grams", BANDS, ROWS, SIMILAR)
+    found = components(classes.select(F.col("whole").alias("k")), alike).select(F.col("k").alias("whole"), F.col("component").alias("copy_of"))
+    placed = cut(one.where("script").select("whole", F.coalesce("repo", F.lit("")).alias("repo")).join(found, "whole"))
+    wide = placed.groupBy("copy_of").agg(F.count_distinct("repo").alias("repos")).where("repos >= 2").select("copy_of")
+    wide = cut(wide)
+    counted = placed.groupBy("whole", "copy_of").agg(F.count("*").alias("files")).join(classes.select("whole", "grams"), "whole")
+    by_gram = cut(counted.select("copy_of", "files", F.explode("grams").alias("gram")).groupBy("copy_of", "gram").agg(F.sum("files").alias("n")))
+    inside = by_gram.join(wide, "copy_of", "left_semi").where("n >= 2")
+    everywhere = by_gram.groupBy("gram").agg(F.sum("n").alias("n_all"))
+    rare = inside.join(everywhere, "gram").where(COPY_OUTSIDE * (F.col("n_all") - F.col("n")) <= F.col("n"))
+    sure = rare.groupBy("copy_of").agg(F.count("*").alias("rare")).where(F.col("rare") >= COPY_RARE)
+    return found.join(sure.select("copy_of"), "copy_of", "left_semi")
+
+
 def file_evidence(files: DataFrame) -> DataFrame:
     """Per ``file_id``, at its latest delivery, the evidence against hand-written source.
 
     ``generated`` a comment of a tool; ``family`` the file repeats itself and, identifiers masked, is
-    like ``FAMILY_FILES`` files or more that share little with the rest of the corpus; ``minified``; ``data`` mostly rows of data; ``vendored`` a notice of
-    a third party, or a copy that stands in several repositories, unless the file's names are its own repository's.
+    like ``FAMILY_FILES`` files or more that share little with the rest of the corpus; ``minified``; ``data`` mostly rows of data; ``vendored`` a notice that it is
+    copied, or, unless most of its names are its own repository's, a notice of a third party or a copy that stands in several repositories.
     ``files`` has ``file_id, content, max_stars_repo_name, loaded_at``. A null, empty or blank content has no evidence;
     a null repository is no repository of its own.
     """
@@ -235,7 +268,7 @@ def file_evidence(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [describe(c or "", r) for c, r in zip(b["content"], b["repo"])]
-            yield pd.DataFrame({"k": b["k"], "repo": b["repo"], **{n: [r[n] for r in rows] for n in (*_FLAGS, "plain", "masked", "kinds")}})
+            yield pd.DataFrame({"k": b["k"], "repo": b["repo"], **{n: [r[n] for r in rows] for n in (*_FLAGS, *_SETS)}})
 
     kind, stamp = (files.schema[c].dataType.simpleString() for c in ("file_id", "loaded_at"))
     raw = files.select(
@@ -251,23 +284,21 @@ def file_evidence(files: DataFrame) -> DataFrame:
         nodes = classes.select(F.col("body").alias("k"))
         return components(nodes, links(classes, "body", name, BANDS, ROWS, SIMILAR)).withColumnRenamed("k", "body")
 
-    copies = grouped("big", "plain").withColumnRenamed("component", "copy_of")
+    copies = _copies(one, raw)
     families = cut(_own_families(raw, grouped("regular", "masked")))
-    all_ = one.join(copies, "body", "left").join(families, "body", "left")
+    all_ = one.join(copies, "whole", "left").join(families, "body", "left")
     all_ = cut(all_)
-    spread = all_.where("copy_of IS NOT NULL").groupBy("copy_of").agg(F.count_distinct(F.coalesce("repo", F.lit(""))).alias("repos"))
     sizes = all_.where("family_of IS NOT NULL").groupBy("family_of").agg(F.count("*").alias("relatives"))
     yes = lambda c: F.coalesce(c, F.lit(False))
     return (
-        all_.join(spread, "copy_of", "left")
-        .join(sizes, "family_of", "left")
+        all_.join(sizes, "family_of", "left")
         .select(
             "file_id",
             "generated",
             yes(F.col("relatives") >= FAMILY_FILES).alias("family"),
             "minified",
             (F.col("data_share") >= DATA_SHARE).alias("data"),
-            ((F.col("third") | yes(F.col("repos") >= 2)) & ~F.col("own")).alias("vendored"),
+            (F.col("copied") | (F.col("third") | F.col("copy_of").isNotNull()) & ~F.col("own")).alias("vendored"),
         )
     )
 

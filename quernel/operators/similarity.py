@@ -14,6 +14,8 @@ from quernel.session import cut
 SHINGLE = 5
 BANDS, ROWS = 16, 8
 SIMILAR = 0.8
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 256
 _MASK = (1 << 32) - 1
 
 
@@ -105,6 +107,30 @@ def links(classes: DataFrame, key: str, sig: str, bands: int = BANDS, rows: int
     return cut(found.distinct())
 
 
+def similar_pairs(classes: DataFrame, key: str, sig: str, grams: str, bands: int, rows: int, similar: float) -> DataFrame:
+    """``a, b``: all pairs ``a < b`` that share a band and whose sets ``grams`` of distinct hashes have that Jaccard.
+
+    Members of a large bucket meet in blocks of ``BLOCK``, so no task holds a whole bucket; each pair is judged once.
+    The work in a bucket is that of its pairs, as all of them count.
+    """
+    keys = cut(classes.select(F.col(key).alias("k"), band_keys(F.col(sig), bands, rows).alias("bands"), F.col(grams).alias("g")))
+    left = keys.select("k", F.explode("bands").alias("bucket"))
+    sizes = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    left = cut(left.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("k"), "blocks")))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    first = left.select(F.col("k").alias("a"), "bucket", F.col("mine").alias("i"), others.alias("j"))
+    second = left.select(F.col("k").alias("b"), "bucket", others.alias("i"), F.col("mine").alias("j"))
+    pairs = first.join(second, ["bucket", "i", "j"]).where("a < b").select("a", "b").distinct()
+    sets = keys.select("k", "g")
+    both = F.size(F.array_intersect("x", "y"))
+    return cut(
+        pairs.join(sets.select(F.col("k").alias("a"), F.col("g").alias("x")), "a")
+        .join(sets.select(F.col("k").alias("b"), F.col("g").alias("y")), "b")
+        .where(both / (F.size("x") + F.size("y") - both) >= similar)
+        .select("a", "b")
+    )
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``k, component``: the least node that each node is linked to. ``nodes`` has ``k``, ``edges`` has ``a, b``.
 

@@ -130,6 +130,17 @@ def test_families_of_one_tool(spark):
     assert got == {0, 1, 2, 3, 4}
 
 
+def test_short_copies_and_names_of_the_repository(spark):
+    lib = "create function quickq.take(p_slot bigint) returns bigint as 'select max(id) from quickq_leases where slot_id = p_slot' language sql;\nselect quickq.take(41), quickq.drop_lease('x7', 90) from quickq_slots where epoch > 12;\n"
+    orders = "create table orders_a (orders_id int);\ncreate view orders_v as select orders_id from orders_a;\n"
+    rows = [(i, lib, f"u{i}/app{i}", T0) for i in range(3)] + [(9, lib.replace("12", "13"), "w/app", T0), (10, lib, "quickq/core", T0)]
+    rows += [(20 + i, "alter table orders add column status int;", f"u{i}/x", T0) for i in range(4)]
+    rows += [(30, "-- vendored from a/b @ 12ab\n" + orders, "x/orders", T0), (31, orders, "x/orders", T0)]
+    rows += [(40 + i, library("quickq") + "select orders_id, orders_day, orders_sum from quickq_log;\n", r, T0) for i, r in enumerate(["x/orders", "y/a", "z/b"])]
+    got = {r.file_id for r in provenance.file_evidence(spark.createDataFrame(rows, FILE)).where("vendored").collect()}
+    assert got == {0, 1, 2, 9, 30, 40, 41, 42}
+
+
 # ---------------------------------------------------------------------------------------------------------- 3 cutoff
 TARGET = "source string, keep_frac double, mix_weight double, max_repeats int"
 
