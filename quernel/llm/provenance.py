@@ -26,6 +26,8 @@ COPY_RARE, COPY_OUTSIDE = 16, 10
 FAMILY_TOKENS, FAMILY_RATIO, FAMILY_FILES = 150, 0.2, 3
 #: At least this share of a tool's family consists of shingles that are mostly its own; what people write is not.
 FAMILY_OWN = 0.5
+#: Any other script is a tool's if this share of its masked shingles, and so many, are mostly those of tools' families.
+FAMILY_LIKE, FAMILY_KINDS = 0.8, 16
 DATA_SHARE = 0.75
 #: Minified: so many separators, mostly without a blank behind them, on lines of such a mean length.
 DENSE_SIGNS, DENSE_SHARE, DENSE_LINE = 20, 0.7, 200
@@ -218,19 +220,27 @@ _SCHEMA = (
 )
 
 
-def _own_families(files: DataFrame, components: DataFrame) -> DataFrame:
-    """``body, family_of`` of the families whose masked shingles hardly occur outside of them.
+def _own_families(one: DataFrame, raw: DataFrame, components: DataFrame) -> DataFrame:
+    """``body`` of the families of ``FAMILY_FILES`` files whose masked shingles hardly occur outside of all such groups,
+    and of the scripts, long or short, that consist of the shingles of such families.
 
+    Variants of one tool's output support each other, as a shingle is weighed against the files that are in no group.
     Shingles are counted once for each distinct token sequence, over the whole corpus. There are few masked shingles,
     so nearly all of the counting is done before the shuffle.
     """
-    kinds = files.groupBy("body").agg(F.first("kinds").alias("kinds")).select("body", F.explode("kinds").alias("kind"))
-    kinds = cut(kinds)
-    everywhere = kinds.groupBy("kind").agg(F.count("*").alias("n_all"))
-    inside = kinds.join(components, "body").groupBy("component", "kind").agg(F.count("*").alias("n"))
-    own = F.sum(F.when(2 * F.col("n") >= F.col("n_all"), F.col("n")).otherwise(0)) / F.sum("n")
-    good = inside.join(everywhere, "kind").groupBy("component").agg(own.alias("own")).where(F.col("own") >= FAMILY_OWN)
-    return components.join(good, "component").select("body", F.col("component").alias("family_of"))
+    sizes = one.join(components, "body").groupBy("component").agg(F.count("*").alias("files")).where(F.col("files") >= FAMILY_FILES)
+    groups = cut(components.join(sizes.select("component"), "component", "left_semi"))
+    kinds = raw.groupBy("body").agg(F.first("kinds").alias("kinds"), F.first("script").alias("script"))
+    kinds = cut(kinds.select("body", "script", F.explode("kinds").alias("kind")).join(groups, "body", "left"))
+    everywhere = kinds.groupBy("kind").agg(F.count("*").alias("n_all"), F.count("component").alias("n_groups"))
+    inside = kinds.where("component IS NOT NULL").groupBy("component", "kind").agg(F.count("*").alias("n"))
+    own = F.sum(F.when(2 * F.col("n_groups") >= F.col("n_all"), F.col("n")).otherwise(0)) / F.sum("n")
+    good = cut(inside.join(everywhere, "kind").groupBy("component").agg(own.alias("own")).where(F.col("own") >= FAMILY_OWN).select("component"))
+    tool = kinds.join(good, "component", "left_semi").groupBy("kind").agg(F.count("*").alias("n_tool"))
+    theirs = everywhere.join(tool, "kind").where(2 * F.col("n_tool") >= F.col("n_all")).select("kind", F.lit(1).alias("theirs"))
+    scored = kinds.where("script").join(theirs, "kind", "left").groupBy("body").agg(F.count("theirs").alias("theirs"), F.count("*").alias("n"))
+    like = scored.where((F.col("theirs") >= FAMILY_LIKE * F.col("n")) & (F.col("theirs") >= FAMILY_KINDS)).select("body")
+    return groups.join(good, "component", "left_semi").select("body").union(like).distinct()
 
 
 def _copies(one: DataFrame, raw: DataFrame) -> DataFrame:
@@ -259,7 +269,7 @@ def file_evidence(files: DataFrame) -> DataFrame:
     """Per ``file_id``, at its latest delivery, the evidence against hand-written source.
 
     ``generated`` a comment of a tool; ``family`` the file repeats itself and, identifiers masked, is
-    like ``FAMILY_FILES`` files or more that share little with the rest of the corpus; ``minified``; ``data`` mostly rows of data; ``vendored`` a notice that it is
+    like ``FAMILY_FILES`` files or more that share little with hand-written ones, or consists of the shingles of such files; ``minified``; ``data`` mostly rows of data; ``vendored`` a notice that it is
     copied, or, unless most of its names are its own repository's, a notice of a third party or a copy that stands in several repositories.
     ``files`` has ``file_id, content, max_stars_repo_name, loaded_at``. A null, empty or blank content has no evidence;
     a null repository is no repository of its own.
@@ -285,21 +295,15 @@ def file_evidence(files: DataFrame) -> DataFrame:
         return components(nodes, links(classes, "body", name, BANDS, ROWS, SIMILAR)).withColumnRenamed("k", "body")
 
     copies = _copies(one, raw)
-    families = cut(_own_families(raw, grouped("regular", "masked")))
+    families = cut(_own_families(one, raw, grouped("regular", "masked")).withColumn("family", F.lit(True)))
     all_ = one.join(copies, "whole", "left").join(families, "body", "left")
-    all_ = cut(all_)
-    sizes = all_.where("family_of IS NOT NULL").groupBy("family_of").agg(F.count("*").alias("relatives"))
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    return (
-        all_.join(sizes, "family_of", "left")
-        .select(
-            "file_id",
-            "generated",
-            yes(F.col("relatives") >= FAMILY_FILES).alias("family"),
-            "minified",
-            (F.col("data_share") >= DATA_SHARE).alias("data"),
-            (F.col("copied") | (F.col("third") | F.col("copy_of").isNotNull()) & ~F.col("own")).alias("vendored"),
-        )
+    return all_.select(
+        "file_id",
+        "generated",
+        F.coalesce("family", F.lit(False)).alias("family"),
+        "minified",
+        (F.col("data_share") >= DATA_SHARE).alias("data"),
+        (F.col("copied") | (F.col("third") | F.col("copy_of").isNotNull()) & ~F.col("own")).alias("vendored"),
     )
 
 

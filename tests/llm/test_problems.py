@@ -141,6 +141,20 @@ def test_short_copies_and_names_of_the_repository(spark):
     assert got == {0, 1, 2, 9, 30, 40, 41, 42}
 
 
+def test_variants_of_one_tool_and_its_short_files(spark):
+    def made(t, extra, times):
+        base = f"CREATE PROCEDURE {t}_ins @a INT AS\nINSERT INTO {t} (a, b) VALUES (@a, @b)\nGO\nCREATE PROCEDURE {t}_del @a INT AS\nDELETE FROM {t} WHERE a = @a\nGO\n"
+        return (base + extra.replace("#", t)) * times
+
+    extras = ["GRANT EXECUTE ON #_ins TO PUBLIC\nGRANT EXECUTE ON #_del TO ops\nGO\n", "CREATE INDEX #_x ON # (b DESC)\nCREATE UNIQUE INDEX #_y ON # (a)\nGO\n", "ALTER TABLE # ADD CONSTRAINT #_p PRIMARY KEY (a)\nDROP VIEW IF EXISTS #_v\nGO\n"]
+    rows = [(10 * v + i, made(f"tab{v}{i}", x, 8), f"u/r{v}{i}", T0) for v, x in enumerate(extras) for i in range(3)]
+    rows += [(50, made("few", "", 2), "u/few", T0)] + [(100 + i, HAND.replace("town", f"t{i}"), f"v/r{i}", T0) for i in range(5)]
+    sets = [set(provenance.shingles(provenance.tokens(made("t", x, 8))[1]).tolist()) for x in extras]
+    assert all(len(a & b) / len(a | b) < 0.7 and 2 * len(a & b) > len(a) for a in sets for b in sets if a is not b)
+    got = {r.file_id for r in provenance.file_evidence(spark.createDataFrame(rows, FILE)).where("family").collect()}
+    assert got == {0, 1, 2, 10, 11, 12, 20, 21, 22, 50}
+
+
 # ---------------------------------------------------------------------------------------------------------- 3 cutoff
 TARGET = "source string, keep_frac double, mix_weight double, max_repeats int"
 
