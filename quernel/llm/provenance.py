@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.operators.similarity import components, links, similar_pairs
+from quernel.operators.similarity import components, links
 from quernel.session import cut
 from quernel.sources.tables import latest
 
@@ -251,7 +251,7 @@ def _copies(one: DataFrame, raw: DataFrame) -> DataFrame:
     shingles: they stand in other scripts too.
     """
     classes = cut(raw.where("script").groupBy("whole").agg(F.first("plain").alias("plain"), F.first("grams").alias("grams")))
-    alike = similar_pairs(classes, "whole", "plain", "grams", BANDS, ROWS, SIMILAR)
+    alike = links(classes, "whole", "plain", "grams", BANDS, ROWS, SIMILAR)
     found = components(classes.select(F.col("whole").alias("k")), alike).select(F.col("k").alias("whole"), F.col("component").alias("copy_of"))
     placed = cut(one.where("script").select("whole", F.coalesce("repo", F.lit("")).alias("repo")).join(found, "whole"))
     wide = placed.groupBy("copy_of").agg(F.count_distinct("repo").alias("repos")).where("repos >= 2").select("copy_of")
@@ -288,14 +288,14 @@ def file_evidence(files: DataFrame) -> DataFrame:
     one = latest(raw.select("k.file_id", "k.loaded_at", "repo", *_FLAGS), "file_id", ["repo", *_FLAGS])
     one = cut(one)
 
-    def grouped(flag: str, name: str) -> DataFrame:
-        """``body, component`` of the flagged classes of equal token sequences, clustered by one signature."""
-        classes = cut(raw.where(flag).groupBy("body").agg(F.first(name).alias(name)))
-        nodes = classes.select(F.col("body").alias("k"))
-        return components(nodes, links(classes, "body", name, BANDS, ROWS, SIMILAR)).withColumnRenamed("k", "body")
+    # Regular files of one set of masked shingles are one node; a tool's files are often equal once names are masked.
+    shaped = cut(raw.where("regular").select("body", F.xxhash64("kinds").alias("shape"), "masked", "kinds"))
+    shapes = shaped.groupBy("shape").agg(F.first("masked").alias("masked"), F.first("kinds").alias("kinds"))
+    grouped = components(shapes.select(F.col("shape").alias("k")), links(shapes, "shape", "masked", "kinds", BANDS, ROWS, SIMILAR))
+    regular = shaped.select("body", "shape").distinct().join(grouped, F.col("shape") == F.col("k")).select("body", "component")
 
     copies = _copies(one, raw)
-    families = cut(_own_families(one, raw, grouped("regular", "masked")).withColumn("family", F.lit(True)))
+    families = cut(_own_families(one, raw, regular).withColumn("family", F.lit(True)))
     all_ = one.join(copies, "whole", "left").join(families, "body", "left")
     return all_.select(
         "file_id",

@@ -12,7 +12,8 @@ from quernel.functions.text import words
 from quernel.session import cut
 
 SHINGLE = 5
-BANDS, ROWS = 16, 8
+#: At the Jaccard ``SIMILAR`` one pair in ten million shares no band.
+BANDS, ROWS = 32, 4
 SIMILAR = 0.8
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 256
@@ -56,17 +57,21 @@ def signature(tokens: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([one(t, x) for t, x in zip(tokens, text)])
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def shingle_set(tokens: pd.Series, text: pd.Series) -> pd.Series:
+    """The hashes of the shingles as signed integers. Null for a null text."""
+
+    def one(t, whole):
+        return None if whole is None else np.array(shingle_hashes(list(t), whole), dtype=np.uint32).astype(np.int32)
+
+    return pd.Series([one(t, x) for t, x in zip(tokens, text)])
+
+
 def band_keys(sig: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
     """One key a band; bands do not share keys."""
     return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice(sig, i * rows + 1, rows), i))
 
 
-def agreement(a: Column, b: Column) -> Column:
-    """Share of equal places in two signatures."""
-    same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
-    return same / F.size(a)
-
-
 def exact_keep(df: DataFrame, text: str, order: list[str]) -> DataFrame:
     """The first row of each text in ``order``. Only a hash, the length and the order are reduced by text; equal hashes
     of 128 bits are taken as equal texts. Null texts are one class."""
@@ -75,39 +80,7 @@ def exact_keep(df: DataFrame, text: str, order: list[str]) -> DataFrame:
     return df.join(firsts, order, "left_semi")
 
 
-def links(classes: DataFrame, key: str, sig: str, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR, levels: int = 4) -> DataFrame:
-    """``a, b``: verified links between rows that share a band of their signatures.
-
-    In each bucket all members are compared with its first one. Those that are not similar to it are split by one more
-    band and compared with the first ones of the finer buckets, and so on for ``levels`` levels, by when what shares a
-    bucket agrees in most of its signature. So the work is linear in a bucket, however large, with a fixed number of
-    rounds, and no list of all pairs. Similar rows that never meet directly are joined over their representatives.
-    """
-    keys = cut(classes.select(F.col(key).alias("k"), F.col(sig).alias("s"), band_keys(F.col(sig), bands, rows).alias("bands")))
-    sigs = keys.select("k", "s")
-    left = keys.select("k", F.posexplode("bands").alias("band", "bucket"))
-    found = None
-    for level in range(1, levels + 1):
-        reps = left.groupBy("bucket").agg(F.min("k").alias("rep"), F.count("*").alias("n")).where("n > 1")
-        pairs = left.join(reps.select("bucket", "rep"), "bucket").where("k <> rep")
-        judged = cut(
-            pairs.select("k", "rep").distinct()
-            .join(sigs, "k")
-            .join(sigs.select(F.col("k").alias("rep"), F.col("s").alias("r")), "rep")
-            .select("k", "rep", (agreement(F.col("s"), F.col("r")) >= similar).alias("same"))
-        )
-        good = judged.where("same").select(F.col("rep").alias("a"), F.col("k").alias("b"))
-        found = good if found is None else found.unionByName(good)
-        if level < levels:
-            finer = F.xxhash64("bucket", F.get("bands", (F.col("band") + level) % bands))
-            left = cut(
-                pairs.join(judged.where(~F.col("same")), ["k", "rep"]).select("k", "band", "bucket")
-                .join(keys.select("k", "bands"), "k").select("k", "band", finer.alias("bucket"))
-            )
-    return cut(found.distinct())
-
-
-def similar_pairs(classes: DataFrame, key: str, sig: str, grams: str, bands: int, rows: int, similar: float) -> DataFrame:
+def links(classes: DataFrame, key: str, sig: str, grams: str, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR) -> DataFrame:
     """``a, b``: all pairs ``a < b`` that share a band and whose sets ``grams`` of distinct hashes have that Jaccard.
 
     Members of a large bucket meet in blocks of ``BLOCK``, so no task holds a whole bucket; each pair is judged once.
@@ -152,10 +125,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, class_id, links, keep``: near-duplicate class of each row, its verified links, and whether it is kept.
 
-    Rows of equal text are one node. A class is a connected component of nodes whose signatures agree in ``SIMILAR`` of
-    their places; its id is the least key in it. The longest text is kept, ties to the least key. ``links`` counts the
+    Rows of equal text are one node. A class is a connected component of nodes whose shingle sets have the Jaccard
+    ``SIMILAR``; its id is the least key in it. The longest text is kept, ties to the least key. ``links`` counts the
     links of a row's text to other texts. Null texts form one class; of an id given twice the longest text counts. Texts
-    are hashed and signed where they are read and never shuffled.
+    are hashed and signed where they are read and never shuffled; their sets of shingles are.
     """
     d = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     small = d.select("id", F.coalesce(F.md5("text"), F.lit("")).alias("h"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
@@ -164,11 +137,11 @@ def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     nodes = cut(reps)
     sigs = cut(
         d.where(F.col("text").isNotNull())
-        .select(F.col("id").alias("k"), F.md5("text").alias("h"), signature(words(F.col("text")), "text").alias("sig"))
+        .select(F.col("id").alias("k"), F.md5("text").alias("h"), signature(words(F.col("text")), "text").alias("sig"), shingle_set(words(F.col("text")), "text").alias("grams"))
         .join(nodes.select("k", "h"), ["k", "h"], "left_semi")
-        .groupBy("k").agg(F.first("sig").alias("sig"))
+        .groupBy("k").agg(F.first("sig").alias("sig"), F.first("grams").alias("grams"))
     )
-    edges = links(sigs, "k", "sig")
+    edges = links(sigs, "k", "sig", "grams")
     comp = components(nodes, edges)
     degree = edges.select(F.col("a").alias("k")).unionByName(edges.select(F.col("b").alias("k"))).groupBy("k").agg(F.count("*").alias("links"))
     texts = nodes.join(comp, "k").join(degree, "k", "left")

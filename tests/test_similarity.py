@@ -55,6 +55,22 @@ def test_near_duplicates_equal_brute_force(spark):
     assert similarity.near_duplicates(df.limit(0), "id", "t").collect() == []
 
 
+def test_all_similar_pairs_are_linked(spark):
+    rng = random.Random(5)
+    base = text(rng, 200).split()
+    rows = []
+    for i in range(60):  # like boilerplate: mutual similarities around 0.8
+        w = list(base)
+        for _ in range(2 + i % 2):
+            w[rng.randrange(len(w))] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    sets = {i: set(similarity.shingle_hashes(t.split(), t)) for i, t in rows}
+    pairs = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert 20 < len(pairs) < 60 * 59 / 2 * 0.9
+    got = {r.id: r.links for r in similarity.near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
+    assert got == {i: sum(i in p for p in pairs) for i in sets}
+
+
 def test_components_of_a_long_path(spark):
     nodes = spark.createDataFrame([(i,) for i in range(60)], "k long")
     edges = spark.createDataFrame([(i, i + 1) for i in range(39)] + [(50, 51)], "a long, b long")
