@@ -17,6 +17,10 @@ from quernel.sources.tables import latest
 #: A case repeats at least this share of its characters.
 CASE = 1 / 3
 NGRAM = 8
+#: Shorter runs of words count if they stood so many times before.
+PHRASES = {7: 1, 6: 1, 5: 1, 4: 1, 3: 2}
+#: Letters of a run inside one word that stood earlier in it.
+LETTERS = 9
 LONGEST_PERIOD = 12
 NEAR = 0.85
 
@@ -38,22 +42,33 @@ def _cover(marks: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _ngrams(ids: np.ndarray) -> np.ndarray:
-    """Words in runs of NGRAM words, numbers being equal to each other, that occurred before."""
+def _again(ids: np.ndarray, size: int, before: int) -> np.ndarray:
+    """Places in runs of ``size`` equal ids that occurred ``before`` times before."""
     marks = np.zeros(len(ids) + 1, dtype=np.int64)
-    k = len(ids) - NGRAM + 1
-    if k > 1:
+    k = len(ids) - size + 1
+    if k > before:
         gram = np.zeros(k, dtype=np.uint64)
-        for j in range(NGRAM):
+        for j in range(size):
             gram = gram * np.uint64(0x9E3779B97F4A7C15) + ids[j : j + k] + np.uint64(1)
-        again = np.ones(k, dtype=bool)
-        again[np.unique(gram, return_index=True)[1]] = False
-        at = np.flatnonzero(again)
+        order = np.argsort(gram, kind="stable")
+        ordered = gram[order]
+        first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        begin = np.maximum.accumulate(np.where(first, np.arange(k), 0))
+        at = order[np.arange(k) - begin >= before]
         np.add.at(marks, at, 1)
-        np.add.at(marks, at + NGRAM, -1)
+        np.add.at(marks, at + size, -1)
     return np.cumsum(marks)[:-1] > 0
 
 
+def _ngrams(ids: np.ndarray) -> np.ndarray:
+    """Words in runs of NGRAM words, numbers being equal to each other, that occurred before, or in shorter runs that
+    occurred again and again."""
+    marks = _again(ids, NGRAM, 1)
+    for size, before in PHRASES.items():
+        marks |= _again(ids, size, before)
+    return marks
+
+
 def _periods(ids: np.ndarray) -> np.ndarray:
     """Words in three or more rounds of a few words; the first round is not marked."""
     marks = np.zeros(len(ids), dtype=bool)
@@ -74,7 +89,7 @@ def _units(bounds: Iterator[tuple[int, int]], text: str, ids: list[int], starts:
     with an earlier one. Gives the marked characters and the number of units."""
     mask = np.zeros(len(text), dtype=bool)
     seen: set = set()
-    by_gram: dict[tuple, Counter] = {}
+    by_gram: dict[tuple, list[Counter]] = {}
     count = at = 0
     for begin, end in bounds:
         first = at
@@ -94,10 +109,11 @@ def _units(bounds: Iterator[tuple[int, int]], text: str, ids: list[int], starts:
         if near and len(words) >= 5:
             bag, n = Counter(words), len(words)
             grams = list(zip(words, words[1:], words[2:]))
-            others = {id(o): o for o in map(by_gram.get, grams) if o is not None and 2 * min(o.total(), n) >= NEAR * (o.total() + n)}
+            others = {id(o): o for g in grams for o in by_gram.get(g, ()) if 2 * min(o.total(), n) >= NEAR * (o.total() + n)}
             if any(2 * (bag & o).total() >= NEAR * (n + o.total()) for o in others.values()):
                 mask[begin:end] = True
-            by_gram.update(dict.fromkeys(grams, bag))
+            for g in set(grams):
+                by_gram.setdefault(g, []).append(bag)
     return mask, count
 
 
@@ -126,6 +142,8 @@ def repetition(text: str) -> dict[str, float]:
         for m in _RUN.finditer(word.group()):
             if m.end() - m.start() >= 12:  # six or more rounds of a few letters
                 masks["periods"][word.start() + m.start() + len(m.group(1)) : word.start() + m.end()] = True
+        letters = np.array([ord(c) for c in word.group()], dtype=np.uint64)
+        masks["periods"][word.start() : word.end()] |= _again(letters, LETTERS, 1)
     masks["lines"], lines = _units(_line_bounds(text), text, listed, begins, 0, False)
     masks["sentences"], _ = _units((m.span() for m in _SENTENCE.finditer(text)), text, listed, begins, 4, True)
     union = np.logical_or.reduce(list(masks.values()))

@@ -72,6 +72,25 @@ def test_repetition_cases(spark):
     assert repetition.cases(spark.createDataFrame([], RECORD)).collect() == []
 
 
+def test_short_phrases_and_blocks_of_letters(spark):
+    rng = random.Random(3)
+    fill = [f"{a}{b}" for a in "ba be bi bo bu da de di do du fa fe fi fo".split() for b in "lor min sat ket rup".split()]
+    stuffed = " ".join(" ".join(rng.choices(fill, k=5)) + " buy cheap running shoes online" for _ in range(40)) + "."
+    blocks = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=14)) * 8 for _ in range(4))
+    near = " ".join(f"The {a} house beside the old river stands quite alone tonight and {b}." for a, b in zip(fill[:20], fill[20:]))
+    assert all(repetition.repetition(t)["all"] >= 0.4 for t in (stuffed, blocks, near))
+    assert repetition.repetition(PLAIN)["all"] < 0.2
+    # the newest sentence of a trigram is not the alike one
+    first = "one two three four five six seven eight nine ten eleven twelve"
+    other = "one two three " + " ".join(fill[:9])
+    third = "one two three four five six seven zero nine ten eleven twelve"
+    assert repetition.repetition(f"{first}. {other}. {third}.")["sentences"] > 0.25
+    rows = [("web_pages", i, T0, PLAIN + f" Then {i} more came.") for i in range(30)] + [("web_pages", 100 + i, T0, "buy now " * 120) for i in range(10)]
+    rows += [("web_pages", 200, T0, stuffed), ("web_pages", 201, T0, blocks)]
+    got = {r.rec_id for r in repetition.cases(spark.createDataFrame(rows, RECORD)).collect()}
+    assert got == {*range(100, 110), 200, 201}
+
+
 def test_expectation_maximisation_tells_good_rules_from_bad():
     random.seed(1)
     n = Counter()
