@@ -256,8 +256,12 @@ def special_pieces(s, d):
     return t.select("row_id", F.size(bpe.split_specials(F.col("text"))).alias("pieces"), F.size(F.filter(bpe.split_specials(F.col("text")), lambda p: p.isin(*bpe.SPECIALS))).alias("specials"))
 
 
+# Fixed value: the reference's vocabulary, of bytes, merges and control tokens.
+VOCABULARY = 32_768
+
+
 def _vocabulary(s, d):
-    return bpe.Vocabulary(bpe.train(bpe.chunk_counts(table(s, d, "documents", "text")), 200, 2))
+    return bpe.Vocabulary(bpe.train(bpe.chunk_counts(table(s, d, "documents", "text")), VOCABULARY - 256 - len(bpe.SPECIALS), 2))
 
 
 @query

@@ -65,6 +65,15 @@ def test_training_equals_the_plain_loop():
     assert bpe.merge([1, 1, 1, 2], (1, 1), 9) == [9, 1, 2]
 
 
+def test_merges_go_on_to_the_whole_vocabulary(spark, tmp_path):
+    from quernel.plans.queries import QUERIES
+
+    names = [f"{a}{b}{c}" for a in "bcdfghklmn" for b in "aeiou" for c in "rstvwxz"]
+    spark.createDataFrame([(i, f"{w} {w}") for i, w in enumerate(names)] * 2, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    pieces = {bytes(r.piece) for r in QUERIES["bpe_merges"](spark, str(tmp_path)).collect()}
+    assert {n.encode() for n in names} <= pieces  # 350 words and their parts, far more than 200 merges
+
+
 def test_vocabulary_round_trip(spark, tmp_path):
     texts = ["SELECT name FROM users WHERE id = 1;"] * 30 + ["The quick brown fox"] * 30
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
