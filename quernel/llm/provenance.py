@@ -29,6 +29,12 @@ FAMILY_OWN = 0.5
 #: Any other script is a tool's if this share of its masked shingles, and so many, are mostly those of tools' families.
 FAMILY_LIKE, FAMILY_KINDS = 0.8, 16
 DATA_SHARE = 0.75
+#: What comments say is told from corpus counts: runs of words in so many files, rounds of expectation-maximisation, what a
+#: verdict needs, and the weights to begin with: of files whose comments stand only at an edge, and of the others.
+REMARK_FILES, REMARK_ROUNDS, REMARK_SURE = 3, 5, 0.95
+REMARK_EDGE, REMARK_INSIDE = 0.5, 0.02
+#: Rows of a side that is broadcast.
+BROADCAST_ROWS = 500_000
 #: Minified: so many separators, mostly without a blank behind them, on lines of such a mean length.
 DENSE_SIGNS, DENSE_SHARE, DENSE_LINE = 20, 0.7, 200
 
@@ -54,27 +60,16 @@ _STATEMENT = re.compile(
 )
 _ROWS = re.compile(r"\s*insert\s+into\s[^;']*?\bvalues\b", re.I)
 _COPY = re.compile(r"\s*copy\s.*\bfrom\s+stdin\s*$", re.I | re.S)
+# What files say of themselves. They decide only where the clusters and the corpus counts do not.
 _GENERATED = re.compile(
-    r"^(?:(?:this|the)\s+(?:file|script|code|schema)\s+(?:was|is|has\s+been)\s+)?(?:code\s+)?"
-    r"(?:auto[- ]?generated|generated|written|exported|emitted|produced|created|printed|built|output|machine[- ](?:written|made|generated))"
-    r"\s+(?:(?:automatically|entirely|on\s+\S+|[\d-]+)\s+)*(?:by|with|of|from)\s"
-    r"|\bauto-?generated\b|^@generated\b|^machine\s+written\b|^</?auto(?:gen)?>|^eof:\s+\w+\s+by\b|^end\s+of\s+generated\b"
-    r"|\b(?:created|produced|generated|written)\s+automatically\b|\bsnapshot\s+written\s+by\b"
-    r"|\bdo\s+not\s+(?:edit|modify)\b(?=\s*(?:[.!;,]|$|by\s+hand|manually|this\s+file))"
-    r"|\b(?:edits|changes)\s+(?:made\s+here\s+)?(?:will\s+be\s+lost|are\s+overwritten)|\boverwritten\s+at\s+(?:every|the\s+next)\s+build"
-    r"|\bautomatisch\s+erzeugt\b|\bproduit\s+automatiquement\b|\bgenerado\s+autom[aá]ticamente\b"
-    r"|^running\s+upgrade\s.*->|^\**\s*object:\s.*script\s+date:",
-    re.I,
-)
-#: Says itself that it comes from elsewhere; the other notices may stand in the third party's own repository too.
-_COPIED = re.compile(r"^vendored\s+from\b|^third[- ]party:|^copied\s+(?:unchanged\s+)?from\s+the\b|^copied\s+unchanged\b", re.I)
-_THIRD = re.compile(
-    r"\binstallation\s+script,\s*copyright\b|^copyright\s+\(c\)\s.*\bauthors\b|^\S+\s+v[\d.]+\s*\|\s*\("
-    r"|\bis\s+free\s+software;\s+you\s+may\s+redistribute\b",
+    r"^(?:this\s+(?:file|script)\s+(?:was|is)\s+)?(?:auto[- ]?generated|generated|machine[- ]written)\s+(?:automatically\s+)?(?:by|with|from)\s"
+    r"|^@generated\b|\bdo\s+not\s+(?:edit|modify)\b(?=\s*(?:[.!;,]|$|by\s+hand|manually|this\s+file))",
     re.I,
 )
+_COPIED = re.compile(r"^vendored\s+from\b|^third[- ]party:|^copied\s+(?:unchanged\s+)?from\s+the\b", re.I)
 _SIGN = re.compile(r"[,;=<>]")
 _TIGHT = re.compile(r"[,;=<>](?=[^\s=>])")
+_REMARK = re.compile(r"\w+|[^\w\s]")
 
 
 #: Hashes of single tokens that a worker remembers; emptied when full.
@@ -134,6 +129,28 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return best.astype(np.int64)
 
 
+def remarks(content: str) -> tuple[list[int], bool]:
+    """Hashes of the words and word pairs of the comments, figures being equal to each other, and whether all comments
+    stand on lines of their own before the first or behind the last statement."""
+    grams: set[str] = set()
+    spans: list[list[int]] = []
+    for m in _COMMENT.finditer(content):
+        if spans and not content[spans[-1][1] : m.start()].strip():
+            spans[-1][1] = m.end()
+        else:
+            spans.append([m.start(), m.end()])
+        for line in m.group().lower().split("\n"):
+            words = ["0" if any(map(str.isdigit, w)) else w for w in _REMARK.findall(line.strip(" \t\r-/*#!"))]
+            grams.update(words)
+            grams.update(map(" ".join, zip(["^", *words], [*words, "$"])) if words else ())
+    first = len(content) - len(content.lstrip())
+    last = len(content.rstrip())
+    edge = all(
+        (b <= first or e >= last) and not content[content.rfind("\n", 0, b) + 1 : b].strip() for b, e in spans
+    )
+    return sorted(_hash(g) - (1 << 63) for g in grams), edge
+
+
 def data_share(body: str) -> float:
     """Share of the characters that are rows of data: inserted literals, copied rows, or no statements at all."""
     if not body.strip():
@@ -191,10 +208,10 @@ def describe(content: str, repo: str | None) -> dict:
     own = most >= 3 and any(names.get(p) == most for p in (repo or "").lower().split("/"))
     whole = _TOKEN.findall(body.lower())
     grams = shingles(whole)
+    said, edge = remarks(content)
     return {
         "generated": any(_GENERATED.search(x) for x in lines),
         "copied": any(_COPIED.search(x) for x in lines),
-        "third": any(_THIRD.search(x) for x in lines),
         "minified": share < DATA_SHARE
         and signs >= DENSE_SIGNS
         and len(_TIGHT.findall(no_strings)) >= DENSE_SHARE * signs
@@ -203,6 +220,9 @@ def describe(content: str, repo: str | None) -> dict:
         "own": own,
         "script": share < DATA_SHARE,
         "regular": share < DATA_SHARE and len(masked) >= FAMILY_TOKENS and len(b) <= FAMILY_RATIO * len(masked),
+        "edge": edge,
+        "talk": xxhash.xxh64_intdigest(repr((said, edge))) - (1 << 63) if said else None,
+        "said": said,
         "body": xxhash.xxh64_intdigest("\x1f".join(plain)) - (1 << 63),
         "whole": xxhash.xxh64_intdigest("\x1f".join(whole)) - (1 << 63),
         "plain": signature(grams).tolist(),
@@ -212,14 +232,19 @@ def describe(content: str, repo: str | None) -> dict:
     }
 
 
-_FLAGS = ("generated", "copied", "third", "minified", "data_share", "own", "script", "regular", "body", "whole")
-_SETS = ("plain", "grams", "masked", "kinds")
+_FLAGS = ("generated", "copied", "minified", "data_share", "own", "script", "regular", "edge", "talk", "body", "whole")
+_SETS = ("said", "plain", "grams", "masked", "kinds")
 _SCHEMA = (
-    "generated boolean, copied boolean, third boolean, minified boolean, data_share double, own boolean, script boolean, "
-    "regular boolean, body long, whole long, plain array<long>, grams array<int>, masked array<long>, kinds array<int>"
+    "generated boolean, copied boolean, minified boolean, data_share double, own boolean, script boolean, "
+    "regular boolean, edge boolean, talk long, body long, whole long, "
+    "said array<long>, plain array<long>, grams array<int>, masked array<long>, kinds array<int>"
 )
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def _own_families(one: DataFrame, raw: DataFrame, components: DataFrame) -> DataFrame:
     """``body`` of the families of ``FAMILY_FILES`` files whose masked shingles hardly occur outside of all such groups,
     and of the scripts, long or short, that consist of the shingles of such families.
@@ -265,12 +290,52 @@ def _copies(one: DataFrame, raw: DataFrame) -> DataFrame:
     return found.join(sure.select("copy_of"), "copy_of", "left_semi")
 
 
+def _banners(told: DataFrame, raw: DataFrame) -> DataFrame:
+    """``talk, seed, sure, known``: how probable a tool wrote the comments ``talk``, and how many of their words and pairs
+    are known, that is, stand in ``REMARK_FILES`` files or more.
+
+    ``told`` has ``talk, edge, seed``, a row a file; ``seed`` marks files of verified families. What people write stands
+    between statements too, or beside what does; a tool's banner stands alone at an edge of the file. Files are a mixture
+    of two kinds, told by their words and their comments' place; weights and word counts are estimated in turn over all
+    files, beginning with the places and the seeds. Files of one ``talk`` are one row, so little is shuffled.
+    """
+    nodes = told.groupBy("talk", "edge", "seed").agg(F.count("*").alias("n")).withColumn("node", F.xxhash64("talk", "seed"))
+    begin = F.when(F.col("seed"), 1.0).when(F.col("edge"), REMARK_EDGE).otherwise(REMARK_INSIDE)
+    nodes = cut(nodes.select("node", "talk", "edge", "seed", "n", begin.alias("w"), F.lit(0).cast("long").alias("known")))
+    said = raw.where("talk IS NOT NULL").groupBy("talk").agg(F.first("said").alias("said"))
+    pairs = nodes.select("node", "talk", "n").join(said, "talk").select("node", "n", F.explode("said").alias("gram"))
+    often = pairs.groupBy("gram").agg(F.sum("n").alias("files")).where(F.col("files") >= REMARK_FILES).select("gram")
+    pairs = cut(pairs.join(_small(often), "gram").select("node", "gram"))
+    free = ~F.col("seed")
+    share = lambda c: F.coalesce(F.sum(F.when(c, F.col("n") * F.col("w"))) / F.sum(F.when(c, F.col("n"))), F.lit(0.5))
+    logit = lambda p: F.log(p / (1 - p))
+    for _ in range(REMARK_ROUNDS):
+        t = nodes.agg(
+            F.coalesce(F.sum(F.col("n") * F.col("w")), F.lit(0.0)).alias("yes"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"),
+            share(free & F.col("edge")).alias("edge"), share(free & ~F.col("edge")).alias("inside"),
+        ).first()
+        of_all = pairs.join(nodes, "node").groupBy("gram").agg(F.sum(F.col("n") * F.col("w")).alias("y"), F.sum(F.col("n") * (1 - F.col("w"))).alias("x"))
+        odds = F.log((F.col("y") + 0.1) / (t["yes"] + 0.2)) - F.log((F.col("x") + 0.1) / (t["all"] - t["yes"] + 0.2))
+        heard = pairs.join(_small(cut(of_all.select("gram", odds.alias("odds")))), "gram")
+        heard = heard.groupBy("node").agg((F.sum("odds") / F.sqrt(F.count("*"))).alias("odds"), F.count("*").alias("known"))
+        place = logit(F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.when(F.col("edge"), t["edge"]).otherwise(t["inside"]))))
+        w = 1 / (1 + F.exp(-(place + F.coalesce("odds", F.lit(0.0)))))
+        nodes = cut(
+            nodes.drop("known").join(heard, "node", "left").select(
+                "node", "talk", "edge", "seed", "n", F.when(F.col("seed"), 1.0).otherwise(w).alias("w"), F.coalesce("known", F.lit(0).cast("long")).alias("known")
+            )
+        )
+    return nodes.select("talk", "seed", F.col("w").alias("sure"), "known")
+
+
 def file_evidence(files: DataFrame) -> DataFrame:
     """Per ``file_id``, at its latest delivery, the evidence against hand-written source.
 
-    ``generated`` a comment of a tool; ``family`` the file repeats itself and, identifiers masked, is
-    like ``FAMILY_FILES`` files or more that share little with hand-written ones, or consists of the shingles of such files; ``minified``; ``data`` mostly rows of data; ``vendored`` a notice that it is
-    copied, or, unless most of its names are its own repository's, a notice of a third party or a copy that stands in several repositories.
+    ``family`` the file repeats itself and, identifiers masked, is like ``FAMILY_FILES`` files or more that share little
+    with hand-written ones, or consists of the shingles of such files; ``generated`` its comments are a tool's banner by the
+    counts of the whole corpus; ``minified``; ``data`` mostly rows of data; ``vendored`` a copy that stands in several
+    repositories, unless most of its names are its own repository's. Only where those leave it open, the file's own
+    words decide: that it is generated, or, without a copy elsewhere, that it is copied.
     ``files`` has ``file_id, content, max_stars_repo_name, loaded_at``. A null, empty or blank content has no evidence;
     a null repository is no repository of its own.
     """
@@ -296,14 +361,19 @@ def file_evidence(files: DataFrame) -> DataFrame:
 
     copies = _copies(one, raw)
     families = cut(_own_families(one, raw, regular).withColumn("family", F.lit(True)))
-    all_ = one.join(copies, "whole", "left").join(families, "body", "left")
-    return all_.select(
+    all_ = one.join(copies, "whole", "left").join(families, "body", "left").withColumn("seed", F.coalesce("family", F.lit(False)))
+    all_ = cut(all_.select("file_id", *_FLAGS, "seed", "copy_of"))
+    open_ = F.col("copy_of").isNull() & ~F.col("minified") & (F.col("data_share") < DATA_SHARE)
+    banners = _banners(all_.where(F.col("talk").isNotNull() & open_).select("talk", "edge", "seed"), raw)
+    undecided = (F.coalesce("known", F.lit(0)) == 0) | F.col("sure").between(1 - REMARK_SURE, REMARK_SURE)
+    learnt = ~F.col("seed") & ~undecided & (F.col("sure") > 0.5)
+    return all_.join(_small(banners), ["talk", "seed"], "left").select(
         "file_id",
-        "generated",
-        F.coalesce("family", F.lit(False)).alias("family"),
+        (open_ & (learnt | undecided & ~F.col("seed") & F.col("generated"))).alias("generated"),
+        F.col("seed").alias("family"),
         "minified",
         (F.col("data_share") >= DATA_SHARE).alias("data"),
-        (F.col("copied") | (F.col("third") | F.col("copy_of").isNotNull()) & ~F.col("own")).alias("vendored"),
+        (F.col("copy_of").isNotNull() & ~F.col("own") | F.col("copy_of").isNull() & F.col("copied")).alias("vendored"),
     )
 
 

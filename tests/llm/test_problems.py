@@ -174,6 +174,32 @@ def test_variants_of_one_tool_and_its_short_files(spark):
     assert got == {0, 1, 2, 10, 11, 12, 20, 21, 22, 50}
 
 
+def test_banners_are_learnt_from_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(provenance, "_GENERATED", re.compile("(?!)"))
+    rng = random.Random(8)
+    remarks = ["dates are local time", "keep the order of columns", "nulls count as zero", "ask finance about refunds", "generated columns come last", "old rows live elsewhere"]
+    tools = ["forgeddl", "rowpress", "tabmill", "sqlspin"]
+
+    def body(i):
+        return [f"create table t{i}_{j} (\n  id int primary key,\n  " + ",\n  ".join(f"{rng.choice('abcdefg')}{k} {rng.choice(['int', 'text', 'date'])}{rng.choice(['', ' not null'])}" for k in range(rng.randint(2, 6))) + "\n);\n" for j in range(rng.randint(2, 4))]
+
+    rows, made = [], set()
+    for i in range(160):
+        parts = body(i)
+        if i % 5 == 0:
+            made.add(i)
+            line = f"-- emitted by {rng.choice(tools)} {rng.randint(1, 9)}.{rng.randint(0, 9)}, changes vanish at the next run\n"
+            parts = [line, *parts] if i % 10 else [*parts, line]
+        else:
+            at = rng.sample(range(len(parts) + 1), rng.randint(1, 2))
+            for k in sorted(at, reverse=True):
+                parts.insert(k, f"-- {rng.choice(remarks)}\n")
+        rows.append((i, "".join(parts), f"u{i}/r", T0))
+    rows += [(500, "select 1; -- quick look\n", "a/b", T0), (501, "select 2; -- quick look\n", "a/c", T0), (502, "select 3; -- quick look\n", "a/d", T0)]
+    got = {r.file_id for r in provenance.file_evidence(spark.createDataFrame(rows, FILE)).where("generated").collect()}
+    assert got == made
+
+
 # ---------------------------------------------------------------------------------------------------------- 3 cutoff
 TARGET = "source string, keep_frac double, mix_weight double, max_repeats int"
 
