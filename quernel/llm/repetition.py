@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from quernel.sources.tables import latest
 
-#: A case repeats at least this share of its characters.
+#: A rule that measures a share of repeated characters votes for a case from this share on.
 CASE = 1 / 3
-NGRAM = 8
-#: Shorter runs of words count if they stood so many times before.
-PHRASES = {7: 1, 6: 1, 5: 1, 4: 1, 3: 2}
+#: Runs of so many words count if they stood so many times before. Every longer run consists of such runs.
+PHRASES = {4: 1, 3: 2}
+#: Words of a window in which distinct words are counted, and the least number of words for that.
+WINDOW, FEW_WORDS = 50, 20
 #: Letters of a run inside one word that stood earlier in it.
 LETTERS = 9
 LONGEST_PERIOD = 12
@@ -30,8 +31,8 @@ _SENTENCE = re.compile(r"[^.!?;:…\n]+[.!?;:…\n]*")
 _LONG = re.compile(r"\S{12,}")
 _RUN = re.compile(r"(\S{1,8}?)\1{5,}")
 
-#: Each rule votes 1 (repetitive), 0 (not) or abstains (2).
-RULES = ("ngrams", "lines", "sentences", "periods", "all", "packed")
+#: Each rule votes 1 (repetitive), 0 (not) or abstains (2). They look at different things and err on different texts.
+RULES = ("ngrams", "lines", "sentences", "periods", "letters", "packed", "variety", "favourite")
 
 
 def _cover(marks: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -61,9 +62,9 @@ def _again(ids: np.ndarray, size: int, before: int) -> np.ndarray:
 
 
 def _ngrams(ids: np.ndarray) -> np.ndarray:
-    """Words in runs of NGRAM words, numbers being equal to each other, that occurred before, or in shorter runs that
-    occurred again and again."""
-    marks = _again(ids, NGRAM, 1)
+    """Words in runs, numbers being equal to each other, that occurred before, or in shorter ones that occurred again and
+    again."""
+    marks = np.zeros(len(ids), dtype=bool)
     for size, before in PHRASES.items():
         marks |= _again(ids, size, before)
     return marks
@@ -124,11 +125,32 @@ def _line_bounds(text: str) -> Iterator[tuple[int, int]]:
         at += len(line) + 1
 
 
+def _variety(ids: np.ndarray) -> float:
+    """Distinct words a word in windows of WINDOW words, on average; 1 for few words."""
+    if len(ids) < FEW_WORDS:
+        return 1.0
+    size = min(WINDOW, len(ids))
+    whole = np.sort(ids[: len(ids) // size * size].reshape(-1, size), axis=1)
+    return float(1 + np.count_nonzero(whole[:, 1:] != whole[:, :-1], axis=1).mean()) / size
+
+
+def _favourite(ids: np.ndarray) -> float:
+    """Share of the words that stand in the most frequent pair of words."""
+    if len(ids) < FEW_WORDS:
+        return 0.0
+    _, often = np.unique(ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:], return_counts=True)
+    return min(1.0, 2 * float(often.max()) / len(ids))
+
+
+_MASKS = ("ngrams", "lines", "sentences", "periods", "letters")
+
+
 def repetition(text: str) -> dict[str, float]:
-    """Shares of the characters that repeat earlier ones, by kind and over all kinds, in time linear in the text."""
+    """Shares of the characters that repeat earlier ones, by kind and over all kinds, and what else the rules look at, in
+    time linear in the text."""
     n = len(text)
     if not text.strip():
-        return dict.fromkeys(("ngrams", "lines", "sentences", "periods", "all"), 0.0) | {"n_lines": 0, "packed": 1.0}
+        return dict.fromkeys((*_MASKS, "all", "favourite", "unbroken"), 0.0) | {"n_lines": 0, "packed": 1.0, "variety": 1.0}
     low = text.lower()
     if len(low) != n:  # a few letters grow when lowered
         low = text
@@ -137,33 +159,43 @@ def repetition(text: str) -> dict[str, float]:
     listed = [number.setdefault(w if w.isalpha() else _FIGURES.sub("0", w), len(number)) for w in (low[i:j] for i, j in spans)]
     begins = [i for i, _ in spans]
     ids, starts = np.array(listed, dtype=np.uint64), np.array(begins, dtype=np.int64)
-    masks = {"ngrams": _cover(_ngrams(ids), starts, n), "periods": _cover(_periods(ids), starts, n)}
+    masks = {"ngrams": _cover(_ngrams(ids), starts, n), "periods": _cover(_periods(ids), starts, n), "letters": np.zeros(n, dtype=bool)}
+    unbroken = 0
     for word in _LONG.finditer(text):
+        unbroken += word.end() - word.start() - 11
+        mine = masks["letters"][word.start() : word.end()]
         for m in _RUN.finditer(word.group()):
             if m.end() - m.start() >= 12:  # six or more rounds of a few letters
-                masks["periods"][word.start() + m.start() + len(m.group(1)) : word.start() + m.end()] = True
-        letters = np.array([ord(c) for c in word.group()], dtype=np.uint64)
-        masks["periods"][word.start() : word.end()] |= _again(letters, LETTERS, 1)
+                mine[m.start() + len(m.group(1)) : m.end()] = True
+        if len(mine) > LETTERS:
+            mine |= _again(np.frombuffer(word.group().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64), LETTERS, 1)
     masks["lines"], lines = _units(_line_bounds(text), text, listed, begins, 0, False)
     masks["sentences"], _ = _units((m.span() for m in _SENTENCE.finditer(text)), text, listed, begins, 4, True)
     union = np.logical_or.reduce(list(masks.values()))
     data = text.encode("utf-8", "replace")
     return {k: float(np.count_nonzero(m)) / n for k, m in masks.items()} | {
-        "all": float(np.count_nonzero(union)) / n, "n_lines": lines, "packed": len(zlib.compress(data)) / len(data),
+        "all": float(np.count_nonzero(union)) / n, "n_lines": lines, "packed": len(zlib.compress(data, 1)) / len(data),
+        "variety": _variety(ids), "favourite": _favourite(ids), "unbroken": unbroken / n,
     }
 
 
 def votes(r: dict[str, float], n: int) -> list[int]:
-    def by(value, low, high):
-        return 1 if value >= high else 0 if value <= low else 2
+    """One vote a rule, in the order of RULES. No rule sees the share over all kinds. Rules that look at words cannot
+    clear a text of which much is unbroken."""
+    worded = r["unbroken"] < CASE
+
+    def by(value, low, high, sees=True):
+        return 1 if value >= high else 0 if value <= low and sees else 2
 
     return [
-        by(r["ngrams"], 0.15, CASE),
-        by(r["lines"], 0.1, CASE) if r["n_lines"] > 1 else 2,
-        by(r["sentences"], 0.15, CASE),
+        by(r["ngrams"], 0.15, CASE, worded),
+        by(r["lines"], 0.1, CASE, worded) if r["n_lines"] > 1 else 2,
+        by(r["sentences"], 0.15, CASE, worded),
         1 if r["periods"] >= CASE else 2,
-        by(r["all"], 0.25, CASE),
-        by(-r["packed"], -0.47, -0.38) if n >= 300 else 2,
+        1 if r["letters"] >= CASE else 2,
+        by(-r["packed"], -0.5, -0.4) if n >= 300 else 2,
+        by(-r["variety"], -0.6, -0.4, worded) if n >= 100 else 2,
+        by(r["favourite"], 0.1, 0.2, worded) if n >= 100 else 2,
     ]
 
 
@@ -233,6 +265,5 @@ def repetitive_records(records: DataFrame) -> DataFrame:
 
 
 def cases(records: DataFrame) -> DataFrame:
-    """``tbl, rec_id`` of the probable records whose measured share reaches ``CASE``."""
-    r = repetitive_records(records)
-    return r.where((F.col("probability") >= 0.5) & (F.col("share") >= CASE)).select("tbl", "rec_id")
+    """``tbl, rec_id`` of the records that are probably repetitive; the posterior alone decides."""
+    return repetitive_records(records).where(F.col("probability") >= 0.5).select("tbl", "rec_id")

@@ -104,6 +104,22 @@ def test_expectation_maximisation_tells_good_rules_from_bad():
     assert repetition.expectation_maximisation({}) == {}
 
 
+def test_the_posterior_decides_alone(spark):
+    r = dict.fromkeys(("ngrams", "lines", "sentences", "periods", "letters", "all", "unbroken"), 0.0) | {"n_lines": 1, "packed": 0.6, "variety": 0.8, "favourite": 0.02}
+    low = r | {"ngrams": 0.3, "all": 0.3, "packed": 0.3, "variety": 0.3, "favourite": 0.3}
+    assert repetition.votes(low | {"all": 0.9}, 900) == repetition.votes(low, 900)  # no rule sees the whole share
+    counts = Counter({"".join(map(str, repetition.votes(r, 900))): 900, "".join(map(str, repetition.votes(r | {"ngrams": 0.5, "packed": 0.3, "variety": 0.3, "favourite": 0.3}, 900))): 60})
+    counts["".join(map(str, repetition.votes(low, 900)))] += 3
+    post = repetition.expectation_maximisation(dict(counts))
+    assert post["".join(map(str, repetition.votes(low, 900)))] > 0.5  # below a third, and still probable
+    rng = random.Random(9)
+    word = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(400)]
+    rows = [("web_pages", i, T0, " ".join(rng.choices(word, k=120)) + ".") for i in range(60)] + [("web_pages", 100 + i, T0, "buy cheap now " * 90) for i in range(8)]
+    rows.append(("web_pages", 300, T0, " ".join(word[:60]) + " " + "".join(rng.choices("qrstuvwxyz", k=20)) * 40))
+    got = {r.rec_id for r in repetition.cases(spark.createDataFrame(rows, RECORD)).collect()}
+    assert got == {*range(100, 108), 300}
+
+
 # ------------------------------------------------------------------------------------------------------ 2 provenance
 FILE = "file_id long, content string, max_stars_repo_name string, loaded_at timestamp"
 HAND = "-- totals for the week\nselect a.town, count(*) as n\nfrom places a\njoin visits v on v.place_id = a.id\nwhere v.day > 7\ngroup by a.town;\n"
