@@ -439,6 +439,42 @@ def test_edited_copies_score_high(spark):
     assert [(r.doc_id, r.item_id, r.exact) for r in got] == [(1, 1, False)] and got[0].score > 0.7
 
 
+def edited(rng, tokens, share, spare):
+    """The words with so large a share of them replaced, left out or doubled by a strange one."""
+    out = list(tokens)
+    for i in sorted(rng.sample(range(len(out)), round(share * len(out))), reverse=True):
+        out[i : i + 1] = rng.choice([[rng.choice(spare)], [rng.choice(spare)], [rng.choice(spare)], [], [out[i], rng.choice(spare)]])
+    return out
+
+
+@pytest.mark.parametrize(("length", "share", "least"), [(13, 0.1, 0.97), (13, 0.2, 0.9), (20, 0.2, 0.9)])
+def test_recall_of_edited_copies(spark, length, share, least):
+    rng = random.Random(length)
+    vocabulary = ["".join(rng.choices("bcdfglmnprst", k=2)) + rng.choice("aeiou") + str(i) for i in range(3000)]
+    opening = [["what", "is", "the", "total"], ["how", "many", "of", "the"], ["name", "the", "highest", "value"]]
+    questions = [(i, rng.choice(opening) + rng.choices(vocabulary, k=length - 4)) for i in range(120)]
+    documents = []
+    for i, (_, q) in enumerate(questions):
+        documents.append((i, " ".join(rng.choices(vocabulary, k=40) + edited(rng, q, share, vocabulary) + rng.choices(vocabulary, k=40))))
+    documents += [(1000 + i, " ".join(rng.choice(opening) + rng.choices(vocabulary, k=60))) for i in range(300)]
+    d = spark.createDataFrame(documents, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(d, spark.createDataFrame([(i, " ".join(q)) for i, q in questions], "item_id long, question string")).collect()}
+    assert sum((i, i) in got for i in range(120)) / 120 >= least
+    assert all(a == b for a, b in got)
+
+
+def test_questions_in_several_passes(spark, monkeypatch):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(60)]
+    questions = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(8, 16)))) for i in range(30)]
+    documents = [(i, " ".join(rng.choices(vocabulary, k=20)) + " " + questions[i % 30][1]) for i in range(45)]
+    d, q = spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(questions, "item_id long, question string")
+    whole = sorted(map(tuple, leakage.leaks(d, q).collect()))
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 100)
+    assert sorted(r[:2] for r in whole if r[3]) == sorted(brute_leaks(documents, questions))
+    assert {r[:2] for r in whole if r[3]} == {(r.doc_id, r.item_id) for r in leakage.passages_found(d, q).collect()}
+
+
 def test_smith_waterman_by_hand():
     assert list(leakage.smith_waterman([["a", "b", "c"]], [["x", "a", "b", "c", "y"]])) == [1.0]
     assert list(leakage.smith_waterman([["a", "b", "c", "d"]], [["a", "b", "x", "d"]])) == [pytest.approx((2 + 2 - 1 + 2) / 8)]
