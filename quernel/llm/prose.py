@@ -5,7 +5,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from operator import add
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,179 +35,269 @@ COMMON = frozenset(
     fue ha hace hacia hasta hay junto la las le lo los más mientras muy nada ni no nos o otra para pero por porque qué
     que se ser si sin sobre son su sus también tan todo un una unas uno unos y ya""".split()
 )
-ENDS = ".!?…:;\"”’»)。！？"
+ENDS = ".!?…:;\"”’»)。！？؟।"
+#: Letters, digits and underscores of an unbroken run beyond which its words are counted but not looked at.
+LONG = 64
 
 _WORDS = re.compile(r"\w+")
 _LETTERS = re.compile(r"[^\W\d_]")
 #: Letters beyond the Latin script.
-_FOREIGN = re.compile("[^\\W\\d_\u0000-\u024f]")
+_FOREIGN = re.compile("[^\\W\\d_\\u0000-\\u024f]")
+#: Vowels of the Latin, Greek and Cyrillic scripts, and all letters of others.
+_LOW = "aeiouyæœøäöüàáâãåèéêëìíîïòóôõùúûýÿąęėįųūāēīōůőűıαεηιουωάέήίόύώаеёиоуыэюяіїєўө"
+_VOWELS = re.compile(rf"[{_LOW}{''.join(sorted(set(_LOW.upper())))}]|[^\W\d_\u0000-\u052f\u1e00-\u1fff]")
 _PLAIN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*[,.;:!?…)\"”’»]*")
 #: Marks of tables, markup, addresses and broken encodings.
-_MARKS = re.compile(r"https?://|www\.|[|{}<>\[\]\\#=~^_§¶�%&@*/+]|�|Ã.|â€|Â")
-
-
-@dataclass
-class Line:
-    """Counts of a part of one line. ``left`` and ``right`` are words cut by the part's ends, if it has any others."""
-
-    chars: int = 0
-    letters: int = 0
-    digits: int = 0
-    marks: int = 0
-    words: int = 0
-    word_chars: int = 0
-    common: int = 0
-    plain: int = 0
-    upper: int = 0
-    foreign: int = 0
-    longest: int = 0
-    last: str = ""
-    left: str | None = None
-    right: str | None = None
+_MARKS = re.compile(r"[|{}<>\[\]\\#=~^_§¶%&@*/+ÃÂ�]|(?<=â)€")
+#: The end of a sentence inside a line.
+_STOP = r"[.!?…。！？؟।][\"'”’»)\]]{0,8}"
+_STOPS = re.compile(rf"{_STOP}(?=\s)")
+_STOPPED = re.compile(rf"{_STOP}\Z")
+_EDGES = re.compile(r"(\S*)(.*\s)(\S*)", re.S)
+
+_SUMS = ("chars", "letters", "digits", "marks", "words", "word_chars", "common", "plain", "upper", "foreign", "vowels", "commas")
+
+
+class Counts:
+    """Counts of some whole runs of non-blanks. ``chars`` are non-blanks."""
+
+    __slots__ = ("sums", "longest", "last")
+
+    def __init__(self, sums: tuple = (0,) * len(_SUMS), longest: int = 0, last: str = ""):
+        self.sums, self.longest, self.last = sums, longest, last
+
+    def __getattr__(self, name: str) -> int:
+        return self.sums[_SUMS.index(name)]
+
+    def __getstate__(self):
+        return self.sums, self.longest, self.last
+
+    def __setstate__(self, state):
+        self.sums, self.longest, self.last = state
+
+    def __add__(self, other: Counts) -> Counts:
+        if not other.last:
+            return self
+        if not self.last:
+            return other
+        return Counts(tuple(map(add, self.sums, other.sums)), max(self.longest, other.longest), other.last)
 
     @classmethod
-    def of(cls, s: str, whole: bool = True) -> Line:
-        """Counts of ``s``; unless it is a whole line, its first and last run of non-blanks are kept apart."""
-        line = cls(left=None, right=None)
-        if whole:
-            line._add(s)
-            return line
-        if not s or not re.search(r"\s", s):
-            line.left = s
-            return line
-        first, rest = re.match(r"(\S*)(.*)", s, re.S).groups()
-        middle, final = re.match(r"(.*?)(\S*)$", rest, re.S).groups()
-        line.left, line.right = first, final
-        line._add(middle)
-        return line
-
-    def _add(self, s: str) -> None:
-        """Adds text that begins and ends at blanks or at the line's ends."""
-        self.chars += len(s)
-        stripped = s.rstrip()
-        if not stripped:
-            return
-        words = _WORDS.findall(s)
-        self.letters += len(_LETTERS.findall(s))
-        if not s.isascii():
-            self.foreign += len(_FOREIGN.findall(s))
-        self.digits += sum(map(str.isdigit, s))
-        self.marks += len(_MARKS.findall(s))
-        self.words += len(words)
-        self.word_chars += sum(map(len, words))
-        self.common += sum(w.lower() in COMMON for w in words)
+    def of(cls, s: str) -> Counts:
         tokens = s.split()
-        self.plain += sum(_PLAIN.fullmatch(t) is not None for t in tokens)
-        self.upper += sum(w[0].isupper() for w in words)
-        self.longest = max(self.longest, max(map(len, tokens), default=0))
-        self.last = stripped[-1]
-
-    def then(self, other: Line) -> Line:
-        """This part followed by ``other`` on the same line. Cut words meet here."""
-        out = Line(*[getattr(self, n) + getattr(other, n) for n in _SUMS], max(self.longest, other.longest), other.last or self.last)
-        if self.right is None:  # this part is one run of non-blanks
-            out.left = (self.left or "") + (other.left or "")
-            out.right = other.right
-            if other.right is None:
-                return out
-            return out
-        joined = self.right + (other.left or "")
-        out.left = self.left
-        if other.right is None:
-            out.right = joined
-        else:
-            right_side = other.last
-            out._add(joined)
-            out.last = right_side or (joined[-1:] or self.last)
-            out.right = other.right
-        return out
+        if not tokens:
+            return cls()
+        longest = max(map(len, tokens))
+        if longest > LONG:
+            total = cls()
+            for t in tokens:
+                total = total + (Run.of(t).counts() if len(t) > LONG else cls.of(t))
+            return total
+        words = _WORDS.findall(s)
+        ascii_ = s.isascii()
+        return cls(
+            (
+                sum(map(len, tokens)), len(_LETTERS.findall(s)), sum(map(str.isdigit, s)), len(_MARKS.findall(s)), len(words),
+                sum(map(len, words)), sum(w.lower() in COMMON for w in words), sum(_PLAIN.fullmatch(t) is not None for t in tokens),
+                sum(w[0].isupper() for w in words), 0 if ascii_ else len(_FOREIGN.findall(s)), sum(map(s.count, "aeiouyAEIOUY")) if ascii_ else len(_VOWELS.findall(s)),
+                sum(t[-1] in ",，、،" for t in tokens),
+            ), longest, tokens[-1][-1],
+        )
 
-    def close(self) -> Line:
-        out = Line(*[getattr(self, n) for n in _SUMS], self.longest, self.last)
-        for cut_word in (self.left, self.right):
-            if cut_word:
-                last = out.last
-                out._add(cut_word)
-                if cut_word is self.left and self.right is not None:
-                    out.last = last or out.last
-        return out
 
+class Run:
+    """A run of non-blanks that may go on at either end: its text, or, beyond LONG characters, what is needed of it."""
+
+    __slots__ = ("text", "sums", "size", "first", "last", "end")
 
-_SUMS = ("chars", "letters", "digits", "marks", "words", "word_chars", "common", "plain", "upper", "foreign")
+    def __init__(self, text: str | None = "", sums: tuple = (), size: int = 0, first: str = "", last: str = "", end: str = ""):
+        self.text, self.sums, self.size, self.first, self.last, self.end = text, sums, size, first, last, end
 
+    def __getstate__(self):
+        return self.text, self.sums, self.size, self.first, self.last, self.end
 
-def is_prose(x: Line) -> bool:
-    """Whether a line reads as running text: mostly plain words, enough of them common, few marks and figures.
+    def __setstate__(self, state):
+        self.text, self.sums, self.size, self.first, self.last, self.end = state
 
-    The common words are of four languages, so in other scripts letters, marks and figures alone decide.
+    @classmethod
+    def of(cls, s: str) -> Run:
+        return cls(s) if len(s) <= LONG else cls(s)._closed()
+
+    def _closed(self) -> Run:
+        if self.text is None:
+            return self
+        s = self.text
+        words = _WORDS.findall(s)
+        sums = (
+            len(s), len(_LETTERS.findall(s)), sum(map(str.isdigit, s)), len(_MARKS.findall(s)), len(words), sum(map(len, words)), 0, 0,
+            sum(w[0].isupper() for w in words), len(_FOREIGN.findall(s)), len(_VOWELS.findall(s)), 0,
+        )
+        return Run(None, sums, len(s), s[:1], s[-1:], s[-LONG:])
+
+    def __bool__(self) -> bool:
+        return self.text != ""
+
+    def __add__(self, other: Run) -> Run:
+        if not self or not other:
+            return other if not self else self
+        if self.text is not None and other.text is not None and len(self.text) + len(other.text) <= LONG:
+            return Run(self.text + other.text)
+        a, b = self._closed(), other._closed()
+        sums = list(map(add, a.sums, b.sums))
+        if _WORDS.match(a.last) and _WORDS.match(b.first):  # one word, cut in two
+            sums[4] -= 1
+            sums[8] -= b.first.isupper()
+        if a.last == "â" and b.first == "€":
+            sums[3] += 1
+        return Run(None, tuple(sums), a.size + b.size, a.first, b.last, (a.end + b.end)[-LONG:])
+
+    def counts(self) -> Counts:
+        if self.text is not None and len(self.text) <= LONG:
+            return Counts.of(self.text)
+        x = self._closed()
+        return Counts((*x.sums[:-1], int(x.last in ",，、،")), x.size, x.last)
+
+    def stopped(self) -> bool:
+        return _STOPPED.search(self.end if self.text is None else self.text) is not None
+
+
+def is_prose(x: Counts) -> bool:
+    """Whether a sentence, or what stands between two in a line, reads as running text: mostly plain words, few marks
+    and figures, and enough common words of four languages. Without those it must look like a sentence of another
+    language: ended, few names and commas, words with vowels; or, beyond the Latin script, be ended or long.
     """
-    if x.words == 0:
+    if x.words == 0 or x.marks > 0.12 * x.words + 1 or x.letters < 0.6 * x.chars:
         return False
+    ended, spelt = x.last in ENDS, 0.22 * x.letters <= x.vowels
     if 2 * x.foreign > x.letters:
-        return x.letters >= 0.55 * x.chars and x.marks <= 0.12 * x.words + 1
-    common, plain, upper = x.common / x.words, x.plain / x.words, x.upper / x.words
-    if x.longest > 60 or x.marks > 0.12 * x.words + 1 or x.letters < 0.55 * x.chars:
+        return spelt and x.commas <= 0.4 * x.words and (ended or x.letters >= 25)
+    if x.longest > 60:
         return False
+    common, plain, upper = x.common / x.words, x.plain / x.words, x.upper / x.words
     if x.words < 4:
-        return x.last in ENDS and plain >= 0.6 and x.letters > 0.6 * x.chars and upper <= 0.67
+        return ended and plain >= 0.6 and upper <= 0.67
     if common >= 0.2:
         return plain >= 0.55
-    return plain >= 0.7 and upper <= 0.4 and (common >= 0.1 or (x.last in ENDS and common > 0))
+    if plain < 0.7 or upper > 0.4:
+        return False
+    return common >= 0.1 or (ended and (common > 0 or spelt and x.commas <= 0.25 * x.words and plain >= 0.8 and x.vowels <= 0.65 * x.letters))
+
+
+TOTALS = ("chars", "letters", "digits", "marks", "words", "word_chars", "common", "lines", "ended", "solid", "prose")
+_SCHEMA = ", ".join(f"{t} long" for t in TOTALS)
 
 
-@dataclass
 class State:
-    """Counts of some text: totals of its closed lines and the open lines at its two ends."""
+    """What must be known of some text to put it together with what stands before and behind it. Its size is bounded.
+
+    Sentences and lines that lie inside are in ``totals``. ``left`` and ``right`` are runs of non-blanks that may go on
+    outside (``right`` is None if the text is one such run), ``head`` and ``tail`` count the whole runs between them and
+    the first and the last end of a sentence or line (``tail`` is None if there is no such end, and ``head`` reaches
+    ``right``). ``opening`` and ``closing`` are the last signs of the lines cut at the two ends (``closing`` is None
+    without a line end).
+    """
 
-    totals: dict[str, int] = field(default_factory=lambda: dict.fromkeys(TOTALS, 0))
-    head: Line = field(default_factory=Line)
-    tail: Line | None = None  # None: no line end inside, all is in head
+    __slots__ = ("totals", "left", "head", "tail", "right", "opening", "closing")
+
+    def __init__(self):
+        self.totals = dict.fromkeys(TOTALS, 0)
+        self.left, self.head, self.tail, self.right = Run(), Counts(), None, None
+        self.opening, self.closing = "", None
+
+    def __getstate__(self):
+        return tuple(getattr(self, n) for n in self.__slots__)
+
+    def __setstate__(self, state):
+        for n, v in zip(self.__slots__, state):
+            setattr(self, n, v)
 
     @classmethod
     def of(cls, text: str) -> State:
         s = cls()
+        s.totals["chars"] = len(text) - text.count("\n")
         first, *rest = text.split("\n")
-        s.head = Line.of(first, False)
+        s.opening = first.rstrip()[-1:]
         if rest:
-            for inner in rest[:-1]:
-                s.add_line(Line.of(inner))
-            s.tail = Line.of(rest[-1], False)
+            s.closing = rest[-1].rstrip()[-1:]
+            for line in rest[:-1]:
+                s._line(line.rstrip()[-1:])
+        m = _EDGES.fullmatch(text)
+        if m is None:
+            s.left = Run.of(text)
+            return s
+        left, middle, right = m.groups()
+        s.left, s.right = Run.of(left), Run.of(right)
+        parts = []
+        for line in (" " + middle).split("\n"):
+            at = 0
+            for stop in _STOPS.finditer(line):
+                parts.append(line[at : stop.end()])
+                at = stop.end()
+            parts.append(line[at:])
+        s.head = Counts.of(parts[0])
+        if len(parts) > 1:
+            for p in parts[1:-1]:
+                s._close(Counts.of(p))
+            s.tail = Counts.of(parts[-1])
         return s
 
-    def add_line(self, x: Line) -> None:
+    def _line(self, last: str) -> None:
+        if last:
+            self.totals["lines"] += 1
+            self.totals["ended"] += last in ENDS
+
+    def _close(self, x: Counts) -> None:
         t = self.totals
-        t["chars"] += x.chars
-        for n in _SUMS[1:7]:
-            t[n] += getattr(x, n)
-        if x.words or x.last:
-            t["lines"] += 1
-            t["ended"] += x.last in ENDS
-            t["solid"] += x.chars
-            if is_prose(x):
-                t["prose"] += x.chars
+        for n, v in zip(_SUMS[1:7], x.sums[1:7]):
+            t[n] += v
+        t["solid"] += x.sums[0]
+        if is_prose(x):
+            t["prose"] += x.sums[0]
 
     def then(self, other: State) -> State:
-        out = State({k: v + other.totals[k] for k, v in self.totals.items()}, self.head, self.tail)
-        if self.tail is None:
-            out.head = self.head.then(other.head)
-        elif other.tail is None:
-            out.tail = self.tail.then(other.head)
-            return out
+        out = State()
+        out.totals = {k: v + other.totals[k] for k, v in self.totals.items()}
+        out.opening, out.closing = self.opening, other.closing
+        joined = (self.opening if self.closing is None else self.closing, other.opening)
+        if self.closing is None:
+            out.opening = joined[1] or joined[0]
+        elif other.closing is None:
+            out.closing = joined[1] or joined[0]
         else:
-            out.add_line(self.tail.then(other.head).close())
-        out.tail = other.tail
+            out._line(joined[1] or joined[0])
+        if self.right is None:
+            out.left, out.head, out.tail, out.right = self.left + other.left, other.head, other.tail, other.right
+            return out
+        if other.right is None:
+            out.left, out.head, out.tail, out.right = self.left, self.head, self.tail, self.right + other.left
+            return out
+        out.left, out.head, out.tail, out.right = self.left, self.head, self.tail, other.right
+        run = self.right + other.left
+        out._extend(run.counts())
+        if run.stopped():
+            out._end(Counts())
+        out._extend(other.head)
+        if other.tail is not None:
+            out._end(other.tail)
         return out
 
-    def finish(self) -> dict[str, int]:
-        out = State(dict(self.totals))
-        for x in (self.head, self.tail):
-            if x is not None:
-                out.add_line(x.close())
-        return out.totals
+    def _extend(self, x: Counts) -> None:
+        if self.tail is None:
+            self.head = self.head + x
+        else:
+            self.tail = self.tail + x
 
+    def _end(self, tail: Counts) -> None:
+        """An end of a sentence or line, and the whole runs behind the last one."""
+        if self.tail is not None:
+            self._close(self.tail)
+        self.tail = tail
 
-TOTALS = ("chars", "letters", "digits", "marks", "words", "word_chars", "common", "lines", "ended", "solid", "prose")
-_SCHEMA = ", ".join(f"{t} long" for t in TOTALS)
+    def finish(self) -> dict[str, int]:
+        edge = State.of("\n")
+        out = edge.then(self).then(edge).totals
+        out["chars"] = self.totals["chars"]
+        return out
 
 
 def text_counts(docs: DataFrame, key: str = "row_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:

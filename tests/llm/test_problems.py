@@ -350,6 +350,48 @@ def test_chunks_give_the_counts_of_the_whole(seed):
         assert parts[0].finish() == whole
 
 
+def test_no_cut_changes_the_counts():
+    bits = ["word ", "the ", "\n", "\n\n", " ", "Ã", "Ã ", "â", "€", "â€", "://", "www.", ". ", '."', '!") ', ")", "a1the", "|", "x" * 70, "é" * 30, "漢字。", "Да "]
+    for seed in range(10_000):
+        rng = random.Random(seed)
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        whole, size = prose.State.of(text).finish(), rng.choice([1, 2, 3, 7, 40])
+        parts = [prose.State.of(text[i : i + size]) for i in range(0, len(text), size)] or [prose.State.of("")]
+        while len(parts) > 1:
+            i = rng.randrange(len(parts) - 1)
+            parts[i : i + 2] = [parts[i].then(parts[i + 1])]
+        assert parts[0].finish() == whole, (text, size)
+
+
+def test_states_are_bounded():
+    import pickle
+
+    part = prose.State.of("QmFzZTY0" * 8192)
+    state = part
+    for _ in range(10):  # 64 MB without a blank
+        state = state.then(state)
+    assert len(pickle.dumps(state)) < 2000
+    got = state.finish()
+    assert (got["chars"], got["words"], got["prose"]) == (65536 * 1024, 1, 0)
+
+
+def test_parts_of_one_line_and_other_languages():
+    listed = ", ".join(f"{a} {b}" for a in ("running", "walking", "hiking", "trail", "winter") for b in ("shoes", "boots", "socks", "laces", "soles", "gear")) + " "
+
+    def share(text):
+        t = prose.State.of(text).finish()
+        return t["prose"] / t["solid"]
+
+    assert share((PLAIN + " ") * 3 + listed * 2) < 0.5 < share((PLAIN + " ") * 5 + listed)
+    for good in (
+        "Port otworzył się wcześnie rano. Nikt nie spodziewał się tylu łodzi.", "Liman sabah erkenden açıldı. Kimse bu kadar çok tekne beklemiyordu.",
+        "Гавань открылась рано утром. Никто не ожидал столько лодок.", "Satama avattiin varhain aamulla. Kukaan ei odottanut niin monta venettä.",
+    ):
+        assert share(good) > 0.9, good
+    for junk in ("яблоко, груша, слива, вишня, арбуз, дыня, персик, инжир", "Главная\nНовости\nКонтакты\nВойти", "首页\n关于我们\n联系\n新闻", "вгд ждз клм. нпр стф хцч шщв. бвг джз.", "Xqzt vrkp wmnb plgh. Tzzk bcdf ghjk lmnp."):
+        assert share(junk) < 0.5, junk
+
+
 def test_text_counts_of_long_texts(spark):
     long = (PLAIN + "\n" + TABLE) * 40
     rows = [(1, long, "a"), (2, "x" * 3000, "a"), (3, None, "a"), (4, "", "a"), (5, PLAIN, "a"), (None, PLAIN, "a")]
