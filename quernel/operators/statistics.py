@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,23 +28,31 @@ def paired(long: DataFrame, a: str, b: str, system: str = "system", item: str =
 
 
 def log_factorial(n: Column) -> Column:
-    return F.when(n < 2, 0.0).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), F.lit(0.0), lambda s, i: s + F.log(i.cast("double"))))
+    """By Stirling's series from 32 on, where four terms are exact to the last digits, else by the product."""
+    x = F.greatest(n, F.lit(32)).cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    small = F.aggregate(F.sequence(F.lit(1), F.least(F.greatest(n, F.lit(1)), F.lit(32)).cast("int")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
+    return F.when(n >= 32, series).otherwise(small)
 
 
 def mcnemar(pairs: DataFrame) -> DataFrame:
-    """``only_a, only_b, p``: discordant counts and the exact two-sided binomial chance (1 without discordant pairs)."""
+    """``only_a, only_b, p, log_p``: discordant counts and the exact two-sided binomial chance (1 without discordant
+    pairs). ``p`` is 0 only below the smallest double; its natural logarithm is not.
+
+    The tail is summed downwards from its largest term. Terms fall like a normal density, so those further than 40
+    deviations away, which are not summed, cannot change a digit.
+    """
     c = pairs.agg(F.count_if((F.col("a") == 1) & (F.col("b") == 0)).alias("only_a"), F.count_if((F.col("a") == 0) & (F.col("b") == 1)).alias("only_b"))
     n, k = F.col("only_a") + F.col("only_b"), F.least("only_a", "only_b")
-    # terms follow each other by the ratio (n - i + 1) / i, so one pass gives the tail relative to its first term
-    terms = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), k),
-        F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum")),
-        lambda s, i: F.struct(
-            F.when(i == 0, 0.0).otherwise(s["log"] + F.log((n - i + 1) / F.greatest(i, F.lit(1)))).alias("log"),
-            (s["sum"] + F.exp(F.when(i == 0, 0.0).otherwise(s["log"] + F.log((n - i + 1) / F.greatest(i, F.lit(1)))) - n * F.log(F.lit(2.0)))).alias("sum"),
-        ),
+    top = log_factorial(n) - log_factorial(k) - log_factorial(n - k) - n * math.log(2.0)
+    steps = F.least(k, (20 * F.sqrt(n.cast("double")) + 50).cast("long"))
+    tail = F.aggregate(
+        F.sequence(F.lit(0).cast("long"), steps),
+        F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum")),
+        lambda s, i: F.struct((s["term"] * (k - i) / (n - k + i + 1)).alias("term"), (s["sum"] + s["term"]).alias("sum")),
     )["sum"]
-    return c.withColumn("p", F.when(n == 0, 1.0).otherwise(F.round(F.least(F.lit(1.0), 2 * terms), 9)))
+    log_p = F.when(n == 0, 0.0).otherwise(F.least(F.lit(0.0), math.log(2.0) + top + F.log(tail)))
+    return c.withColumn("log_p", log_p).withColumn("p", F.exp("log_p")).select("only_a", "only_b", "p", "log_p")
 
 
 def resampled_means(values: DataFrame, value: str, n_boot: int, seed: int = 0, chunk: int = 500, most: int = 5_000_000) -> DataFrame:
