@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernel.functions.hashing import md5_int
 from quernel.operators.rendering import AGGREGATES, OPERATORS
 
 PIECES = r""""(?:[^"]|"")*"?|'(?:[^']|'')*'?|[^'"]+"""
@@ -340,33 +341,56 @@ def cells(df: DataFrame, table_id: str, key: str, columns: list[str]) -> DataFra
     return df.select(F.lit(table_id).alias("table_id"), F.col(key).alias("row_id"), F.explode(F.array(*parts)).alias("c")).select("table_id", "row_id", "c.*")
 
 
-def execute_all(queries: DataFrame, data: DataFrame) -> DataFrame:
-    """Many structured queries in one job: ``query_id, n, result``.
+def _key(real: Column, number: Column, text: Column) -> Column:
+    """One text for equal cells: numbers and texts do not share any."""
+    return F.when(real, F.concat(F.lit("n"), (number + 0.0).cast("string"))).otherwise(F.concat(F.lit("t"), text))
 
-    ``queries`` has ``query_id, table_id, sel, agg, conds``; ``data`` are cells. A plain select gives a sorted array of
-    its values as text, an aggregate an array of one. Every condition meets only the cells of its column; queries
-    without conditions take all rows. Queries of unknown tables give no row.
+
+def _rows_met(queries: DataFrame, data: DataFrame) -> DataFrame:
+    """``query_id, table_id, row_id`` of the rows that fulfil all conditions of the queries that have any.
+
+    A query with an equality begins with the cells equal to its first one, found by hash; only a query without any
+    compares the cells of a whole column. What is left is checked against the cells of the rows found so far.
     """
-    conds = queries.select("query_id", "table_id", F.size("conds").alias("need"), F.explode("conds").alias("c")).select(
-        "query_id", "table_id", "need", "c.*"
+    conds = queries.select("query_id", "table_id", F.size("conds").alias("need"), F.posexplode("conds").alias("at", "c")).select(
+        "query_id", "table_id", "need", "at", "c.*"
     )
-    met = (
-        conds.join(data, ["table_id", "col_ix"])
-        .where(holds(F.col("real"), F.col("num"), F.col("txt"), F.col("op"), F.col("val")))
-        .groupBy("query_id", "table_id", "row_id", "need").agg(F.count("*").alias("got"))
-        .where("got = need").select("query_id", "table_id", "row_id")
+    lead = conds.groupBy("query_id").agg(F.min(F.struct((F.col("op") != 0).cast("int").alias("o"), F.col("at").alias("at"))).alias("l"))
+    conds = conds.join(lead.select("query_id", F.col("l.at").alias("lead"), (F.col("l.o") == 0).alias("equal")), "query_id")
+    first = conds.where(F.col("at") == F.col("lead"))
+    low = F.lower("val")
+    wanted = first.where("equal").select(
+        "query_id", "table_id", "col_ix", "need", F.explode(F.array_compact(F.array(F.concat(F.lit("t"), low), _key(F.lit(True), number_of(F.col("val")), low)))).alias("key")
     )
+    keyed = data.withColumn("key", _key(F.col("real"), F.col("num"), F.col("txt")))
+    by_hash = wanted.join(keyed, ["table_id", "col_ix", "key"]).select("query_id", "table_id", "row_id", "need")
+    fits = holds(F.col("real"), F.col("num"), F.col("txt"), F.col("op"), F.col("val"))
+    by_column = first.where(~F.col("equal")).join(data, ["table_id", "col_ix"]).where(fits).select("query_id", "table_id", "row_id", "need")
+    begun = by_hash.unionByName(by_column)
+    rest = conds.where(F.col("at") != F.col("lead")).select("query_id", "col_ix", "op", "val")
+    more = (
+        begun.where("need > 1").join(rest, "query_id").join(data, ["table_id", "row_id", "col_ix"]).where(fits)
+        .groupBy("query_id", "table_id", "row_id", "need").agg(F.count("*").alias("got")).where("got = need - 1")
+    )
+    names = ["query_id", "table_id", "row_id"]
+    return begun.where("need = 1").select(*names).unionByName(more.select(*names))
+
+
+def _values(queries: DataFrame, data: DataFrame) -> DataFrame:
+    """``query_id, agg, real, num, txt``: the selected cells of the rows that each query keeps."""
     free = queries.where(F.size("conds") == 0).select("query_id", "table_id")
     chosen = queries.select("query_id", "table_id", F.col("sel").alias("col_ix"), "agg")
-    seen = met.join(chosen, ["query_id", "table_id"]).join(data, ["table_id", "row_id", "col_ix"])
+    seen = _rows_met(queries, data).join(chosen, ["query_id", "table_id"]).join(data, ["table_id", "row_id", "col_ix"])
     every = free.join(chosen, ["query_id", "table_id"]).join(data, ["table_id", "col_ix"])
-    v = seen.select("query_id", "agg", "real", "num", "txt").unionByName(every.select("query_id", "agg", "real", "num", "txt"))
+    return seen.select("query_id", "agg", "real", "num", "txt").unionByName(every.select("query_id", "agg", "real", "num", "txt"))
+
+
+def _executed(queries: DataFrame, data: DataFrame, *more: Column) -> DataFrame:
+    """``query_id, agg, n, value`` and ``more`` aggregates; ``value`` is null for plain selects."""
     n = F.when(F.col("real"), F.col("num")).otherwise(prefix_number(F.col("txt")))
-    text = F.when(F.col("real"), F.round("num", 6).cast("string")).otherwise(F.col("txt"))
-    got = v.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("agg") == 0, F.coalesce(text, F.lit("NULL"))))).alias("plain"),
+    got = _values(queries, data).groupBy("query_id").agg(
         F.max("num").alias("max_n"), F.min("num").alias("min_n"), F.max("txt").alias("max_t"), F.min("txt").alias("min_t"),
-        F.count(F.coalesce(F.col("num").cast("string"), F.col("txt"))).alias("n_set"), F.sum(n).alias("s"), F.avg(n).alias("a"), F.count("*").alias("n"),
+        F.count(F.coalesce(F.col("num").cast("string"), F.col("txt"))).alias("n_set"), F.sum(n).alias("s"), F.avg(n).alias("a"), F.count("*").alias("n"), *more,
     )
     known = data.select("table_id").distinct()
     all_ = queries.join(known, "table_id", "left_semi").select("query_id", "agg").join(got, "query_id", "left")
@@ -378,11 +402,67 @@ def execute_all(queries: DataFrame, data: DataFrame) -> DataFrame:
         .when(F.col("agg") == 4, as_text(F.col("s")))
         .otherwise(as_text(F.col("a")))
     )
+    return all_.withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).withColumn("value", F.when(F.col("agg") > 0, F.coalesce(value, F.lit("NULL"))))
+
+
+def _plain() -> Column:
+    return F.coalesce(F.when(F.col("real"), F.round("num", 6).cast("string")).otherwise(F.col("txt")), F.lit("NULL"))
+
+
+def execute_all(queries: DataFrame, data: DataFrame) -> DataFrame:
+    """Many structured queries in one job: ``query_id, n, result``.
+
+    ``queries`` has ``query_id, table_id, sel, agg, conds``; ``data`` are cells. A plain select gives a sorted array of
+    its values as text, an aggregate an array of one, so this is for results that fit in a row. Queries without
+    conditions take all rows. Queries of unknown tables give no row.
+    """
+    all_ = _executed(queries, data, F.array_sort(F.collect_list(F.when(F.col("agg") == 0, _plain()))).alias("plain"))
     none = F.array().cast("array<string>")
-    return all_.select(
-        "query_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"),
-        F.when(F.col("agg") == 0, F.coalesce("plain", none)).otherwise(F.array(F.coalesce(value, F.lit("NULL")))).alias("result"),
-    )
+    return all_.select("query_id", "n", F.when(F.col("agg") == 0, F.coalesce("plain", none)).otherwise(F.array("value")).alias("result"))
+
+
+def execute_digests(queries: DataFrame, data: DataFrame) -> DataFrame:
+    """``query_id, n, value, digest``: like ``execute_all``, for results of any size.
+
+    ``value`` is the text of an aggregate. ``digest`` adds up two hashes of each value of a plain select, so it is that
+    of the multiset and is reduced map-side; equal digests of 96 bits are taken as equal results.
+    """
+    part = lambda i: F.coalesce(F.sum(F.when(F.col("agg") == 0, md5_int(_plain(), i, 12)).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    all_ = _executed(queries, data, F.concat_ws(":", part(1).cast("string"), part(13).cast("string")).alias("digest"))
+    return all_.select("query_id", "n", "value", F.when(F.col("agg") == 0, F.coalesce("digest", F.lit("0:0"))).alias("digest"))
+
+
+def run_texts(statements: DataFrame, columns: DataFrame, data: DataFrame) -> DataFrame:
+    """``query_id, valid, error, n, value, digest``: statements executed from their text.
+
+    ``statements`` has ``query_id, table_id, sql``, ``columns`` has ``table_id, names`` with the displayed names of the
+    columns. A text is read by the dialect's own parser and only its structure is executed, so nothing but reading is
+    possible. What does not parse, names an unknown column or table, or is null is not valid, with the reason.
+    """
+    read = statements.join(columns, "table_id", "left").withColumn("p", parse_column(F.col("sql"), F.coalesce("names", F.array().cast("array<string>"))))
+    reason = F.when(F.col("names").isNull(), F.lit("unknown table")).when(F.col("sql").isNull(), F.lit("no statement")).otherwise(F.col("p.error"))
+    read = read.select("query_id", "table_id", reason.alias("error"), F.col("p.sel").alias("sel"), F.col("p.agg").alias("agg"), F.col("p.conds").alias("conds"))
+    done = execute_digests(read.where("error IS NULL").drop("error"), data)
+    j = read.select("query_id", "error").join(done, "query_id", "left")
+    # an empty table has no cells, and every statement on it is valid
+    return j.select("query_id", F.col("error").isNull().alias("valid"), "error", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "value", "digest")
+
+
+def execution_match(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """``query_id, valid, correct``: whether the prediction ran, and whether both ran and gave the same multiset.
+
+    Both sides are results of ``run_texts``; a prediction without a gold result is not correct.
+    """
+    g = gold.select("query_id", F.col("valid").alias("g_valid"), F.col("n").alias("g_n"), F.col("value").alias("g_value"), F.col("digest").alias("g_digest"))
+    c = F.col
+    same = _multiset(c("value"), c("digest"), c("n")) == _multiset(c("g_value"), c("g_digest"), c("g_n"))
+    return predicted.join(g, "query_id", "left").select("query_id", "valid", F.coalesce(c("valid") & c("g_valid") & same, F.lit(False)).alias("correct"))
+
+
+def _multiset(value: Column, digest: Column, n: Column) -> Column:
+    """One text for equal results: an aggregate is one value, and equals a plain select of that one."""
+    alone = F.concat_ws(":", F.lit("1"), md5_int(value, 1, 12).cast("string"), md5_int(value, 13, 12).cast("string"))
+    return F.when(value.isNotNull(), alone).otherwise(F.concat_ws(":", n.cast("string"), F.coalesce(digest, F.lit("0:0"))))
 
 
 def ground(conds: DataFrame, values: DataFrame) -> DataFrame:
