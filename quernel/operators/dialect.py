@@ -470,14 +470,17 @@ def ground(conds: DataFrame, values: DataFrame) -> DataFrame:
 
     ``conds`` has ``id, table_id, col_ix, op, val``; ``values`` the distinct text cells ``table_id, col_ix, txt`` in lower
     case. Only ``=`` conditions whose value is no cell of their column change: the chosen column comes first, then the
-    others in order; of several cells the longest wins, then the first by text. Words of the value are joined with cells,
-    so no condition meets cells that share no word with it.
+    others in order; of several cells the longest wins, then the first by text. A cell is found by its rarest word, so no
+    condition meets cells that share a frequent word only.
     """
     word = "[a-z0-9]+"
     eq = conds.where("op = 0")
     exact = eq.join(values, (eq.table_id == values.table_id) & (eq.col_ix == values.col_ix) & (F.lower(F.trim(eq.val)) == values.txt), "left_semi").select("id")
     open_ = eq.join(exact, "id", "left_anti").withColumn("low", F.lower(F.trim("val")))
-    first = values.withColumn("w", F.regexp_extract("txt", word, 0)).where("w <> ''").select("table_id", F.col("col_ix").alias("cell_col"), "txt", "w")
+    listed = values.withColumn("w", F.explode(F.array_distinct(F.regexp_extract_all("txt", F.lit(word), F.lit(0)))))
+    often = listed.groupBy("table_id", "w").agg(F.count("*").alias("often"))
+    rarest = F.min(F.struct("often", "w"))["w"]
+    first = listed.join(often, ["table_id", "w"]).groupBy("table_id", F.col("col_ix").alias("cell_col"), "txt").agg(rarest.alias("w"))
     parts = open_.withColumn("w", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(word), F.lit(0)))))
     bounded = F.concat(F.lit(r"(?s).*(?<![a-z0-9])\Q"), F.col("txt"), F.lit(r"\E(?![a-z0-9]).*"))
     hit = parts.join(first, ["table_id", "w"]).where(F.rlike("low", bounded))

@@ -71,8 +71,9 @@ def throughput(df: DataFrame, run: str, step: str, seconds: Column, tokens_per_s
     return d.withColumn("tokens_per_s", F.round(tps, 6)).withColumn("mfu", 6 * parameters * F.col("tokens_per_s") / peak).drop("_s")
 
 
-def cosine_rate(step: Column, most: int, peak: float, warmup: int, least_ratio: float = 0.1) -> Column:
-    """Linear warm-up, then a cosine down to ``least_ratio`` of the peak."""
-    done = F.least(F.lit(1.0), (step - warmup) / max(1, most - warmup))
+def cosine_rate(step: Column, most: int | Column, peak: float, warmup: int, least_ratio: float = 0.1) -> Column:
+    """Linear warm-up, then a cosine down to ``least_ratio`` of the peak at the step ``most``."""
+    last = F.lit(most) if isinstance(most, int) else most
+    done = F.least(F.lit(1.0), (step - warmup) / F.greatest(F.lit(1), last - warmup))
     low = peak * least_ratio
     return F.when(step < warmup, peak * (step + 1) / warmup).otherwise(low + 0.5 * (peak - low) * (1 + F.cos(F.lit(math.pi) * done)))

@@ -29,9 +29,17 @@ def shard_starts(lengths: DataFrame, shard: str, tokens: str, seq_len: int) -> D
 
 
 def locate(draws: DataFrame, starts: DataFrame, shard: str, value: str) -> DataFrame:
-    """Shard and offset of each draw in ``[0, all starts)``. ``starts`` has a row a shard; beyond the broadcast limit the
-    planner picks another join."""
-    j = draws.join(starts, (F.col(value) >= F.col("before")) & (F.col(value) < F.col("upto")))
+    """Shard and offset of each draw in ``[0, all starts)``. ``starts`` has a row a shard.
+
+    The space of starts is cut into as many equal strips as there are shards; a draw meets the shards of its strip by an
+    equality join, so there are at most two rows a shard and no product.
+    """
+    w = F.broadcast(starts.agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.max("upto") / F.count("*"))).alias("_wide")))  # one row
+    strip = lambda c: F.floor(c / F.col("_wide"))
+    parts = F.explode(F.sequence(strip(F.col("before")), strip(F.col("upto") - 1)))
+    s = starts.crossJoin(w).select(shard, "before", "upto", parts.alias("_strip"))
+    j = draws.crossJoin(w).withColumn("_strip", strip(F.col(value))).join(s, "_strip")
+    j = j.where((F.col(value) >= F.col("before")) & (F.col(value) < F.col("upto")))
     return j.select(*draws.columns, shard, (F.col(value) - F.col("before")).alias("offset"))
 
 
@@ -68,6 +76,24 @@ def windows(tokens: Column, offset: Column, seq_len: int) -> Column:
     return F.struct(F.slice(tokens, offset + 1, seq_len).alias("x"), F.slice(tokens, offset + 2, seq_len).alias("y"))
 
 
+def packed_windows(df: DataFrame, shard: str, order: str, ids: str, end: int, seq_len: int) -> DataFrame:
+    """``shard, window, x, y``: the consecutive windows of each shard, in which documents follow each other with ``end``
+    behind each. ``x`` has ``seq_len`` tokens and ``y`` the ones after them; the last window of a shard may be shorter.
+
+    Only the parts of documents that lie in a window are put together, so a group has ``seq_len + 1`` tokens.
+    """
+    d = df.select(F.col(shard), F.col(order), F.concat(F.col(ids), F.array(F.lit(end))).alias("_t"))
+    d = offsets(d.withColumn("_n", F.size("_t") - 1), shard, order, "_n")
+    span = F.sequence(F.floor(F.greatest(F.col("start") - 1, F.lit(0)) / seq_len), F.floor((F.col("stop") - 1) / seq_len))
+    d = d.withColumn("window", F.explode(span))
+    low = F.greatest(F.col("start"), F.col("window") * seq_len)
+    high = F.least(F.col("stop"), F.col("window") * seq_len + seq_len + 1)
+    part = F.slice("_t", (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
+    g = d.where(high > low).groupBy(shard, "window").agg(F.array_sort(F.collect_list(F.struct(low.alias("at"), part.alias("part")))).alias("p"))
+    g = g.select(shard, "window", F.flatten(F.transform("p", lambda x: x["part"])).alias("t")).where(F.size("t") > 1)
+    return g.select(shard, "window", F.slice("t", F.lit(1), F.size("t") - 1).alias("x"), F.slice("t", F.lit(2), F.size("t") - 1).alias("y"))
+
+
 def write_uint16(df: DataFrame, folder: str, shard: str, order: str, ids: str, end: int) -> DataFrame:
     """Writes flat little-endian uint16 files, one a shard, into a shared folder. Returns ``shard, tokens``."""
 

@@ -98,8 +98,8 @@ ORACLE |= {
     "label_mask": rf"""WITH {_ITEMS}, e AS (
   SELECT item_id, '<schema>' || schema || '</schema>' || chr(10) || '<question>' || coalesce(question, '') || '</question>' || chr(10) || '<sql>' AS p, gold_sql || '</sql>' AS c FROM items),
 t AS (SELECT item_id, list_transform({_words('p')}, lambda w: {_md5('w', 1, 4)} % 1000) AS p, list_transform({_words('c')}, lambda w: {_md5('w', 1, 4)} % 1000) AS c FROM e)
-SELECT item_id, array_to_string(list_slice(list_concat(p, c, [1000]), 1, 48), ' ') AS ids,
-  array_to_string(list_slice(list_concat(list_transform(p, lambda x: -100), c, [1000]), 1, 48), ' ') AS labels FROM t""",
+SELECT item_id, array_to_string(list_slice(list_concat(p, c, [1000]), 1, 1024), ' ') AS ids,
+  array_to_string(list_slice(list_concat(list_transform(p, lambda x: -100), c, [1000]), 1, 1024), ' ') AS labels FROM t""",
     "collate_batches": f"""WITH q AS (SELECT item_id, item_id // 64 AS batch, list_transform({_words('question')}, lambda w: length(w)) AS ids FROM eval_questions),
 m AS (SELECT *, max(length(ids)) OVER (PARTITION BY batch) AS n FROM q)
 SELECT item_id, array_to_string(list_slice(list_resize(ids, n, 0), 1, (n - 1)::BIGINT), ' ') AS x,
@@ -171,6 +171,7 @@ _WC = f"wc AS (SELECT chunk, count(*) AS n FROM (SELECT unnest({_words('text')})
 _SIZED = f"sized AS (SELECT doc_id, doc_id // 250 AS shard, length({_words('text')}) AS tokens FROM documents)"
 _STARTS = f"""{_SIZED}, n AS (SELECT shard, sum(tokens + 1) AS tokens FROM sized GROUP BY shard),
 starts AS (SELECT shard, (tokens - 129)::BIGINT AS starts, (sum(tokens - 129) OVER (ORDER BY shard))::BIGINT AS upto FROM n WHERE tokens > 129)"""
+_SPECIAL = r"<\|(?:endoftext|pad|system|user|assistant|end)\|>|</?(?:schema|question|sql)>"
 _MIX = """mix(phase, until, source, weight) AS (VALUES (0, 0.85, 'fineweb_edu', 0.82), (0, 0.85, 'stack_sql', 0.15), (0, 0.85, 'stackexchange', 0.025),
   (0, 0.85, 'gretel_sql', 0.005), (1, 1.0, 'fineweb_edu', 0.54), (1, 1.0, 'stack_sql', 0.36), (1, 1.0, 'stackexchange', 0.08), (1, 1.0, 'gretel_sql', 0.02))"""
 ORACLE |= {
@@ -188,12 +189,38 @@ SELECT phase, source, count(*) AS n, round(max(weight)::DOUBLE, 6) AS weight FRO
     "mix_average": f"WITH {_MIX} SELECT source, round(sum(weight * CASE phase WHEN 0 THEN 0.85 ELSE 0.15 END)::DOUBLE, 6) AS weight FROM mix GROUP BY source",
     "mix_draws": f"""WITH e AS (SELECT {_md5('event_id::VARCHAR', 1, 13)}::DOUBLE / 4503599627370496 AS u FROM events)
 SELECT CASE WHEN u < 0.82 THEN 'fineweb_edu' WHEN u < 0.97 THEN 'stack_sql' WHEN u < 0.995 THEN 'stackexchange' ELSE 'gretel_sql' END AS source, count(*) AS n FROM e GROUP BY ALL""",
-    "token_windows": f"""WITH t AS (SELECT doc_id, list_transform({_words('text')}, lambda w: length(w)) AS t FROM documents)
-SELECT doc_id, array_to_string(list_slice(t, 2, 33), ' ') AS x, array_to_string(list_slice(t, 3, 34), ' ') AS y FROM t WHERE length(t) > 33""",
+    "token_windows": f"""WITH t AS (SELECT doc_id, doc_id // 250 AS shard, list_append(list_transform({_words('text')}, lambda w: length(w)), 0) AS t FROM documents),
+o AS (SELECT *, sum(length(t)) OVER (PARTITION BY shard ORDER BY doc_id) - length(t) AS start FROM t),
+e AS (SELECT shard, (start + i - 1)::BIGINT AS pos, t[i] AS id FROM o, unnest(range(1, length(t) + 1)) AS u(i)),
+w AS (SELECT shard, pos // 2048 AS "window", pos, id FROM e UNION ALL SELECT shard, pos // 2048 - 1, pos, id FROM e WHERE pos % 2048 = 0 AND pos > 0),
+g AS (SELECT shard, "window", list(id ORDER BY pos) AS l FROM w GROUP BY ALL)
+SELECT shard, "window", length(l) - 1 AS tokens, md5(array_to_string(l[:-2], ' ')) AS x, md5(array_to_string(l[2:], ' ')) AS y FROM g WHERE length(l) > 1""",
+    "special_pieces": f"""WITH t AS (SELECT row_id, coalesce(text, '') AS t FROM clean_docs)
+SELECT row_id, length(list_filter(regexp_split_to_array(t, '{_SPECIAL}'), lambda x: x <> '')) + length(regexp_extract_all(t, '{_SPECIAL}')) AS pieces,
+  length(regexp_extract_all(t, '{_SPECIAL}')) AS specials FROM t""",
 }
 
 # ------------------------------------------------------------------------------------------------------------- dialect
 _PIECES = """"(?:[^"]|"")*"?|''(?:[^'']|'''')*''?|[^''"]+"""
+_RAN = """q AS (SELECT n_nationkey AS k, n_nationkey % 6 AS agg, n_nationkey % 8 AS m, n_nationkey % 2 = 1 AS two FROM nation),
+s AS (SELECT k, two, 'g' AS side, agg, agg IN (0, 3) AS words, k AS nation FROM q
+  UNION ALL SELECT k, two, 'p', CASE m WHEN 2 THEN (agg + 1) % 6 ELSE agg END, agg IN (0, 3), CASE m WHEN 3 THEN k + 1 ELSE k END FROM q WHERE m NOT IN (4, 5, 7)),
+r AS (SELECT s.*, c_custkey, c_acctbal AS v, lower(c_mktsegment) AS t, CASE WHEN words THEN lower(c_mktsegment) ELSE round(c_acctbal, 6)::VARCHAR END AS x
+  FROM s LEFT JOIN customer ON c_nationkey = nation AND (NOT two OR c_acctbal > 0)),
+ran AS (SELECT k, side, agg, count(c_custkey) AS n, CASE WHEN agg = 0 THEN list_sort(coalesce(list(x) FILTER (c_custkey IS NOT NULL), [])) ELSE [coalesce(CASE agg
+    WHEN 1 THEN CASE WHEN words THEN max(t) ELSE round(max(v), 6)::VARCHAR END WHEN 2 THEN CASE WHEN words THEN min(t) ELSE round(min(v), 6)::VARCHAR END
+    WHEN 3 THEN count(x)::VARCHAR WHEN 4 THEN CASE WHEN words THEN (0 * sum(v))::VARCHAR ELSE round(sum(v), 6)::VARCHAR END
+    ELSE CASE WHEN words THEN (0 * sum(v))::VARCHAR ELSE round(avg(v), 6)::VARCHAR END END, 'NULL')] END AS res FROM r GROUP BY k, side, agg, words),
+matched AS (SELECT q.*, p.k IS NOT NULL AS valid, coalesce(p.res = g.res, false) AS correct FROM q LEFT JOIN ran p ON p.k = q.k AND p.side = 'p' JOIN ran g ON g.k = q.k AND g.side = 'g')"""
+_EXECUTED = {
+    "text_execute": f"""WITH {_RAN}, e AS (SELECT q.k, p.k IS NOT NULL AS valid, coalesce(p.n, 0) AS n, p.agg, p.res FROM q LEFT JOIN ran p ON p.k = q.k AND p.side = 'p')
+SELECT k::BIGINT AS query_id, valid, n, CASE WHEN agg > 0 THEN round(try_cast(res[1] AS DOUBLE), 2) END AS number,
+  CASE WHEN agg = 0 THEN coalesce(list_sum(list_transform(res, lambda x: {_md5('x', 1, 12)})), 0)::BIGINT || ':' || coalesce(list_sum(list_transform(res, lambda x: {_md5('x', 13, 12)})), 0)::BIGINT END AS digest FROM e""",
+    "execution_match": f"WITH {_RAN} SELECT k::BIGINT AS query_id, valid, correct FROM matched",
+    "execution_scores": f"""WITH {_RAN} SELECT count(*) AS n, round(avg(valid::INT), 6) AS valid, round(avg(correct::INT), 6) AS correct,
+  round(avg((m = 0 OR (m = 1 AND NOT two))::INT), 6) AS exact FROM matched""",
+    "gold_self_check": "SELECT n_nationkey::BIGINT AS query_id, n_nationkey % 9 <> 8 AS valid, n_nationkey % 9 <> 8 AS correct FROM nation",
+}
 _URGENT = "FROM orders WHERE lower(o_orderpriority) = '1-urgent' AND o_totalprice < 200000"
 ORACLE |= {
     "dialect_select": "SELECT lower(c_name) AS result FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000",
@@ -219,9 +246,11 @@ SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(i, lambda x:
 r AS (SELECT k, agg, c_acctbal AS v, lower(c_mktsegment) AS t FROM q LEFT JOIN customer ON free OR (c_nationkey = k AND (NOT two OR c_acctbal > 0)))
 SELECT k::BIGINT AS query_id, count(t) AS n, round(CASE agg WHEN 1 THEN max(v) WHEN 2 THEN min(v) WHEN 3 THEN count(t) WHEN 4 THEN sum(v) WHEN 5 THEN avg(v) END, 2) AS number,
   CASE WHEN agg = 0 THEN md5(coalesce(string_agg(t, ',' ORDER BY t), '')) END AS list_md5 FROM r GROUP BY k, agg""",
-    "execution_match": "SELECT n_nationkey::BIGINT AS query_id, TRUE AS correct FROM nation",
-    "value_grounding": "SELECT c_custkey AS id, 3 AS col_ix, lower(c_mktsegment) AS val FROM customer",
-}
+    "grammar_question": f"""WITH {_ITEMS}, v AS (SELECT item_id, length(conds) <= 6 AND list_bool_and(list_append(list_transform(conds, lambda c: c.op < 3 AND c.val <> '' AND contains(lower(coalesce(question, '')), lower(c.val))), true)) AS ok FROM items)
+SELECT item_id, CASE WHEN ok THEN 'complete' ELSE 'invalid' END AS whole, CASE WHEN ok THEN 'complete' ELSE 'invalid' END AS upper, 'invalid' AS spaced FROM v""",
+    "value_grounding": """SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 3 WHEN 4 THEN 3 ELSE 0 END AS col_ix,
+  CASE c_custkey % 5 WHEN 0 THEN lower(c_mktsegment) WHEN 3 THEN 'the ' || c_mktsegment || ' segment' WHEN 4 THEN c_mktsegment ELSE lower(c_name) END AS val FROM customer""",
+} | _EXECUTED
 
 # ---------------------------------------------------------------------------------------------------------- evaluation
 _PRED = f"""{_ITEMS}, pr AS (
@@ -258,8 +287,9 @@ FROM k LEFT JOIN c ON c.category = k.category GROUP BY ix, k.category""",
     "accuracy_by_conditions": f"WITH {_PRED} SELECT length(conds) AS k, count(*) AS n, round(avg(correct::INT), 6) AS accuracy FROM judged GROUP BY ALL",
     "component_accuracy": f"""WITH {_PRED} SELECT round(avg((m <> 7 AND found_sel = sel)::INT), 6) AS select_ok, round(avg((m <> 7 AND p_agg = agg)::INT), 6) AS aggregate_ok,
   round(avg((m <> 7 AND list_transform(p, lambda x: x.c) = list_transform(g, lambda x: x.c))::INT), 6) AS columns_ok, round(avg((m <> 7 AND p = g)::INT), 6) AS where_ok FROM judged""",
-    "gold_self_check": "SELECT 1.0::DOUBLE AS exact",
-    "misaligned_predictions": "SELECT item_id, NULL::VARCHAR AS pred_side, table_id AS item_side FROM eval_questions WHERE item_id % 50 = 1",
+    "misaligned_predictions": """WITH p AS (SELECT page_id, min(epoch_us(loaded_at)) AS pred_side FROM web_pages WHERE text IS NOT NULL GROUP BY page_id),
+i AS (SELECT page_id, max(epoch_us(loaded_at)) AS item_side FROM web_pages GROUP BY page_id)
+SELECT page_id, pred_side, item_side FROM p FULL JOIN i USING (page_id) WHERE pred_side IS DISTINCT FROM item_side""",
     "length_batches": f"""WITH q AS (SELECT item_id, length({_words('question')}) AS length FROM eval_questions)
 SELECT item_id, length, ceil(row_number() OVER (PARTITION BY length ORDER BY item_id) / 64)::BIGINT AS batch FROM q""",
 }
@@ -269,9 +299,10 @@ _RATE = "r AS (SELECT rater AS system, doc_id AS item_id, max((verdict = 'unsafe
 ORACLE |= {
     "system_mean_std": f"WITH {_RATE} SELECT system, count(correct) AS n, round(avg(correct), 6) AS mean, round(coalesce(stddev_samp(correct), 0), 6) AS std FROM r GROUP BY system",
     "mcnemar": f"""WITH {_RATE}, p AS (SELECT a.correct AS a, b.correct AS b FROM r a JOIN r b USING (item_id) WHERE a.system = 'rater1' AND b.system = 'rater2'),
-c AS (SELECT count(*) FILTER (a = 1 AND b = 0) AS only_a, count(*) FILTER (a = 0 AND b = 1) AS only_b FROM p)
-SELECT only_a, only_b, CASE WHEN only_a + only_b = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1),
-  lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))))) END::DOUBLE AS p FROM c""",
+c AS (SELECT count(*) FILTER (a = 1 AND b = 0) AS only_a, count(*) FILTER (a = 0 AND b = 1) AS only_b FROM p),
+x AS (SELECT *, CASE WHEN only_a + only_b = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1),
+  lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))))) END::DOUBLE AS p FROM c)
+SELECT only_a, only_b, round(p, 9) AS p, round(ln(p), 6) AS log_p FROM x""",
     "system_pairs": f"""WITH {_RATE} SELECT a.system AS sys_a, b.system AS sys_b, count(*) AS n, round(avg(a.correct - b.correct), 6) AS diff,
   count(*) FILTER (a.correct = 1 AND b.correct = 0) AS only_a, count(*) FILTER (a.correct = 0 AND b.correct = 1) AS only_b FROM r a JOIN r b USING (item_id)
 WHERE (a.system, b.system) IN (('rater1', 'rater2'), ('rater1', 'rater3'), ('rater2', 'rater3')) GROUP BY ALL""",
@@ -304,7 +335,7 @@ SELECT event_id, round(tps, 2) AS tokens_per_s, round(6 * 1.25e8::DOUBLE * tps /
     "log_row_kinds": """WITH e AS (SELECT event_type, try_cast(json_extract_string(props, '$.k') AS INT) AS k FROM events)
 SELECT event_type, count(k) AS with_k, count(*) - count(k) AS without_k, round(avg(k), 6) AS mean_k FROM e GROUP BY event_type""",
     "cosine_schedule": """SELECT o_orderkey, round(CASE WHEN o_orderkey < 100 THEN 1e-3::DOUBLE * (o_orderkey + 1) / 100
-  ELSE 1e-4::DOUBLE + 0.5::DOUBLE * 9e-4::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (o_orderkey - 100) / 1100))) END, 9) AS rate FROM orders WHERE o_orderkey < 1500""",
+  ELSE 1e-4::DOUBLE + 0.5::DOUBLE * 9e-4::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (o_orderkey - 100) / greatest(1, (SELECT max(o_orderkey) FROM orders) - 100)))) END, 9) AS rate FROM orders""",
     "softmax_scores": f"WITH {_P} SELECT event_id, round(p, 9) AS p FROM p",
     "topk_filter": "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 3",
     "nucleus_filter": f"""WITH {_P} SELECT event_id FROM p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY p DESC, event_id) = 1 OR
@@ -313,8 +344,8 @@ SELECT event_type, count(k) AS with_k, count(*) - count(k) AS without_k, round(a
   {_md5('user_id::VARCHAR', 1, 13)}::DOUBLE / 4503599627370496 * sum(event_id % 7 + 1) OVER (PARTITION BY user_id) AS u FROM events)
 SELECT user_id, coalesce(min(event_id) FILTER (c > u), max(event_id)) AS drawn FROM e GROUP BY user_id""",
     "greedy_choice": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1",
-    "cross_entropy": """WITH m AS (SELECT user_id, event_id, value / 10 AS v, max(value / 10) OVER (PARTITION BY user_id) AS m, min(event_id) OVER (PARTITION BY user_id) AS f FROM events WHERE user_id % 5 <> 0)
-SELECT user_id, round(max(m) + ln(sum(exp(v - m))) - max(v) FILTER (event_id = f), 6) AS loss FROM m GROUP BY user_id""",
+    "cross_entropy": """WITH m AS (SELECT user_id, event_id, value / 10 AS v, max(value / 10) OVER (PARTITION BY user_id) AS m, min(event_id) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id) AS f FROM events)
+SELECT user_id, round(max(m) + ln(sum(exp(v - m))) - max(v) FILTER (event_id = f), 6) AS loss FROM m GROUP BY user_id HAVING max(f) IS NOT NULL""",
     "clip_scale": "SELECT round(sqrt(sum(value * value)), 4) AS norm, round(least(1, 1 / (sqrt(sum(value * value)) + 1e-6)), 9) AS scale FROM events",
     "rmsnorm_vectors": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) AS s FROM embeddings)
 SELECT vec_id, round(e[1] / sqrt(s / length(e) + 1e-5::DOUBLE), 5) AS first, round(s / (s / length(e) + 1e-5::DOUBLE), 4) AS square FROM v""",

@@ -89,7 +89,7 @@ def label_mask(s, d):
     """Word hashes stand for token ids."""
     e = rendering.examples(table(s, d, "eval_questions"), table(s, d, "table_meta"))
     ids = lambda c: F.transform(words(F.col(c)), lambda w: (md5_int(w, 1, 4) % 1000).cast("int"))
-    m = e.select("item_id", rendering.masked_labels(ids("prompt"), ids("completion"), 1000, 48).alias("m"))
+    m = e.select("item_id", rendering.masked_labels(ids("prompt"), ids("completion"), 1000, 1024).alias("m"))
     return m.select("item_id", F.array_join(F.transform("m.ids", lambda x: x.cast("string")), " ").alias("ids"), F.array_join(F.transform("m.labels", lambda x: x.cast("string")), " ").alias("labels"))
 
 
@@ -252,7 +252,7 @@ def chunk_counts(s, d):
 
 @query
 def special_pieces(s, d):
-    t = table(s, d, "clean_docs", "row_id", "text").where("source = 'gretel_sql'")
+    t = table(s, d, "clean_docs", "row_id", "text")
     return t.select("row_id", F.size(bpe.split_specials(F.col("text"))).alias("pieces"), F.size(F.filter(bpe.split_specials(F.col("text")), lambda p: p.isin(*bpe.SPECIALS))).alias("specials"))
 
 
@@ -331,9 +331,12 @@ def mix_draws(s, d):
 
 @query
 def token_windows(s, d):
-    t = table(s, d, "documents", "doc_id", "text").select("doc_id", F.transform(words(F.coalesce("text", F.lit(""))), lambda w: F.length(w)).alias("t"))
-    w = t.where(F.size("t") > 33).select("doc_id", shards.windows(F.col("t"), F.lit(1), 32).alias("w"))
-    return w.select("doc_id", F.array_join(F.transform("w.x", lambda v: v.cast("string")), " ").alias("x"), F.array_join(F.transform("w.y", lambda v: v.cast("string")), " ").alias("y"))
+    """All windows of 2048 tokens of the packed shards, the last shorter one included; word lengths stand for ids."""
+    t = _sized(s, d).join(table(s, d, "documents", "doc_id", "text"), "doc_id")
+    t = t.select("doc_id", "shard", F.transform(words(F.coalesce("text", F.lit(""))), lambda w: F.length(w)).alias("ids"))
+    w = shards.packed_windows(t, "shard", "doc_id", "ids", 0, 2048)
+    joined = lambda c: F.md5(F.array_join(F.transform(c, lambda v: v.cast("string")), " "))
+    return w.select("shard", "window", F.size("x").alias("tokens"), joined("x").alias("x"), joined("y").alias("y"))
 
 
 # ------------------------------------------------------------------------------------------------------------- dialect
@@ -433,18 +436,98 @@ def batch_execute(s, d):
     return b.select("query_id", "n", F.round(F.get("result", F.lit(0)).try_cast("double"), 2).alias("number"), F.when(F.col("query_id") % 6 == 0, F.md5(r)).alias("list_md5"))
 
 
+def _statements(s, d):
+    """A gold statement a nation, and a prediction that equals it, is changed in effect or only in form, or is broken."""
+    n, names = F.col("n_nationkey"), F.array(*[F.lit(c) for c in CUSTOMER])
+    cond = lambda c, o, v: F.struct(F.lit(c).alias("col_ix"), F.lit(o).alias("op"), v.alias("val"))
+    agg = (n % 6).cast("int")
+    kind, sel = n % 8, F.when(agg.isin(0, 3), 3).otherwise(2)
+    rich = F.when(n % 2 == 1, F.array(cond(2, 1, F.lit("0"))))
+    none = F.array().cast("array<struct<col_ix:int,op:int,val:string>>")
+    conds = lambda v: F.concat(F.array(cond(1, 0, v.cast("string"))), F.coalesce(rich, none))
+    gold = conds(n)
+    text = rendering.to_sql(names, sel, agg, gold)
+    loose = rendering.to_sql(names, sel, agg, F.reverse(gold))
+    for word in ("SELECT", "FROM", "WHERE", "AND"):
+        loose = F.replace(loose, F.lit(word), F.lit(word.lower()))
+    pred = (
+        F.when(kind == 1, loose)
+        .when(kind == 2, rendering.to_sql(names, sel, ((agg + 1) % 6).cast("int"), gold))
+        .when(kind == 3, rendering.to_sql(names, sel, agg, conds(n + 1)))
+        .when(kind == 4, F.replace(text, F.lit("c_nationkey"), F.lit("c_nation")))
+        .when(kind == 5, F.replace(text, F.lit("="), F.lit("!=")))
+        .when(kind == 6, rendering.to_sql(names, sel, agg, F.concat(gold, F.array(cond(2, 2, F.lit("1e9"))))))
+        .when(kind != 7, text)
+    )
+    return table(s, d, "nation").select(
+        n.cast("long").alias("query_id"), F.when(n % 9 == 8, "nowhere").otherwise("customer").alias("asked"), F.lit("customer").alias("table_id"),
+        sel.alias("sel"), agg.alias("agg"), gold.alias("conds"), text.alias("gold_sql"), pred.alias("pred_sql"),
+    )
+
+
+def _run(s, d, statements):
+    names = s.createDataFrame([("customer", CUSTOMER)], "table_id string, names array<string>")
+    return dialect.run_texts(statements, names, dialect.cells(table(s, d, "customer"), "customer", "c_custkey", CUSTOMER))
+
+
+@query
+def text_execute(s, d):
+    """Predicted statements run from their text."""
+    r = _run(s, d, _statements(s, d).select("query_id", "table_id", F.col("pred_sql").alias("sql")))
+    return r.select("query_id", "valid", "n", F.round(F.col("value").try_cast("double"), 2).alias("number"), F.when(F.col("valid"), F.col("digest")).alias("digest"))
+
+
+def _matched(s, d):
+    q = _statements(s, d)
+    run = lambda c: _run(s, d, q.select("query_id", "table_id", F.col(c).alias("sql")))
+    return q.join(dialect.execution_match(run("pred_sql"), run("gold_sql")), "query_id")
+
+
 @query
 def execution_match(s, d):
-    a, b = _batch(s, d), _batch(s, d, 6).withColumnRenamed("result", "other").drop("n")
-    return a.join(b, "query_id").select("query_id", F.col("result").eqNullSafe(F.col("other")).alias("correct"))
+    """Predictions against gold statements, both run from their text."""
+    return _matched(s, d).select("query_id", "valid", "correct")
+
+
+@query
+def execution_scores(s, d):
+    m = _matched(s, d)
+    return evaluation.scores(m.withColumn("exact", F.coalesce(evaluation.normalize_sql(F.col("pred_sql")) == evaluation.normalize_sql(F.col("gold_sql")), F.lit(False))))
+
+
+@query
+def gold_self_check(s, d):
+    """Gold statements run from their text against the structures they were made of; some ask a table that is not there."""
+    q = _statements(s, d)
+    texts = _run(s, d, q.select("query_id", F.col("asked").alias("table_id"), F.col("gold_sql").alias("sql")))
+    whole = dialect.execute_digests(q.select("query_id", "table_id", "sel", "agg", "conds"), dialect.cells(table(s, d, "customer"), "customer", "c_custkey", CUSTOMER))
+    return dialect.execution_match(texts, whole.withColumn("valid", F.lit(True)))
+
+
+@query
+def grammar_question(s, d):
+    """Statements whose values must stand in the question: as they are, with their values in other case, and with a
+    comparison the dialect does not have."""
+    i = inputs.items(s, d).withColumn("names", rendering.column_names(F.col("header")))
+    state = lambda sql: dialect.grammar_column(sql, F.col("names"), F.coalesce("question", F.lit("")))
+    swapped = rendering.to_sql(F.col("header"), F.col("sel"), F.col("agg"), F.transform("conds", lambda c: F.struct(c["col_ix"].alias("col_ix"), c["op"].alias("op"), F.upper(c["val"]).alias("val"))))
+    return i.select("item_id", state(F.col("gold_sql")).alias("whole"), state(swapped).alias("upper"), state(F.replace(F.col("gold_sql"), F.lit("SELECT "), F.lit("SELECT  "))).alias("spaced"))
 
 
 @query
 def value_grounding(s, d):
-    """Values that hold a market segment among other words."""
+    """Values that hold a market segment or a name among other words, in the chosen column and in another one; equal
+    values and other comparisons stay."""
     cells = dialect.cells(table(s, d, "customer"), "customer", "c_custkey", CUSTOMER)
-    values = cells.where("NOT real AND col_ix = 3").select("table_id", "col_ix", "txt").distinct()
-    c = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("table_id"), F.lit(0).alias("col_ix"), F.lit(0).alias("op"), F.concat(F.lit("the "), "c_mktsegment", F.lit(" segment")).alias("val"))
+    values = cells.where("NOT real").select("table_id", "col_ix", "txt").distinct()
+    kind = F.col("c_custkey") % 5
+    val = (
+        F.when(kind == 1, F.concat(F.lit("buyer "), "c_name", F.lit(" of "), "c_mktsegment")).when(kind == 2, F.concat(F.lit("about "), "c_name"))
+        .when(kind == 4, F.col("c_mktsegment")).otherwise(F.concat(F.lit("the "), "c_mktsegment", F.lit(" segment")))
+    )
+    c = table(s, d, "customer").select(
+        F.col("c_custkey").alias("id"), F.lit("customer").alias("table_id"), F.when(kind.isin(2, 4), 3).otherwise(0).alias("col_ix"), F.when(kind == 3, 1).otherwise(0).alias("op"), val.alias("val")
+    )
     return dialect.ground(c, values)
 
 
@@ -481,15 +564,12 @@ def component_accuracy(s, d):
     return j.agg(*[F.round(F.avg(F.col(c).cast("int")), 6).alias(c) for c in j.columns])
 
 
-@query
-def gold_self_check(s, d):
-    return inputs.items(s, d).agg(F.round(F.avg((evaluation.normalize_sql(F.col("gold_sql")) == evaluation.normalize_sql(F.col("gold_sql"))).cast("int")), 6).alias("exact"))
-
-
 @query
 def misaligned_predictions(s, d):
-    q = table(s, d, "eval_questions").select("item_id", "table_id")
-    return evaluation.misaligned(q.where("item_id % 50 <> 1"), q, "item_id", "table_id")
+    """First deliveries that have a text against last deliveries of all pages: what came again later is misaligned."""
+    t = table(s, d, "web_pages", "page_id", "text", "loaded_at").withColumn("at", F.unix_micros("loaded_at"))
+    p = t.where("text IS NOT NULL").groupBy("page_id").agg(F.min("at").alias("at"))
+    return evaluation.misaligned(p, t.groupBy("page_id").agg(F.max("at").alias("at")), "page_id", "at")
 
 
 @query
@@ -506,7 +586,8 @@ def system_mean_std(s, d):
 
 @query
 def mcnemar(s, d):
-    return statistics.mcnemar(statistics.paired(inputs.ratings(s, d), "rater1", "rater2"))
+    m = statistics.mcnemar(statistics.paired(inputs.ratings(s, d), "rater1", "rater2"))
+    return m.withColumn("p", F.round("p", 9)).withColumn("log_p", F.round("log_p", 6))
 
 
 @query
@@ -590,8 +671,10 @@ def log_row_kinds(s, d):
 
 @query
 def cosine_schedule(s, d):
-    r = table(s, d, "orders", "o_orderkey").where("o_orderkey < 1500").select("o_orderkey", logs.cosine_rate(F.col("o_orderkey"), 1200, 1e-3, 100).alias("rate"))
-    return r.select("o_orderkey", F.round("rate", 9).alias("rate"))
+    """The orders as steps of one run."""
+    o = table(s, d, "orders", "o_orderkey")
+    r = o.crossJoin(F.broadcast(o.agg(F.max("o_orderkey").alias("most"))))  # one row
+    return r.select("o_orderkey", F.round(logs.cosine_rate(F.col("o_orderkey"), F.col("most"), 1e-3, 100), 9).alias("rate"))
 
 
 # -------------------------------------------------------------------------------------------------------- distributions
@@ -628,8 +711,11 @@ def greedy_choice(s, d):
 
 @query
 def cross_entropy(s, d):
-    e = table(s, d, "events", "event_id", "user_id", "value").withColumn("first", F.min("event_id").over(Window.partitionBy("user_id")))
-    return distribution.cross_entropy(e.where("user_id % 5 <> 0").withColumn("value", F.col("value") / 10), "user_id", "value", F.col("event_id") == F.col("first")).select("user_id", F.round("loss", 6).alias("loss"))
+    """The first purchase of each user is the target; users without one have an ignored label."""
+    e = table(s, d, "events", "event_id", "user_id", "event_type", "value").withColumn("value", F.col("value") / 10)
+    bought = F.col("event_type") == "purchase"
+    e = e.withColumn("first", F.min(F.when(bought, F.col("event_id"))).over(Window.partitionBy("user_id")))
+    return distribution.cross_entropy(e, "user_id", "value", F.col("event_id") == F.col("first")).select("user_id", F.round("loss", 6).alias("loss"))
 
 
 @query
