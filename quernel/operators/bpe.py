@@ -8,9 +8,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernel.operators.ordered import upper_medians
+
 # The splitting pattern and the control tokens.
 PATTERN = (
     r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,3}"""
@@ -188,11 +190,8 @@ def encode(df: DataFrame, vocabulary: Vocabulary, key: str, text: str = "text",
 def compression(df: DataFrame, size: str, tokens: str, by: str) -> DataFrame:
     """Bytes a token over all rows of each group, and of its median row (upper median; rows without tokens are skipped)."""
     d = df.where(F.col(tokens) > 0).withColumn("_r", F.col(size) / F.col(tokens))
-    w = Window.partitionBy(by).orderBy("_r")
-    n = F.count("*").over(Window.partitionBy(by))
-    mid = d.withColumn("_k", F.row_number().over(w)).withColumn("_n", n).where(F.col("_k") == F.floor(F.col("_n") / 2) + 1)
     whole = df.groupBy(by).agg((F.sum(size) / F.sum(tokens)).alias("all_ratio"))
-    m = mid.select(F.col(by).alias("_by"), F.col("_r").alias("median_ratio"))
+    m = upper_medians(d, by, "_r").withColumnRenamed(by, "_by")
     return whole.join(m, whole[by].eqNullSafe(m["_by"]), "left").select(
-        by, F.round("all_ratio", 6).alias("bytes_per_token"), F.round("median_ratio", 6).alias("median_bytes_per_token")
+        by, F.round("all_ratio", 6).alias("bytes_per_token"), F.round("median", 6).alias("median_bytes_per_token")
     )

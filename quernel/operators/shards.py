@@ -113,8 +113,8 @@ def write_uint16(df: DataFrame, folder: str, shard: str, order: str, ids: str, e
     return df.groupBy(shard).applyInPandas(run, f"{shard} string, tokens long")
 
 
-def read_uint16(spark, folder: str) -> DataFrame:
-    """``shard, tokens`` of such files."""
+def read_uint16(spark, folder: str, seq_len: int | None = None) -> DataFrame:
+    """``shard, tokens`` of such files; with ``seq_len`` only of those that hold a window, of more than that and one."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,4 +130,5 @@ def read_uint16(spark, folder: str) -> DataFrame:
                 }
             )
 
-    return files.select("path", "content").mapInPandas(run, "shard string, tokens array<int>")
+    least = -1 if seq_len is None else 2 * (seq_len + 1)  # two bytes a token
+    return files.where(F.col("length") > least).select("path", "content").mapInPandas(run, "shard string, tokens array<int>")

@@ -157,6 +157,14 @@ def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def near_duplicates_of(df: DataFrame, key: str, text: str, source: str, chosen: list[str]) -> DataFrame:
+    """``near_duplicates`` among the rows of the ``chosen`` sources. All other rows, those without a source included, are
+    kept, each as a class of its own. ``key`` is unique."""
+    mine = F.coalesce(F.col(source).isin(*chosen), F.lit(False))
+    rest = df.where(~mine).select(key, F.col(key).alias("class_id"), F.lit(0).cast("long").alias("links"), F.lit(True).alias("keep"))
+    return near_duplicates(df.where(mine), key, text).unionByName(rest)
+
+
 def first_of_each(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in a total order."""
     w = Window.partitionBy(*by).orderBy(*order)

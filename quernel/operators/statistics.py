@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernel.session import cut
+
 
 def mean_std(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean and sample deviation, 0 for a single value."""
@@ -55,28 +55,36 @@ def mcnemar(pairs: DataFrame) -> DataFrame:
     return c.withColumn("log_p", log_p).withColumn("p", F.exp("log_p")).select("only_a", "only_b", "p", "log_p")
 
 
-def resampled_means(values: DataFrame, value: str, n_boot: int, seed: int = 0, chunk: int = 500, most: int = 5_000_000) -> DataFrame:
-    """``resample, mean`` of ``n_boot`` resamples. Chunks of resamples are spread over the cluster; every chunk draws from
-    its own stream of the seed, so the result does not depend on the number of tasks.
+def resampled_means(values: DataFrame, value: str, n_boot: int, seed: int = 0, buckets: int = 256) -> DataFrame:
+    """``resample, mean`` of ``n_boot`` resamples of as many values as there are; no rows without values.
 
-    The vector is shipped to the tasks; more than ``most`` values is an error.
+    Equal values are counted first. How often a resample draws from each of ``buckets`` fixed groups of values is
+    multinomial, and so is, given that, how often it draws each value of a group; so every group is drawn in a task of
+    its own, and only sums are brought together. Nothing is collected but the size of each group. Each group draws from
+    its own stream of the seed, so the result does not depend on the number of tasks.
     """
-    x = np.array([r[0] for r in values.select(F.col(value).cast("double")).where(F.col(value).isNotNull()).orderBy(value).limit(most + 1).collect()])
-    if len(x) > most:
-        raise ValueError(f"more than {most} values")
-    spark = values.sparkSession
-    shared = spark.sparkContext.broadcast(x)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = shared.value
-        for b in batches:
-            for c in b["id"]:
-                m = min(chunk, n_boot - c * chunk)
-                rng = np.random.default_rng([seed, int(c)])
-                means = np.concatenate([v[rng.integers(0, len(v), (min(50, m - i), len(v)))].mean(1) for i in range(0, m, 50)]) if len(v) else np.full(m, np.nan)
-                yield pd.DataFrame({"resample": np.arange(m) + c * chunk, "mean": means})
-
-    return spark.range(-(-n_boot // chunk)).repartition(min(64, -(-n_boot // chunk))).mapInPandas(run, "resample long, mean double")
+    x = values.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    counted = x.groupBy("v").agg(F.count("*").alias("c")).withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int"))
+    counted = cut(counted)
+    sizes = {r["bucket"]: r["c"] for r in counted.groupBy("bucket").agg(F.sum("c").alias("c")).collect()}  # one a bucket
+    n = sum(sizes.values())
+    names = sorted(sizes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(pdf["bucket"].iloc[0])
+        mine = names.index(k)
+        share = np.array([sizes[b] for b in names], dtype=float) / n
+        drawn = np.random.default_rng([seed, buckets]).multinomial(n, share, n_boot)[:, mine]
+        pdf = pdf.sort_values("v")
+        v, p = pdf["v"].to_numpy(), pdf["c"].to_numpy(dtype=float)
+        rng, p = np.random.default_rng([seed, k]), p / p.sum()
+        sums = np.array([rng.multinomial(m, p) @ v for m in drawn])
+        return pd.DataFrame({"resample": np.arange(n_boot), "part": sums})
+
+    parts = counted.groupBy("bucket").applyInPandas(run, "resample long, part double")
+    # in one order, so that the sums are the same to the last digit
+    total = F.aggregate(F.array_sort(F.collect_list("part")), F.lit(0.0), lambda a, b: a + b)  # one a bucket
+    return parts.groupBy("resample").agg((total / F.lit(float(max(1, n)))).alias("mean"))
 
 
 def bootstrap_interval(values: DataFrame, value: str, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:

@@ -16,8 +16,8 @@ def write_parquet(df: DataFrame, path: str, *partition_by: str) -> None:
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    """JSON lines in UTF-8; null fields are left out."""
-    df.write.mode("overwrite").json(path)
+    """JSON lines in UTF-8; null fields are written as null."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -49,5 +49,6 @@ def checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def as_view(df: DataFrame, names: list[str], view: str = "t") -> None:
-    """Renames columns by position and registers the result; compare its text columns in lower case."""
-    df.toDF(*names).createOrReplaceTempView(view)
+    """Renames columns by position and registers the result. Its text columns compare without regard to case."""
+    loose = [F.col(c.name).cast("string collate UTF8_LCASE").alias(n) if c.dataType.simpleString() == "string" else F.col(c.name).alias(n) for c, n in zip(df.schema, names)]
+    df.select(*loose).createOrReplaceTempView(view)

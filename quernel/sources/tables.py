@@ -31,6 +31,13 @@ def latest(df: DataFrame, key: str, columns: list[str | Column], stamp: str = "l
     )
 
 
+def first_rows(df: DataFrame, most: int | None, *order: str) -> DataFrame:
+    """For trial runs: ``most`` rows, the first ones in ``order`` if any is given, or all of them for None."""
+    if most is None:
+        return df
+    return (df.orderBy(*order) if order else df).limit(most)
+
+
 #: File pattern and columns of each raw source.
 SOURCES = {
     "fineweb_edu": ("*.parquet", ["text", "url"]),
