@@ -187,6 +187,17 @@ def encode(df: DataFrame, vocabulary: Vocabulary, key: str, text: str = "text",
     return df.select(key, F.col(text).alias("_t"), flag.alias("_s")).mapInPandas(run, f"{key} {kind}, ids array<int>")
 
 
+def decode(df: DataFrame, vocabulary: Vocabulary, key: str, ids: str = "ids") -> DataFrame:
+    """``key, text`` of the ids; bytes that are no UTF-8 become replacement characters."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "text": [shared.value.decode(x) for x in b["_ids"]]})
+
+    return df.select(key, F.col(ids).alias("_ids")).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, text string")
+
+
 def compression(df: DataFrame, size: str, tokens: str, by: str) -> DataFrame:
     """Bytes a token over all rows of each group, and of its median row (upper median; rows without tokens are skipped)."""
     d = df.where(F.col(tokens) > 0).withColumn("_r", F.col(size) / F.col(tokens))

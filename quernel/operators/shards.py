@@ -95,7 +95,11 @@ def packed_windows(df: DataFrame, shard: str, order: str, ids: str, end: int, se
 
 
 def write_uint16(df: DataFrame, folder: str, shard: str, order: str, ids: str, end: int) -> DataFrame:
-    """Writes flat little-endian uint16 files, one a shard, into a shared folder. Returns ``shard, tokens``."""
+    """Writes flat little-endian uint16 files, one a shard, into a folder that all executors have mounted (a path or a
+    ``file:`` address). Returns ``shard, tokens``; the files are there once it is evaluated."""
+    if "://" in folder and not folder.startswith("file:"):
+        raise ValueError("shard files are written through the file system")
+    folder = folder.removeprefix("file://").removeprefix("file:")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import os

@@ -118,6 +118,21 @@ g AS (SELECT doc_id, n, i - 1 AS pos, array_to_string(list_slice(w, i::BIGINT, (
   FROM d, (SELECT DISTINCT n FROM idx) s, unnest(range(1, greatest(length(w) - n + 2, 1))) AS u(i)),
 hits AS (SELECT doc_id, item, n, pos FROM (
   SELECT doc_id, item, n, pos, row_number() OVER (PARTITION BY doc_id ORDER BY n, pos, item) AS r FROM g JOIN idx USING (n, gram)) WHERE r = 1)"""
+_NEAR = f"""WITH RECURSIVE node AS (SELECT text, min(doc_id) AS k, coalesce(length(text), 0) AS n FROM documents GROUP BY text),
+w AS (SELECT k, text, {_words('text')} AS w FROM node WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT k, {_md5('gram')} AS h FROM (
+  SELECT k, unnest(CASE WHEN length(w) >= 5 THEN list_transform(range(1, length(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))
+    WHEN length(w) > 0 THEN [array_to_string(w, ' ')] ELSE [text] END) AS gram FROM w)),
+z AS (SELECT k, count(*) AS z FROM s GROUP BY k),
+c AS (SELECT x.k AS a, y.k AS b, count(*) AS shared FROM s x JOIN s y ON x.h = y.h AND x.k < y.k GROUP BY ALL),
+link AS (SELECT a, b FROM c JOIN z x ON x.k = a JOIN z y ON y.k = b WHERE shared / (x.z + y.z - shared) >= 0.8),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT k, k AS c FROM node UNION SELECT edge.b, reach.c FROM reach JOIN edge ON edge.a = reach.k),
+class AS (SELECT k, min(c) AS class_id FROM reach GROUP BY k),
+best AS (SELECT class_id, arg_min(k, (-n, k)) AS kept FROM class JOIN node USING (k) GROUP BY class_id),
+near AS (SELECT doc_id, class_id, coalesce(l.links, 0) AS links, doc_id = kept AS keep
+  FROM documents d JOIN node ON node.text IS NOT DISTINCT FROM d.text JOIN class USING (k) JOIN best USING (class_id)
+  LEFT JOIN (SELECT a AS k, count(*) AS links FROM edge GROUP BY a) l USING (k))"""
 ORACLE |= {
     "exact_dedup_keep": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text",
     "exact_dedup_report": """WITH k AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text)
@@ -130,6 +145,12 @@ s AS (SELECT DISTINCT doc_id, {_md5('gram')} AS h FROM (
 p AS (SELECT i, {_md5("'a' || i")} | 1 AS a, {_md5("'b' || i")} AS b FROM range(128) r(i)),
 m AS (SELECT doc_id, i, min((a::HUGEINT * h + b) % 4294967296) AS v FROM s, p GROUP BY doc_id, i)
 SELECT doc_id, md5(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY i)) AS signature FROM m GROUP BY doc_id""",
+    "near_duplicate_classes": f"""{_NEAR} SELECT doc_id, class_id, links, keep FROM near""",
+    "near_duplicate_report": f"""{_NEAR}, e AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text)
+SELECT source, count(*) AS docs_in, count(e.doc_id) AS after_exact, count(*) FILTER (keep) AS after_near, round(1 - count(*) FILTER (keep) / count(*), 6) AS removed
+FROM documents JOIN near USING (doc_id) LEFT JOIN e USING (doc_id) GROUP BY source""",
+    "near_duplicate_sources": f"""{_NEAR.replace('FROM documents', "FROM (SELECT * FROM documents WHERE source = 'stack_sql')")} SELECT doc_id, class_id, links, keep FROM near
+UNION ALL SELECT doc_id, doc_id, 0, TRUE FROM documents WHERE coalesce(source, '') <> 'stack_sql'""",
     "eval_ngram_index": f"WITH {_INDEX} SELECT n, gram, item FROM idx",
     "contaminated_docs": f"WITH {_HITS} SELECT doc_id, item, n, pos FROM hits",
     "decontamination_keep": f"WITH {_HITS} SELECT doc_id FROM documents ANTI JOIN hits USING (doc_id)",
@@ -172,6 +193,26 @@ _SIZED = f"sized AS (SELECT doc_id, doc_id // 250 AS shard, length({_words('text
 _STARTS = f"""{_SIZED}, n AS (SELECT shard, sum(tokens + 1) AS tokens FROM sized GROUP BY shard),
 starts AS (SELECT shard, (tokens - 129)::BIGINT AS starts, (sum(tokens - 129) OVER (ORDER BY shard))::BIGINT AS upto FROM n WHERE tokens > 129)"""
 _SPECIAL = r"<\|(?:endoftext|pad|system|user|assistant|end)\|>|</?(?:schema|question|sql)>"
+# RE2 looks neither ahead nor back, so a mark is put before the last blank of a run that something else follows
+_BLANK = r"[\s\x{0B}\x{85}\p{Z}]"
+_FLAT = r"[\t\x{0B}\f\x{85}\p{Z} ]"
+_INK = r"[^\s\x{0B}\x{85}\p{Z}]"
+_PUNCT = r"[^\s\x{0B}\x{85}\p{Z}\p{L}\p{N}\x{01}]"
+_CHUNK = (
+    r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}\x{01}]?\p{L}+|\p{N}{1,3}| ?".replace("'", "''", 1)
+    + rf"{_PUNCT}+[\r\n]*|{_BLANK}*[\r\n]|{_BLANK}+"
+)
+_CHUNKS = rf"""parts AS (SELECT unnest(regexp_split_to_array(coalesce(text, ''), '{_SPECIAL}')) AS t FROM documents),
+chunks AS (SELECT unnest(regexp_extract_all(regexp_replace(t, '({_BLANK})({_FLAT})({_INK})', '\1' || chr(1) || '\2\3', 'g'), '{_CHUNK}')) AS chunk FROM parts)"""
+_MERGES = f"""WITH RECURSIVE {_WC},
+st AS (
+  SELECT 0 AS step, NULL::INT AS a, NULL::INT AS b, (SELECT list(struct_pack(chunk := chunk, n := n, ids := ids)) FROM (
+    SELECT chunk, n, list_transform(range(1, length(x) // 2 + 1), lambda i: ('0x' || substr(x, 2 * i - 1, 2))::INT) AS ids FROM (SELECT chunk, n, hex(encode(chunk)) AS x FROM wc))) AS words
+  UNION ALL
+  SELECT step + 1, p.a, p.b, list_transform(words, lambda w: struct_pack(chunk := w.chunk, n := w.n, ids := list_reduce(list_transform(w.ids, lambda x: [x]),
+    lambda l, x: CASE WHEN l[-1] = p.a AND x[1] = p.b THEN list_append(l[:-2], 256 + step) ELSE list_concat(l, x) END)))
+  FROM st, LATERAL (SELECT w.ids[i] AS a, w.ids[i + 1] AS b FROM (SELECT unnest(words) AS w), LATERAL (SELECT unnest(range(1, length(w.ids))) AS i) GROUP BY ALL ORDER BY sum(w.n) DESC, 1, 2 LIMIT 1) p
+  WHERE step < 12)"""
 _MIX = """mix(phase, until, source, weight) AS (VALUES (0, 0.85, 'fineweb_edu', 0.82), (0, 0.85, 'stack_sql', 0.15), (0, 0.85, 'stackexchange', 0.025),
   (0, 0.85, 'gretel_sql', 0.005), (1, 1.0, 'fineweb_edu', 0.54), (1, 1.0, 'stack_sql', 0.36), (1, 1.0, 'stackexchange', 0.08), (1, 1.0, 'gretel_sql', 0.02))"""
 ORACLE |= {
@@ -195,6 +236,14 @@ e AS (SELECT shard, (start + i - 1)::BIGINT AS pos, t[i] AS id FROM o, unnest(ra
 w AS (SELECT shard, pos // 2048 AS "window", pos, id FROM e UNION ALL SELECT shard, pos // 2048 - 1, pos, id FROM e WHERE pos % 2048 = 0 AND pos > 0),
 g AS (SELECT shard, "window", list(id ORDER BY pos) AS l FROM w GROUP BY ALL)
 SELECT shard, "window", length(l) - 1 AS tokens, md5(array_to_string(l[:-2], ' ')) AS x, md5(array_to_string(l[2:], ' ')) AS y FROM g WHERE length(l) > 1""",
+    "chunk_counts": f"""WITH {_CHUNKS} SELECT chunk, count(*) AS n FROM chunks GROUP BY chunk""",
+    "first_merges": f"""{_MERGES} SELECT (step - 1)::INT AS rank, a, b FROM st WHERE step > 0""",
+    "word_ids": f"""{_MERGES} SELECT unnest(list_transform(words, lambda w: w.chunk)) AS chunk, unnest(list_transform(words, lambda w: array_to_string(w.ids, ' '))) AS ids FROM st WHERE step = 12""",
+    "decode_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
+    "control_tokens": f"""SELECT row_id, CASE WHEN coalesce(source, '') = 'gretel_sql' THEN length(regexp_extract_all(coalesce(text, ''), '{_SPECIAL}')) ELSE 0 END AS specials FROM clean_docs""",
+    "bytes_per_word": f"""WITH t AS (SELECT source, strlen(text) AS b, length({_words('text')}) AS n FROM documents WHERE text IS NOT NULL),
+m AS (SELECT source, list_sort(list(b / n))[(count(*) // 2 + 1)::BIGINT] AS m FROM t WHERE n > 0 GROUP BY source), w AS (SELECT source, sum(b) / sum(n) AS w FROM t GROUP BY source)
+SELECT w.source, round(w, 6) AS bytes_per_token, round(m, 6) AS median_bytes_per_token FROM w LEFT JOIN m ON w.source IS NOT DISTINCT FROM m.source""",
     "special_pieces": f"""WITH t AS (SELECT row_id, coalesce(text, '') AS t FROM clean_docs)
 SELECT row_id, length(list_filter(regexp_split_to_array(t, '{_SPECIAL}'), lambda x: x <> '')) + length(regexp_extract_all(t, '{_SPECIAL}')) AS pieces,
   length(regexp_extract_all(t, '{_SPECIAL}')) AS specials FROM t""",
@@ -331,11 +380,14 @@ SELECT setting AS best, max(value) AS value FROM e GROUP BY setting ORDER BY val
 SELECT label, round(max(y - i * 0.75::DOUBLE) OVER (PARTITION BY g ORDER BY i) + i * 0.75::DOUBLE, 6) AS place FROM i""",
     "throughput": """WITH e AS (SELECT event_id, epoch_us(ts) / 1000000 AS t, lag(event_id) OVER w AS p, lag(epoch_us(ts) / 1000000) OVER w AS pt FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)),
 v AS (SELECT event_id, CASE WHEN t - pt > 0 THEN round(1000 * (event_id - p) / (t - pt), 6) END AS tps FROM e)
-SELECT event_id, round(tps, 2) AS tokens_per_s, round(6 * 1.25e8::DOUBLE * tps / 1.2e14::DOUBLE, 9) AS mfu FROM v""",
+SELECT event_id, round(tps, 2) AS tokens_per_s, round(6 * 1.25e8::DOUBLE * tps / 1.2e14::DOUBLE, 14) AS mfu FROM v""",
     "log_row_kinds": """WITH e AS (SELECT event_type, try_cast(json_extract_string(props, '$.k') AS INT) AS k FROM events)
 SELECT event_type, count(k) AS with_k, count(*) - count(k) AS without_k, round(avg(k), 6) AS mean_k FROM e GROUP BY event_type""",
     "cosine_schedule": """SELECT o_orderkey, round(CASE WHEN o_orderkey < 100 THEN 1e-3::DOUBLE * (o_orderkey + 1) / 100
   ELSE 1e-4::DOUBLE + 0.5::DOUBLE * 9e-4::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (o_orderkey - 100) / greatest(1, (SELECT max(o_orderkey) FROM orders) - 100)))) END, 9) AS rate FROM orders""",
+    "source_losses": "SELECT event_type, count(value) AS batches, round(avg(value), 6) AS loss FROM events GROUP BY event_type",
+    "gains_table": """WITH g AS (SELECT user_id, avg(value) FILTER (event_type = 'view') AS v, avg(value) FILTER (event_type = 'click') AS c, avg(value) FILTER (event_type = 'purchase') AS p FROM events GROUP BY user_id)
+SELECT user_id, round(v, 6) AS view, round(c, 6) AS click, round(p, 6) AS purchase, round(c - v, 6) AS click_gain, round(p - v, 6) AS purchase_gain FROM g""",
     "softmax_scores": f"WITH {_P} SELECT event_id, round(p, 9) AS p FROM p",
     "topk_filter": "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 3",
     "nucleus_filter": f"""WITH {_P} SELECT event_id FROM p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY p DESC, event_id) = 1 OR

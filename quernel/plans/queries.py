@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -141,6 +144,12 @@ def near_duplicate_report(s, d):
     )
 
 
+@query
+def near_duplicate_sources(s, d):
+    """Near duplicates among the SQL scripts only; all other documents pass."""
+    return similarity.near_duplicates_of(table(s, d, "documents"), "doc_id", "text", "source", ["stack_sql"])
+
+
 # ----------------------------------------------------------------------------------------------------- decontamination
 def _hits(s, d):
     return decontamination.hits(table(s, d, "documents"), decontamination.eval_index(table(s, d, "eval_questions")))
@@ -256,6 +265,54 @@ def special_pieces(s, d):
     return t.select("row_id", F.size(bpe.split_specials(F.col("text"))).alias("pieces"), F.size(F.filter(bpe.split_specials(F.col("text")), lambda p: p.isin(*bpe.SPECIALS))).alias("specials"))
 
 
+#: Merges that SQL can repeat.
+FEW = 12
+
+
+def _few(s, d):
+    return bpe.Vocabulary(bpe.train(_word_counts(s, d), FEW))
+
+
+@query
+def first_merges(s, d):
+    v = _few(s, d)
+    return s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(v.merges)], "rank int, a int, b int")
+
+
+@query
+def word_ids(s, d):
+    """Every distinct word, encoded by the first merges."""
+    e = bpe.encode(_word_counts(s, d), _few(s, d), "chunk", "chunk")
+    return e.select("chunk", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+
+
+@query
+def decode_roundtrip(s, d):
+    """Documents encoded by a vocabulary that was saved and loaded again, and decoded."""
+    v = _few(s, d)
+    folder = tempfile.mkdtemp(prefix="quernel-vocabulary-")  # a file of the driver
+    v.save(os.path.join(folder, "v.json"))
+    v = bpe.Vocabulary.load(os.path.join(folder, "v.json"))
+    e = bpe.encode(table(s, d, "documents", "doc_id", "text"), v, "doc_id")
+    return bpe.decode(e, v, "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def control_tokens(s, d):
+    """Control tokens that encoding emits: only the text-to-SQL source may."""
+    v = _few(s, d)
+    t = table(s, d, "clean_docs", "row_id", "source", "text").withColumn("k", F.struct("row_id", F.xxhash64("text").alias("h")))
+    e = bpe.encode(t, v, "k", allow_special=F.col("source").eqNullSafe("gretel_sql"))
+    return e.select("k.row_id", F.size(F.filter("ids", lambda i: i >= len(v.bytes))).alias("specials"))
+
+
+@query
+def bytes_per_word(s, d):
+    """The compression report with words in place of tokens."""
+    t = table(s, d, "documents", "source", "text").where("text IS NOT NULL")
+    return bpe.compression(t.select("source", F.octet_length("text").alias("bytes"), F.size(words(F.col("text"))).alias("tokens")), "bytes", "tokens", "source")
+
+
 # Fixed value: the reference's vocabulary, of bytes, merges and control tokens.
 VOCABULARY = 32_768
 
@@ -659,7 +716,7 @@ def label_spread(s, d):
 def throughput(s, d):
     e = table(s, d, "events", "event_id", "event_type", "ts").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
     t = logs.throughput(e, "event_type", "event_id", F.col("t") / 1_000_000, 1000, 1.25e8, 1.2e14)
-    return t.select("event_id", F.round("tokens_per_s", 2).alias("tokens_per_s"), F.round("mfu", 9).alias("mfu"))
+    return t.select("event_id", F.round("tokens_per_s", 2).alias("tokens_per_s"), F.round("mfu", 14).alias("mfu"))
 
 
 @query
@@ -669,6 +726,17 @@ def log_row_kinds(s, d):
     return e.groupBy("event_type").agg(F.count_if(F.col("k").isNotNull()).alias("with_k"), F.count_if(F.col("k").isNull()).alias("without_k"), F.round(F.avg("k"), 6).alias("mean_k"))
 
 
+@query
+def source_losses(s, d):
+    return logs.source_losses(table(s, d, "events", "event_type", "value"), "event_type", "value").withColumn("loss", F.round("loss", 6))
+
+
+@query
+def gains_table(s, d):
+    """Mean values of each user by event type, and the gains over views."""
+    return logs.gains(table(s, d, "events", "user_id", "event_type", "value"), "user_id", "event_type", "value", ["view", "click", "purchase"], "view")
+
+
 @query
 def cosine_schedule(s, d):
     """The orders as steps of one run."""

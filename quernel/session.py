@@ -30,13 +30,9 @@ def session(app: str = "quernel", cores: int | str = "*", partitions: int = 8, m
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a
-    temporary folder is made.
-    """
-    sc = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder, set if it is not yet."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir")
         if shared is None:
@@ -44,6 +40,21 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             shared = tempfile.mkdtemp(prefix=f"quernel-{os.getpid()}-")
         sc.setCheckpointDir(shared)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path for files that all executors share, beside the checkpoints."""
+    return f"{_shared(spark).rstrip('/')}/scratch-{uuid.uuid4()}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation.
+
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a
+    temporary folder is made.
+    """
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
