@@ -10,19 +10,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled documents the model is fitted on, at most; chosen by a hash of the id.
-MOST_LABELLED = 50_000
+#: Labelled documents the model is fitted on, at most, and characters they have; chosen whole by a hash of the id.
+MOST_LABELLED, MOST_CHARS = 50_000, 500_000_000
 #: Weight of the corpus-wide prior in pseudo-documents, and what a word unknown to the labels costs in a segment.
 PRIOR, DRIFT = 20.0, -0.8
 CAP = 6.0
-#: A passage holds a feature of this weight: one that hardly occurs in harmless text.
+#: A passage holds a word of this weight: one that hardly occurs in harmless text.
 SPECIFIC = 4.5
 GAP = 1.5
 #: Features seen in fewer labelled documents are left to the prior.
 LEAST_DOCS = 2
+#: A feature is a subject if so few unsafe labels among its flagged documents have less than this chance.
+UNCONFIRMED = 0.01
 
 # Look-alikes of Latin letters, and signs written for letters.
 LOOK_ALIKE = str.maketrans("аеорсухіјѕԁһαεορνικτ", "aeopcyxijsdhaeopvikt")
@@ -116,7 +118,7 @@ class Model:
         return out
 
     def passages(self, tokens: list[str]) -> list[tuple[float, int, int]]:
-        """Maximal segments ``(score, begin, end)`` of resolved words that hold a specific feature.
+        """Maximal segments ``(score, begin, end)`` of resolved words that hold a specific word.
 
         A word scores its own weight and half the weight of either pair it belongs to, less the drift.
         """
@@ -127,7 +129,7 @@ class Model:
         segments = maximal_segments([w + 0.5 * (pairs[i] + pairs[i + 1]) + DRIFT for i, w in enumerate(own)])
         if self.specific <= 0:
             return segments
-        return [(s, i, j) for s, i, j in segments if max(max(own[i:j]), max(pairs[i:j])) >= self.specific]
+        return [(s, i, j) for s, i, j in segments if max(own[i:j]) >= self.specific]
 
     def best(self, text: str) -> tuple[float, int]:
         """Score of the best passage and the number of words."""
@@ -226,15 +228,42 @@ def fit(labelled: list[tuple[str, int]], counts: dict[str, int], n_docs: int, ro
     return calibrate(model, [b for b, y in best if not y], [b for b, y in best if y])
 
 
+def at_most(k: int, n: int, p: float) -> float:
+    """Chance of at most ``k`` successes in ``n`` trials."""
+    if k >= n * p:
+        return 1.0
+    top = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    total, term = 0.0, 1.0
+    for i in range(k, -1, -1):
+        total += term
+        term *= i / (n - i + 1) * (1 - p) / p
+    return math.exp(top) * total
+
+
 def refit(model: Model, counts: dict[str, tuple[int, int]], n_flagged: int, n_rest: int, labelled: list[tuple[str, int]]) -> Model:
     """Weights from the passages that ``model`` finds in the whole corpus against everything else.
 
     ``counts`` has, of each feature, the documents with it inside of such a passage and outside. Unlike the labelled
     sample alone, this covers all harmless uses, and raters' errors and unlabelled passages no longer count as safe.
+    Of the flagged documents, raters saw some share and called them unsafe. A feature whose flagged documents they
+    called unsafe significantly less often belongs to a subject, which a few wrong or unlucky labels made suspect: it
+    counts as safe wherever it stands.
     Weaker passages of documents that raters called unsafe are moved from the one count to the other.
     """
     yes = Counter({f: y for f, (y, _) in counts.items()})
     no = Counter({f: n for f, (_, n) in counts.items()})
+    confirmed, hits = Counter(), 0
+    for t, y in labelled:
+        tokens = model.resolve(words(t)) if y else []
+        pairs = features(tokens)
+        inside = {f for s, i, j in model.passages(tokens) if model.p_value(s, len(tokens)) <= model.threshold for p in pairs[i:j] for f in p}
+        confirmed.update(inside)
+        hits += bool(inside)
+    share = hits / max(1, n_flagged)
+    for f, n in yes.items():
+        if 0 < share < 1 and at_most(confirmed[f], n, share) < UNCONFIRMED:
+            no[f] += n
+            yes[f] = 0
     for t, y in labelled:
         tokens = model.resolve(words(t)) if y else []
         found = model.passages(tokens)
@@ -312,16 +341,17 @@ def _counted(docs: DataFrame, wanted: frozenset[str], model: Model | None) -> tu
     return counts, hit, rest
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
-    """Fits a model on at most ``most`` labelled documents, then on the passages it finds in all documents.
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_chars: int = MOST_CHARS) -> Model:
+    """Fits a model on at most ``most`` labelled documents with ``most_chars`` characters, then on the passages it finds
+    in all documents.
 
     Without labels of both kinds nothing can be learnt, and the model flags nothing.
     """
-    chosen = majority(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = [
-        (r["text"], int(r["unsafe"]))
-        for r in docs.where(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "unsafe").orderBy("doc_id").collect()
-    ]
+    judged = docs.where(F.length("text") > 0).join(majority(labels), "doc_id")
+    order = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sized = judged.select("doc_id", F.xxhash64("doc_id").alias("h"), F.length("text").alias("n")).orderBy("h", "doc_id").limit(most)
+    chosen = sized.withColumn("upto", F.sum("n").over(order)).where(F.col("upto") <= most_chars).select("doc_id").distinct()
+    sample = [(r["text"], int(r["unsafe"])) for r in judged.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "unsafe").orderBy("doc_id").collect()]
     if len({y for _, y in sample}) < 2:
         return Model({}, threshold=0.0)
     seen = Counter()
