@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from quernel.session import cut
 from quernel.sources.tables import latest
 
 TIE_BITS = 48
+#: Sources that are handled at once: their brackets come to the driver and are broadcast. More of them are done in blocks.
+MOST_SOURCES = 20_000
 
 
 def ranked_keys(docs: DataFrame) -> DataFrame:
@@ -43,7 +47,16 @@ def source_cutoffs(docs: DataFrame, targets: DataFrame, accuracy: int = 2000, so
     """
     wanted = targets.groupBy("source").agg(F.max("keep_frac").alias("keep_frac")).where(F.col("source").isNotNull())
     keys = cut(ranked_keys(docs).join(wanted.select("source"), "source", "left_semi").select("source", "score", "key", "row_id"))
-    spark = docs.sparkSession
+    blocks = -(-wanted.count() // MOST_SOURCES)
+    if blocks <= 1:
+        return _cutoffs(keys, wanted, accuracy, sort_at_most)
+    block = F.pmod(F.xxhash64("source"), F.lit(blocks))
+    parts = [_cutoffs(keys.where(block == i), wanted.where(block == i), accuracy, sort_at_most) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _cutoffs(keys: DataFrame, wanted: DataFrame, accuracy: int, sort_at_most: int) -> DataFrame:
+    spark = keys.sparkSession
     rows = {r["source"]: r["n"] for r in keys.groupBy("source").agg(F.count("*").alias("n")).collect()}
     need = {}
     for r in wanted.collect():  # a row for each configured source
@@ -140,10 +153,12 @@ def _fractions(rank_from_top: int, inside: int, error: float) -> tuple[float, fl
 def kept_rows(docs: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """``row_id, source, score`` of the records that ``cutoffs`` keep. ``cutoffs`` has a row a configured source."""
     c = cutoffs.where(F.col("cutoff_score").isNotNull()).select("source", "cutoff_score", "cutoff_tie")
+    if c.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
+        c = F.broadcast(c)
     s, t = F.col("score"), F.col("cutoff_score")
     return (
         ranked_keys(docs)
-        .join(F.broadcast(c), "source")
+        .join(c, "source")
         .where((s > t) | ((s == t) & (F.col("tie") >= F.col("cutoff_tie"))))
         .select("row_id", "source", "score")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.hashing import unit
+from quernel.session import cut
 from quernel.sources.tables import latest
 
 #: ``targets`` is configuration; a table beyond this many rows is joined by a shuffle instead of broadcast.
@@ -13,8 +14,9 @@ BROADCAST_ROWS = 10_000
 
 
 def _sized(docs: DataFrame) -> DataFrame:
+    """``row_id, source, size``, read once and kept: texts are not looked at again."""
     sized = docs.select("row_id", "loaded_at", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"))
-    return latest(sized, "row_id", ["source", "size"])
+    return cut(latest(sized, "row_id", ["source", "size"]))
 
 
 def mixture_plan(docs: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
@@ -25,13 +27,17 @@ def mixture_plan(docs: DataFrame, targets: DataFrame, total: float | None = None
     count among the sources that have text at all. Null or negative weights and caps count as 0; of a source named
     twice the row with the largest weight holds.
     """
+    return _plan(_sized(docs), targets, total)
+
+
+def _plan(sized: DataFrame, targets: DataFrame, total: float | None) -> DataFrame:
     t = (
         targets.where(F.col("source").isNotNull())
         .groupBy("source")
         .agg(F.max(F.struct(F.coalesce("mix_weight", F.lit(0.0)).alias("w"), F.coalesce("max_repeats", F.lit(0)).alias("m"))).alias("x"))
         .select("source", F.greatest("x.w", F.lit(0.0)).alias("mix_weight"), F.greatest("x.m", F.lit(0)).alias("max_repeats"))
     )
-    sizes = _sized(docs).groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n_records"))
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n_records"))
     p = t.join(sizes, "source", "left").select(
         "source", "mix_weight", "max_repeats",
         F.coalesce("size", F.lit(0).cast("long")).alias("size"),
@@ -51,34 +57,42 @@ def mixture_plan(docs: DataFrame, targets: DataFrame, total: float | None = None
     )
 
 
-def mixture(docs: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
+def mixture(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 0) -> DataFrame:
     """``row_id, source, size, copies``: the records of the mixture and how often each is used.
 
     A record is used ``floor(rate)`` times, and once more with the probability of the rate's fraction, drawn from a
-    hash of its id; the draw is the same in every run and on every executor. Records without a source, of a source
+    hash of its id and the ``seed``; with one seed the draw is the same in every run and on every executor, and draws
+    with different seeds are independent. Records without a source, of a source
     without target, or drawn 0 times are not in the result. A text delivered twice counts once; null and empty texts
     have size 0 and are drawn like others.
     """
-    plan = mixture_plan(docs, targets, total).select("source", "rate")
+    sized = _sized(docs)
+    return _mix(sized, targets, _plan(sized, targets, total), seed)
+
+
+def _mix(sized: DataFrame, targets: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    plan = plan.select("source", "rate")
     if targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
     whole = F.floor("rate")
-    extra = (unit(F.coalesce(F.col("row_id").cast("string"), F.lit("")), 5) < F.col("rate") - whole).cast("int")
+    name = F.coalesce(F.col("row_id").cast("string"), F.lit(""))
+    extra = (unit(name if seed == 0 else F.concat(F.lit(f"{seed}:"), name), 5) < F.col("rate") - whole).cast("int")
     return (
-        _sized(docs)
-        .join(plan, "source")
+        sized.join(plan, "source")
         .select("row_id", "source", "size", (whole + extra).cast("int").alias("copies"))
         .where(F.col("copies") > 0)
     )
 
 
-def mixture_shares(docs: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
+def mixture_shares(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 0) -> DataFrame:
     """Per source of ``targets``: target share, rate, and the size and share that the mixture really has."""
-    got = mixture(docs, targets, total).groupBy("source").agg(
+    sized = _sized(docs)
+    plan = _plan(sized, targets, total)
+    got = _mix(sized, targets, plan, seed).groupBy("source").agg(
         F.sum(F.col("copies") * F.col("size")).alias("mixed_size"), F.sum("copies").alias("mixed_records")
     )
     zero = F.lit(0).cast("long")
-    p = mixture_plan(docs, targets, total).join(got, "source", "left").withColumns(
+    p = plan.join(got, "source", "left").withColumns(
         {"mixed_size": F.coalesce("mixed_size", zero), "mixed_records": F.coalesce("mixed_records", zero)}
     )
     return p.withColumn("all_size", F.sum("mixed_size").over(Window.partitionBy())).select(

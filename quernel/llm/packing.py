@@ -13,6 +13,8 @@ from quernel.sources.tables import latest
 
 #: A length with more pieces than this is ranked in several buckets, so that no task sorts a hot length alone.
 RANK_ROWS = 250_000
+#: Rows of a plan that is broadcast; a longer one, of a large capacity, is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -105,14 +107,14 @@ def pack_texts(docs: DataFrame, packs: DataFrame) -> DataFrame:
         "pack_id", "row_id", "cap", "n",
         F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("cap")).cast("int") - 1)).alias("piece"),
     ).select("pack_id", "row_id", "piece", F.least(F.col("cap"), F.col("n") - F.col("piece") * F.col("cap")).cast("long").alias("length"))
-    ranked = _ranked(pieces, spark.createDataFrame(buckets or [(-1, -1, 1)], "pack_id int, length long, buckets long"))
+    ranked = _ranked(pieces, _small(spark.createDataFrame(buckets or [(-1, -1, 1)], "pack_id int, length long, buckets long"), len(buckets)))
     table = spark.createDataFrame(
         plan or [(-1, 0, 0, 0, 1, 0, 0)],
         "pack_id int, length long, r0 long, ranks long, each long, first long, start0 long",
     )
     r = F.col("rank") - F.col("r0")
     placed = (
-        ranked.join(F.broadcast(table), ["pack_id", "length"])
+        ranked.join(_small(table, len(plan)), ["pack_id", "length"])
         .where((r >= 0) & (r < F.col("ranks")))
         .select(
             "pack_id", "row_id", "piece", "length",
@@ -128,9 +130,13 @@ def pack_texts(docs: DataFrame, packs: DataFrame) -> DataFrame:
     return placed.unionByName(nothing)
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def _ranked(pieces: DataFrame, buckets: DataFrame) -> DataFrame:
     """Adds ``rank`` from 0 within (pack_id, length). Hot lengths are split into buckets whose ranks are shifted."""
-    salted = pieces.join(F.broadcast(buckets), ["pack_id", "length"], "left").withColumn(
+    salted = pieces.join(buckets, ["pack_id", "length"], "left").withColumn(
         "bucket", F.pmod(F.xxhash64("row_id", "piece"), F.coalesce("buckets", F.lit(1).cast("long")))
     )
     salted = cut(salted.select("pack_id", "row_id", "piece", "length", "bucket"))
@@ -156,3 +162,16 @@ def pack_room(docs: DataFrame, packs: DataFrame) -> DataFrame:
         "pack_id", "capacity_chars", "containers", "chars", room.alias("unused"),
         F.round(room / (F.col("containers") * F.col("capacity_chars")), 6).alias("unused_share"),
     )
+
+
+def pack_checks(docs: DataFrame, packs: DataFrame) -> DataFrame:
+    """Per pack what must hold of ``pack_texts``: texts, pieces and characters placed, pieces that overlap the one before
+    them in their container, and pieces that stand out of it."""
+    caps = packs.groupBy("pack_id").agg(F.max("capacity_chars").alias("cap"))
+    got = pack_texts(docs, packs).join(caps, "pack_id")
+    inside = Window.partitionBy("pack_id", "container_id").orderBy("start", "length")  # a container is bounded
+    got = got.withColumn("over", F.coalesce(F.lag(F.col("start") + F.col("length")).over(inside) > F.col("start"), F.lit(False)))
+    return got.groupBy("pack_id").agg(
+        F.count_if(F.col("piece") == 0).alias("texts"), F.count("*").alias("pieces"), F.sum("length").alias("chars"),
+        F.count_if(F.col("over") & F.col("container_id").isNotNull()).alias("overlaps"), F.count_if(F.col("start") + F.col("length") > F.col("cap")).alias("outside"),
+    )

@@ -52,6 +52,10 @@ def p4_room(spark, folder):
     return packing.pack_room(table(spark, folder, "clean_docs"), table(spark, folder, "pack_sizes"))
 
 
+def p4_checks(spark, folder):
+    return packing.pack_checks(table(spark, folder, "clean_docs"), table(spark, folder, "pack_sizes"))
+
+
 def p5_mix(spark, folder):
     return mixing.mixture(table(spark, folder, "clean_docs"), table(spark, folder, "source_targets"))
 
@@ -77,6 +81,11 @@ def p7_ids(spark, folder):
     return tokenizing.encode_documents(table(spark, folder, "documents"))
 
 
+def p7_decoded(spark, folder):
+    """What the ids of each document stand for."""
+    return tokenizing.decode_documents(p7_ids(spark, folder)).select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def p7_totals(spark, folder):
     return tokenizing.token_totals(table(spark, folder, "documents"))
 
@@ -154,6 +163,10 @@ FROM source_targets t LEFT JOIN (
     count(*) FILTER (r.score > c.score) AS n_above, count(*) FILTER (r.score = c.score) AS n_at
   FROM ranked r JOIN (SELECT source, score, tie FROM ranked WHERE r = n_target) c USING (source) GROUP BY r.source) g USING (source)""",
     "p3_kept": f"{_RANKED} SELECT row_id, source, score FROM ranked WHERE r <= n_target",
+    "p4_checks": f"""WITH {_ONE}, x AS (SELECT pack_id, capacity_chars AS cap, length(text) AS n FROM one, pack_sizes)
+SELECT pack_id, count(*) AS texts, sum(greatest(1, ceil(coalesce(n, 0) / cap)))::BIGINT AS pieces, coalesce(sum(n), 0)::BIGINT AS chars, 0::BIGINT AS overlaps, 0::BIGINT AS outside
+FROM x GROUP BY pack_id""",
+    "p7_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "p5_mix": f"{_MIX} SELECT row_id, source, size, copies FROM mix WHERE copies > 0",
     "p5_shares": f"""{_MIX},
 got AS (SELECT source, sum(copies * size)::BIGINT AS mixed_size, sum(copies)::BIGINT AS mixed_records FROM mix GROUP BY source)

@@ -31,8 +31,8 @@ class PrefixEncoder:
     The encoding of every prefix of a piece ends in one token that is determined by the prefix alone. ``last[i]``
     holds it for the first ``i`` bytes. The token that ends at ``i`` is the one candidate ``t`` of the vocabulary for
     which merging ``last[i - len(t)] + t`` gives back exactly these two tokens, so a prefix is solved from shorter
-    prefixes, bytes can be appended without touching what stands before, and after an edit only the table from the
-    edit on is made anew. Time is linear in the length of the piece.
+    prefixes, bytes can be appended without touching what stands before, and after an edit only the table near the
+    edit is made anew. Time is linear in the length of the piece.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -74,17 +74,20 @@ class PrefixEncoder:
 
     def extend(self, data: bytes, last: list[int]) -> list[int]:
         """Fills ``last`` (whose entry 0 stands for the empty prefix) up to the whole of ``data``."""
-        ranks = self.ranks
-        for i in range(len(last), len(data) + 1):
-            for j in range(max(0, i - self.longest), i):
-                t = ranks.get(data[j:i])
-                if t is not None and (self._alone(t) if j == 0 else self._adjacent(last[j], t)):
-                    last.append(t)
-                    break
-            else:
-                raise ValueError(f"byte {data[i - 1]} is not in the vocabulary")
+        while len(last) <= len(data):
+            self._entry(data, last)
         return last
 
+    def _entry(self, data: bytes, last: list[int]) -> None:
+        """Appends the entry of the next prefix."""
+        i, get = len(last), self.ranks.get
+        for j in range(max(0, i - self.longest), i):
+            t = get(data[j:i])
+            if t is not None and (self._alone(t) if j == 0 else self._adjacent(last[j], t)):
+                last.append(t)
+                return
+        raise ValueError(f"byte {data[i - 1]} is not in the vocabulary")
+
     def table(self, data: bytes) -> list[int]:
         return self.extend(data, [-1])
 
@@ -98,9 +101,21 @@ class PrefixEncoder:
         return out[::-1]
 
     def edited(self, before: bytes, last: list[int], after: bytes) -> list[int]:
-        """The table of ``after``, keeping the part of ``before``'s table up to the first byte that differs."""
+        """The table of ``after``, made anew only near the edit.
+
+        The entries up to the first byte that differs are kept. Behind the last byte that differs the old entries hold
+        again once as many in sequence agree with them as the longest token has bytes, since an entry depends on no more.
+        """
         same = len(os.path.commonprefix([before, after]))
-        return self.extend(after, last[: same + 1])
+        tail = len(os.path.commonprefix([before[same:][::-1], after[same:][::-1]]))
+        new, shift, agree = last[: same + 1], len(before) - len(after), 0
+        while len(new) <= len(after):
+            i = len(new)
+            self._entry(after, new)
+            agree = agree + 1 if i > len(after) - tail and new[i] == last[i + shift] else 0
+            if agree > self.longest:
+                return new + last[i + shift + 1 :]
+        return new
 
     def encode(self, text: str) -> list[int]:
         import regex
@@ -147,6 +162,18 @@ def encode_documents(docs: DataFrame, path: str | None = None, key: str = "doc_i
     return docs.select(key, text).mapInPandas(run, f"{key} {kind}, ids array<int>")
 
 
+def decode_documents(encoded: DataFrame, path: str | None = None, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """``key, text`` of every row's ids; bytes that are no UTF-8 become replacement characters."""
+    where = path or vocabulary_path()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = encoder(where).bytes
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "text": [b"".join(names[i] for i in x).decode("utf-8", "replace") for x in b[ids]]})
+
+    return encoded.select(key, ids).mapInPandas(run, f"{key} {encoded.schema[key].dataType.simpleString()}, text string")
+
+
 def token_totals(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per source documents, tokens, UTF-8 bytes and bytes a token (null without tokens)."""
     ids = encode_documents(docs.withColumn("_k", F.struct("source", F.octet_length(F.coalesce("text", F.lit(""))).alias("b"))), path, "_k")

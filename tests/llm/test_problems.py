@@ -244,6 +244,9 @@ def test_cutoffs_keep_exactly_the_target(spark, sort_at_most):
     assert (got["none"].n_records, got["none"].n_kept, got["none"].cutoff_score) == (0, 0, None)
     assert got["zero"].n_kept == 0 and set(got) == {"a", "b", "none", "zero"}
     if sort_at_most == 5:
+        whole, cutoff.MOST_SOURCES = cutoff.MOST_SOURCES, 2
+        assert sorted(map(str, cutoff.source_cutoffs(df, targets, sort_at_most=5).collect())) == sorted(map(str, got.values()))
+        cutoff.MOST_SOURCES = whole
         kept = cutoff.kept_rows(df, cutoff.source_cutoffs(df, targets, sort_at_most=5)).collect()
         assert Counter(r.source for r in kept) == {"a": got["a"].n_kept, "b": got["b"].n_kept}
     empty = cutoff.source_cutoffs(docs(spark, []), targets).collect()
@@ -330,6 +333,9 @@ def test_mixture(spark):
     assert abs(shares["big"].actual_share - 0.8) < 0.05 and abs(shares["small"].actual_share - 0.2) < 0.05
     assert shares["small"].rate == 3.0 and shares["absent"].mixed_size == 0 and set(shares) == {"big", "small", "absent", "nil"}
     assert sorted(got) == sorted(mixing.mixture(df.repartition(7), targets).collect())
+    half = lambda seed: {r.row_id for r in mixing.mixture(df, targets, total=1000.0, seed=seed).collect() if r.source == "big"}
+    a, b = half(1), half(2)
+    assert a == half(1) and len(a & b) < 0.3 * min(len(a), len(b)) and len(a) > 40
     assert all(r.mixed_size == 0 for r in mixing.mixture_shares(docs(spark, []), targets).collect())
 
 
@@ -429,6 +435,25 @@ def test_prefix_encoder_equals_the_reference_encoder():
     assert e.extend(a, e.table(a[:7])) == e.table(a)
 
 
+def test_tables_near_an_edit():
+    pytest.importorskip("public_tokenizers")
+    e = tokenizing.PrefixEncoder.load(tokenizing.vocabulary_path())
+    rng = random.Random(3)
+    made = []
+    plain = e._entry
+    e._entry = lambda data, last: (made.append(1), plain(data, last))
+    for _ in range(60):
+        old = "".join(rng.choice("abcdefghij") for _ in range(1500)).encode()
+        i = rng.randrange(1500)
+        new = old[:i] + "".join(rng.choice("xyz") for _ in range(rng.randrange(4))).encode() + old[i + rng.randrange(4) :]
+        table = e.table(old)
+        made.clear()
+        assert e.edited(old, table, new) == e.table(new)
+    made.clear()
+    e.edited(old, table, old[:700] + b"q" + old[701:])
+    assert len(made) < 400 + e.longest  # not the 800 bytes behind the edit
+
+
 def test_encode_documents(spark):
     pytest.importorskip("public_tokenizers")
     df = clashing(spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (1, "hello world"), (None, "x")], "doc_id long, text string"))
