@@ -17,6 +17,8 @@ BANDS, ROWS = 32, 4
 SIMILAR = 0.8
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 256
+#: Buckets of more than two members that are broadcast; more of them are joined by a shuffle.
+BROADCAST_BUCKETS = 500_000
 _MASK = (1 << 32) - 1
 
 
@@ -57,14 +59,36 @@ def signature(tokens: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([one(t, x) for t, x in zip(tokens, text)])
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def shingle_set(tokens: pd.Series, text: pd.Series) -> pd.Series:
-    """The hashes of the shingles as signed integers. Null for a null text."""
+_SETS = T.StructType([T.StructField("sig", T.ArrayType(T.LongType())), T.StructField("grams", T.ArrayType(T.IntegerType()))])
 
-    def one(t, whole):
-        return None if whole is None else np.array(shingle_hashes(list(t), whole), dtype=np.uint32).astype(np.int32)
 
-    return pd.Series([one(t, x) for t, x in zip(tokens, text)])
+@F.pandas_udf(_SETS)
+def _sets(hashes: pd.Series, whole: pd.Series) -> pd.DataFrame:
+    p = np.array(permutations(), dtype=np.uint64)
+    low, factor = np.uint64(_MASK), np.uint64(0x9E3779B97F4A7C15)
+    sigs, grams = [], []
+    for h, w in zip(hashes, whole):
+        h = np.asarray(h, dtype=np.int64).astype(np.uint64)
+        if len(h) == 0:
+            h = np.array([w], dtype=np.int64).astype(np.uint64)
+        size = min(SHINGLE, len(h))
+        runs = np.zeros(len(h) - size + 1, dtype=np.uint64)
+        for j in range(size):
+            runs = runs * factor + h[j : j + len(runs)]
+        runs ^= runs >> np.uint64(29)
+        x = np.unique((runs * factor) >> np.uint64(32))
+        best = np.full(len(p), _MASK, dtype=np.uint64)
+        for i in range(0, len(x), 4096):
+            best = np.minimum(best, ((x[i : i + 4096, None] * p[:, 0] + p[:, 1]) & low).min(0))
+        sigs.append(best.astype(np.int64))
+        grams.append(x.astype(np.uint32).astype(np.int32))
+    return pd.DataFrame({"sig": sigs, "grams": grams})
+
+
+def shingle_sets(text: Column) -> Column:
+    """``struct(sig, grams)`` of a text: its MinHash and the hashes of its distinct shingles, for comparing. Words are
+    hashed in the JVM, so only numbers go to Python. Fewer words than a shingle are one; without words, the whole text is."""
+    return _sets(F.transform(words(text), lambda w: F.xxhash64(w)), F.xxhash64(text))
 
 
 def band_keys(sig: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
@@ -84,20 +108,28 @@ def links(classes: DataFrame, key: str, sig: str, grams: str, bands: int = BANDS
     """``a, b``: all pairs ``a < b`` that share a band and whose sets ``grams`` of distinct hashes have that Jaccard.
 
     Members of a large bucket meet in blocks of ``BLOCK``, so no task holds a whole bucket; each pair is judged once.
-    The work in a bucket is that of its pairs, as all of them count.
+    The work in a bucket is that of its pairs, as all of them count. Most buckets have one member or two, and are
+    settled by one aggregation; only members of larger ones are looked up again.
     """
     keys = cut(classes.select(F.col(key).alias("k"), band_keys(F.col(sig), bands, rows).alias("bands"), F.col(grams).alias("g")))
     left = keys.select("k", F.explode("bands").alias("bucket"))
-    sizes = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    left = cut(left.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("k"), "blocks")))
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    first = left.select(F.col("k").alias("a"), "bucket", F.col("mine").alias("i"), others.alias("j"))
-    second = left.select(F.col("k").alias("b"), "bucket", others.alias("i"), F.col("mine").alias("j"))
-    pairs = first.join(second, ["bucket", "i", "j"]).where("a < b").select("a", "b").distinct()
+    shared = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b")).where("n > 1")
+    shared = cut(shared)
+    two = shared.where("n = 2 AND a < b").select("a", "b")
+    more = shared.where("n > 2").select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    few = more.limit(BROADCAST_BUCKETS + 1).count()
+    pairs = two
+    if few:
+        more = F.broadcast(more) if few <= BROADCAST_BUCKETS else more
+        met = cut(left.join(more, "bucket").withColumn("mine", F.pmod(F.xxhash64("k"), "blocks")))
+        others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        first = met.select(F.col("k").alias("a"), "bucket", F.col("mine").alias("i"), others.alias("j"))
+        second = met.select(F.col("k").alias("b"), "bucket", others.alias("i"), F.col("mine").alias("j"))
+        pairs = two.unionByName(first.join(second, ["bucket", "i", "j"]).where("a < b").select("a", "b"))
     sets = keys.select("k", "g")
     both = F.size(F.array_intersect("x", "y"))
     return cut(
-        pairs.join(sets.select(F.col("k").alias("a"), F.col("g").alias("x")), "a")
+        pairs.distinct().join(sets.select(F.col("k").alias("a"), F.col("g").alias("x")), "a")
         .join(sets.select(F.col("k").alias("b"), F.col("g").alias("y")), "b")
         .where(both / (F.size("x") + F.size("y") - both) >= similar)
         .select("a", "b")
@@ -108,18 +140,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``k, component``: the least node that each node is linked to. ``nodes`` has ``k``, ``edges`` has ``a, b``.
 
     Labels spread along links and jump to the label of their label, so the rounds grow with the logarithm of the
-    longest path. Nothing is collected; each round is checkpointed.
+    longest path. Only nodes that have links take part. Nothing is collected; each round is checkpointed.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = cut(nodes.select("k", F.col("k").alias("component")))
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = cut(both.groupBy(F.col("a").alias("k")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
     while True:
         near = both.join(label, both["a"] == label["k"]).groupBy(F.col("b").alias("k")).agg(F.min("component").alias("least"))
-        step = label.join(near, "k", "left").select("k", "component", F.least("component", F.coalesce("least", "component")).alias("next"))
+        step = label.join(near, "k").select("k", "component", F.least("component", "least").alias("next"))
         jump = label.select(F.col("k").alias("next"), F.col("component").alias("jump"))
         step = cut(step.join(jump, "next").select("k", F.col("component").alias("old"), F.least("next", "jump").alias("component")))
-        if step.where("old <> component").isEmpty():
-            return step.select("k", "component")
         label = step.select("k", "component")
+        if step.where("old <> component").isEmpty():
+            return nodes.select("k").join(label, "k", "left").select("k", F.coalesce("component", "k").alias("component"))
 
 
 def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -137,9 +169,9 @@ def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     nodes = cut(reps)
     sigs = cut(
         d.where(F.col("text").isNotNull())
-        .select(F.col("id").alias("k"), F.md5("text").alias("h"), signature(words(F.col("text")), "text").alias("sig"), shingle_set(words(F.col("text")), "text").alias("grams"))
+        .select(F.col("id").alias("k"), F.md5("text").alias("h"), shingle_sets(F.col("text")).alias("s"))
         .join(nodes.select("k", "h"), ["k", "h"], "left_semi")
-        .groupBy("k").agg(F.first("sig").alias("sig"), F.first("grams").alias("grams"))
+        .groupBy("k").agg(F.first("s").alias("s")).select("k", "s.*")
     )
     edges = links(sigs, "k", "sig", "grams")
     comp = components(nodes, edges)
