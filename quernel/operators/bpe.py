@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.operators.ordered import upper_medians
+from quernel.session import cut
 
 # The splitting pattern and the control tokens.
 PATTERN = (
@@ -59,16 +60,47 @@ def byte_pairs(counts: DataFrame) -> DataFrame:
 
 
 def train(counts: DataFrame, merges: int, min_count: int = 1, most_chunks: int = 5_000_000) -> list[tuple[int, int]]:
-    """Merge list from ``chunk, n``. The loop depends on itself at every step, so it runs on the driver over the distinct
-    chunks with at least ``min_count``; more than ``most_chunks`` of them is an error, to be met by a higher ``min_count``.
-    """
+    """Merge list from ``chunk, n`` over the chunks with at least ``min_count``. The loop depends on itself at every step,
+    so it runs on the driver if there are at most ``most_chunks`` distinct chunks. More of them stay on the cluster, with
+    one job a merge: the same merges, but slowly."""
     kept = counts.where(F.col("n") >= min_count)
     rows = kept.limit(most_chunks + 1).collect()
     if len(rows) > most_chunks:
-        raise ValueError(f"more than {most_chunks} distinct chunks; raise min_count")
+        return train_distributed(kept, merges)
     return train_counts({r["chunk"].encode("utf-8"): r["n"] for r in rows}, merges)
 
 
+def merged(ids: Column, a: int, b: int, new: int) -> Column:
+    """Every occurrence of the pair, left to right without overlap, replaced by ``new``."""
+
+    def step(done: Column, x: Column) -> Column:
+        meets = (F.try_element_at(done, F.lit(-1)) == a) & (x == b)
+        whole = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.lit(new)))
+        return F.when(meets, whole).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(ids, F.array().cast("array<int>"), step)
+
+
+def train_distributed(counts: DataFrame, merges: int, cut_every: int = 20) -> list[tuple[int, int]]:
+    """``train_counts`` with the chunks on the cluster; only the winning pair of each step comes to the driver."""
+    hexed = F.hex(F.encode("chunk", "UTF-8"))
+    byte = lambda i: F.conv(F.substring(hexed, (i * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+    words = counts.where(F.length("chunk") > 0).select(F.transform(F.sequence(F.lit(1), (F.length(hexed) / 2).cast("int")), byte).alias("ids"), "n")
+    words = cut(words)
+    out: list[tuple[int, int]] = []
+    while len(out) < merges:
+        pairs = F.zip_with(F.slice("ids", F.lit(1), F.size("ids") - 1), F.slice("ids", F.lit(2), F.size("ids") - 1), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+        n = words.where(F.size("ids") > 1).select(F.explode(pairs).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n"))
+        best = n.agg(F.min_by("p", F.struct(-F.col("n"), F.col("p"))).alias("p")).first()["p"]
+        if best is None:
+            break
+        out.append((best["a"], best["b"]))
+        words = words.withColumn("ids", merged(F.col("ids"), best["a"], best["b"], 255 + len(out)))
+        if len(out) % cut_every == 0:
+            words = cut(words)
+    return out
+
+
 def train_counts(counts: dict[bytes, int], merges: int) -> list[tuple[int, int]]:
     """Repeats the most frequent adjacent pair, ties to the smaller pair, until ``merges`` or no pair is left."""
     words = [(list(c), n) for c, n in counts.items()]

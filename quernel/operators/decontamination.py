@@ -30,11 +30,13 @@ def hits(docs: DataFrame, index: DataFrame, key: str = "doc_id", text: str = "te
     Every indexed gram begins with ``SHORTEST`` words, so only hashes of runs of that length are made of the corpus and
     joined; the few places that meet are compared word by word with the whole gram. ``key`` is unique.
     """
-    start = F.xxhash64(F.slice(F.split("gram", " "), 1, SHORTEST))
+    hashed = lambda tokens: F.transform(tokens, lambda w: F.xxhash64(w))
+    start = F.xxhash64(F.slice(hashed(F.split("gram", " ")), 1, SHORTEST))
     small = _small(index.select(start.alias("g"), "n", "gram", "item"), BROADCAST_GRAMS)
     t = docs.select(F.col(key).alias("k"), words(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    last = F.size("t") - SHORTEST + 1
-    runs = t.where(last >= 1).select("k", F.posexplode(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("t", i, SHORTEST)))).alias("pos", "g"))
+    last = F.size("w") - SHORTEST + 1
+    runs = t.select("k", hashed(F.col("t")).alias("w")).where(last >= 1)
+    runs = runs.select("k", F.posexplode(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("w", i, SHORTEST)))).alias("pos", "g"))
     met = cut(runs.join(small, "g").select("k", "pos", "n", "gram", "item"))
     ids = _small(met.select(F.col("k").alias("id")).distinct(), BROADCAST_DOCS)
     near = t.join(ids, F.col("k").eqNullSafe(F.col("id")), "left_semi").select(F.col("k").alias("doc"), "t")

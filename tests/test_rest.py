@@ -67,6 +67,15 @@ def test_training_equals_the_plain_loop():
     assert bpe.merge([1, 1, 1, 2], (1, 1), 9) == [9, 1, 2]
 
 
+def test_training_on_the_cluster_gives_the_same_merges(spark):
+    rng = random.Random(9)
+    counts = {"".join(rng.choice("aabé") for _ in range(rng.randint(1, 8))): rng.randint(1, 5) for _ in range(50)} | {"aaaa": 40}
+    df = spark.createDataFrame(list(counts.items()), "chunk string, n long")
+    want = bpe.train_counts({k.encode(): n for k, n in counts.items()}, 7)
+    assert bpe.train_distributed(df, 7, 3) == want == bpe.train(df, 7, most_chunks=10)
+    assert bpe.train_distributed(df.limit(0), 3) == []
+
+
 def test_merges_go_on_to_the_whole_vocabulary(spark, tmp_path):
     from quernel.plans.queries import QUERIES
 
