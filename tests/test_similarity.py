@@ -71,6 +71,37 @@ def test_all_similar_pairs_are_linked(spark):
     assert got == {i: sum(i in p for p in pairs) for i in sets}
 
 
+def test_no_link_is_lost_in_hot_buckets(spark, monkeypatch):
+    rng = random.Random(11)
+    base = text(rng, 120).split()
+    rows = []
+    for i in range(90):  # one bucket holds nearly all of them, in blocks
+        w = list(base)
+        for k in rng.sample(range(len(w)), i % 4):
+            w[k] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(500 + i, text(rng, 60)) for i in range(10)]
+    sets = {i: set(similarity.shingle_hashes(t.split(), t)) for i, t in rows}
+    pairs = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    same = {t: min(i for i, u in rows if u == t) for _, t in rows}
+    firsts = {i for i, t in rows if same[t] == i}
+    links = {i: sum(i in p and p[0] in firsts and p[1] in firsts for p in pairs) for i in firsts}
+    df = spark.createDataFrame(rows, "id long, t string")
+    for block, few in ((7, 1), (256, 500_000)):
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        monkeypatch.setattr(similarity, "BROADCAST_BUCKETS", few)
+        got = {r.id: r.links for r in similarity.near_duplicates(df, "id", "t").collect()}
+        assert {i: got[i] for i in firsts} == links
+
+
+def test_near_duplicates_of_chosen_sources(spark):
+    t = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(1, t, "a"), (2, t, "a"), (3, t, "b"), (4, t, None), (5, None, "a"), (6, "", "a")], "id long, t string, s string")
+    got = {r.id: (r.class_id, r.keep) for r in similarity.near_duplicates_of(df, "id", "t", "s", ["a"]).collect()}
+    # a null text and an empty one are classes of their own
+    assert got == {1: (1, True), 2: (1, False), 3: (3, True), 4: (4, True), 5: (5, True), 6: (6, True)}
+
+
 def test_components_of_a_long_path(spark):
     nodes = spark.createDataFrame([(i,) for i in range(60)], "k long")
     edges = spark.createDataFrame([(i, i + 1) for i in range(39)] + [(50, 51)], "a long, b long")
