@@ -318,13 +318,6 @@ def execute(df: DataFrame, columns: list[str], sel: int, agg: int, conds: list[t
     return d.agg({"MAX": F.max(x), "MIN": F.min(x), "COUNT": F.count(x), "SUM": F.sum(n), "AVG": F.avg(n)}[kind].alias("result"))
 
 
-def normalized(result: DataFrame) -> Column:
-    """Multiset of a result as a sorted array of texts, numbers rounded to 6 places; for small results."""
-    kind = result.schema["result"].dataType.simpleString()
-    x = F.round(F.col("result"), 6) if kind in ("double", "float") else F.col("result")
-    return F.array_sort(F.collect_list(F.coalesce(x.cast("string"), F.lit("NULL"))))
-
-
 def cells(df: DataFrame, table_id: str, key: str, columns: list[str]) -> DataFrame:
     """``table_id, row_id, col_ix, real, num, txt``: a table in long form, texts in lower case."""
     kinds = dict(df.dtypes)
