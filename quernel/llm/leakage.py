@@ -72,7 +72,7 @@ class Index:
         hit = np.flatnonzero(among[at] == runs)
         return hit, at[hit]
 
-    def choose(self, often: dict[int, int]) -> Index:
+    def choose(self, often: dict[int, int], least_score: float) -> Index:
         """Keeps of each passage the ``SEEDS`` runs that are rarest in the corpus, of those that occur there at all."""
         gram, item, place = [], [], []
         for k, ids in enumerate(self.items):
@@ -92,6 +92,7 @@ class Index:
         self.kept, begin = np.unique(grams[order], return_index=True)
         self.begin = np.append(begin, len(gram))
         self.sets = [frozenset(x.tolist()) for x in self.items]
+        self.need = [min(PASSAGE, len(x), int(np.ceil(least_score * len(x)))) for x in self.items]
         return self
 
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
@@ -106,9 +107,8 @@ class Index:
         for k, start in near:
             n = len(self.items[k])
             begin, end = max(0, start - MARGIN), min(len(ids), start + n + MARGIN + CLOSE)
-            need = min(PASSAGE, n, int(np.ceil(LEAST_SCORE * n)))
             mine = self.sets[k]
-            if sum(x in mine for x in ids[begin:end].tolist()) >= need:
+            if sum(x in mine for x in ids[begin:end].tolist()) >= self.need[k]:
                 out.append((k, begin, end))
         return out
 
@@ -157,7 +157,7 @@ def leaks(docs: DataFrame, items: DataFrame, least_score: float = LEAST_SCORE) -
     seeds: of its runs of ``SEED`` words that occur in the corpus, the ``SEEDS`` rarest ones. Where a document has a seed
     and enough of the item's words near it, the two are aligned by Smith-Waterman. ``score`` is the best alignment's
     share of a perfect one; ``exact`` says whether ``PASSAGE`` words, or the whole shorter item, match without a gap in
-    it. Pairs that are exact or reach ``least_score``, at least ``LEAST_SCORE``, are returned once. Every exact passage
+    it. Pairs that are exact or reach ``least_score`` are returned once. Every exact passage
     holds its own seeds, so none is missed; edited copies are found if one of theirs is intact.
 
     The questions are what is shipped to the tasks, at most ``BLOCK_WORDS`` words of them in one pass; texts are read
@@ -182,12 +182,12 @@ def leaks(docs: DataFrame, items: DataFrame, least_score: float = LEAST_SCORE) -
     found = spark.createDataFrame([], f"doc_id {doc_kind}, t string, score double, exact boolean")
     for block in range(blocks):
         rows = texts.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block).orderBy("t").collect()
-        found = found.unionByName(_scan(corpus, [r["t"] for r in rows], [r["tokens"] for r in rows], doc_kind))
+        found = found.unionByName(_scan(corpus, [r["t"] for r in rows], [r["tokens"] for r in rows], doc_kind, least_score))
     best = found.groupBy("doc_id", "t").agg(F.round(F.max("score"), 6).alias("score"), F.bool_or("exact").alias("exact"))
     return best.where(F.col("exact") | (F.col("score") >= least_score)).join(named.select("item_id", "t"), "t").select("doc_id", "item_id", "score", "exact")
 
 
-def _scan(corpus: DataFrame, names: list[str], texts: list[list[str]], doc_kind: str) -> DataFrame:
+def _scan(corpus: DataFrame, names: list[str], texts: list[list[str]], doc_kind: str, least_score: float) -> DataFrame:
     """Counts the seeds of one block over all documents, then aligns the documents that hold one."""
     context = corpus.sparkSession.sparkContext
     index = Index(texts)
@@ -204,7 +204,7 @@ def _scan(corpus: DataFrame, names: list[str], texts: list[list[str]], doc_kind:
         yield pd.DataFrame({"gram": x.grams[some], "n": n[some]})
 
     often = corpus.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    shared = context.broadcast(index.choose({r["gram"]: r["n"] for r in often.collect()}))
+    shared = context.broadcast(index.choose({r["gram"]: r["n"] for r in often.collect()}, least_score))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x = shared.value

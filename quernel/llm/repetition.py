@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ LETTERS = 9
 LONGEST_PERIOD = 12
 NEAR = 0.85
 
-_WORDS = re.compile(r"\w+")
+_WORDS = re.compile(r"(\w+)")
 _FIGURES = re.compile(r"\d+")
 _SENTENCE = re.compile(r"[^.!?;:…\n]+[.!?;:…\n]*")
 _LONG = re.compile(r"\S{12,}")
@@ -45,19 +46,21 @@ def _cover(marks: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 def _again(ids: np.ndarray, size: int, before: int) -> np.ndarray:
     """Places in runs of ``size`` equal ids that occurred ``before`` times before."""
-    marks = np.zeros(len(ids) + 1, dtype=np.int64)
     k = len(ids) - size + 1
-    if k > before:
-        gram = np.zeros(k, dtype=np.uint64)
-        for j in range(size):
-            gram = gram * np.uint64(0x9E3779B97F4A7C15) + ids[j : j + k] + np.uint64(1)
-        order = np.argsort(gram, kind="stable")
-        ordered = gram[order]
-        first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        begin = np.maximum.accumulate(np.where(first, np.arange(k), 0))
-        at = order[np.arange(k) - begin >= before]
-        np.add.at(marks, at, 1)
-        np.add.at(marks, at + size, -1)
+    if k <= before:
+        return np.zeros(len(ids), dtype=bool)
+    gram = np.zeros(k, dtype=np.uint64)
+    for j in range(size):
+        gram = gram * np.uint64(0x9E3779B97F4A7C15) + ids[j : j + k] + np.uint64(1)
+    order = np.argsort(gram, kind="stable")
+    ordered = gram[order]
+    # a run has occurred `before` times before if the one so many places ahead in order is the same
+    at = order[before:][ordered[before:] == ordered[:-before]]
+    if len(at) == 0:
+        return np.zeros(len(ids), dtype=bool)
+    marks = np.zeros(len(ids) + 1, dtype=np.int64)
+    marks[at] += 1
+    marks[at + size] -= 1
     return np.cumsum(marks)[:-1] > 0
 
 
@@ -90,31 +93,30 @@ def _units(bounds: Iterator[tuple[int, int]], text: str, ids: list[int], starts:
     with an earlier one. Gives the marked characters and the number of units."""
     mask = np.zeros(len(text), dtype=bool)
     seen: set = set()
-    by_gram: dict[tuple, list[Counter]] = {}
+    by_gram: dict[tuple, list[tuple[int, Counter]]] = {}
     count = at = 0
     for begin, end in bounds:
-        first = at
-        while at < len(starts) and starts[at] < end:
-            at += 1
+        first, at = at, bisect_left(starts, end, at)
         words = tuple(filter(None, ids[first:at]))  # 0 stands for numbers
         key = words or text[begin:end].strip()
         if not key:
             continue
         count += 1
-        if len(words) < least or end - begin < 4:
+        n = len(words)
+        if n < least or end - begin < 4:
             continue
         if key in seen:
             mask[begin:end] = True
             continue
         seen.add(key)
-        if near and len(words) >= 5:
-            bag, n = Counter(words), len(words)
-            grams = list(zip(words, words[1:], words[2:]))
-            others = {id(o): o for g in grams for o in by_gram.get(g, ()) if 2 * min(o.total(), n) >= NEAR * (o.total() + n)}
-            if any(2 * (bag & o).total() >= NEAR * (n + o.total()) for o in others.values()):
+        if near and n >= 5:
+            grams = set(zip(words, words[1:], words[2:]))
+            others = {id(o): (m, o) for g in grams & by_gram.keys() for m, o in by_gram[g] if 2 * min(m, n) >= NEAR * (m + n)}
+            bag = Counter(words)
+            if others and any(2 * (bag & o).total() >= NEAR * (n + m) for m, o in others.values()):
                 mask[begin:end] = True
-            for g in set(grams):
-                by_gram.setdefault(g, []).append(bag)
+            for g in grams:
+                by_gram.setdefault(g, []).append((n, bag))
     return mask, count
 
 
@@ -142,6 +144,11 @@ def _favourite(ids: np.ndarray) -> float:
     return min(1.0, 2 * float(often.max()) / len(ids))
 
 
+def _repeats(word: str) -> bool:
+    k = len(word) - LETTERS + 1
+    return len({word[i : i + LETTERS] for i in range(k)}) < k
+
+
 _MASKS = ("ngrams", "lines", "sentences", "periods", "letters")
 
 
@@ -154,11 +161,14 @@ def repetition(text: str) -> dict[str, float]:
     low = text.lower()
     if len(low) != n:  # a few letters grow when lowered
         low = text
-    spans = [m.span() for m in _WORDS.finditer(low)]
-    number = {"0": 0}
-    listed = [number.setdefault(w if w.isalpha() else _FIGURES.sub("0", w), len(number)) for w in (low[i:j] for i, j in spans)]
-    begins = [i for i, _ in spans]
-    ids, starts = np.array(listed, dtype=np.uint64), np.array(begins, dtype=np.int64)
+    parts = _WORDS.split(low)  # what is between words, and words, in turn
+    words = parts[1::2]
+    number, known = {"0": 0}, {}
+    for w in dict.fromkeys(words):
+        known[w] = number.setdefault(w if w.isalpha() else _FIGURES.sub("0", w), len(number))
+    listed = list(map(known.__getitem__, words))
+    starts = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))[:-1:2]
+    begins, ids = starts.tolist(), np.array(listed, dtype=np.uint64)
     masks = {"ngrams": _cover(_ngrams(ids), starts, n), "periods": _cover(_periods(ids), starts, n), "letters": np.zeros(n, dtype=bool)}
     unbroken = 0
     for word in _LONG.finditer(text):
@@ -167,7 +177,7 @@ def repetition(text: str) -> dict[str, float]:
         for m in _RUN.finditer(word.group()):
             if m.end() - m.start() >= 12:  # six or more rounds of a few letters
                 mine[m.start() + len(m.group(1)) : m.end()] = True
-        if len(mine) > LETTERS:
+        if _repeats(word.group()):
             mine |= _again(np.frombuffer(word.group().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64), LETTERS, 1)
     masks["lines"], lines = _units(_line_bounds(text), text, listed, begins, 0, False)
     masks["sentences"], _ = _units((m.span() for m in _SENTENCE.finditer(text)), text, listed, begins, 4, True)
