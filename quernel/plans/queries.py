@@ -14,6 +14,7 @@ from quernel.operators import (
     bpe, cleaning, decontamination, dialect, distribution, evaluation, logs, rendering, selection, shards, similarity, statistics,
 )
 from quernel.plans import inputs
+from quernel.session import cut
 from quernel.sources.sinks import unfinished
 from quernel.sources.tables import latest, table
 
@@ -529,9 +530,12 @@ def text_execute(s, d):
 
 
 def _matched(s, d):
+    """Both sides of all statements in one run."""
     q = _statements(s, d)
-    run = lambda c: _run(s, d, q.select("query_id", "table_id", F.col(c).alias("sql")))
-    return q.join(dialect.execution_match(run("pred_sql"), run("gold_sql")), "query_id")
+    side = lambda c, i: q.select((F.col("query_id") * 2 + i).alias("query_id"), "table_id", F.col(c).alias("sql"))
+    ran = cut(_run(s, d, side("gold_sql", 0).unionByName(side("pred_sql", 1))))
+    of = lambda i: ran.where(F.col("query_id") % 2 == i).withColumn("query_id", F.floor(F.col("query_id") / 2))
+    return q.join(dialect.execution_match(of(1), of(0)), "query_id")
 
 
 @query
