@@ -295,8 +295,12 @@ SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(i, lambda x:
 r AS (SELECT k, agg, c_acctbal AS v, lower(c_mktsegment) AS t FROM q LEFT JOIN customer ON free OR (c_nationkey = k AND (NOT two OR c_acctbal > 0)))
 SELECT k::BIGINT AS query_id, count(t) AS n, round(CASE agg WHEN 1 THEN max(v) WHEN 2 THEN min(v) WHEN 3 THEN count(t) WHEN 4 THEN sum(v) WHEN 5 THEN avg(v) END, 2) AS number,
   CASE WHEN agg = 0 THEN coalesce(sum({_md5('t', 1, 12)}), 0)::HUGEINT || ':' || coalesce(sum({_md5('t', 13, 12)}), 0)::HUGEINT END AS digest FROM r GROUP BY k, agg""",
-    "grammar_question": f"""WITH {_ITEMS}, v AS (SELECT item_id, length(conds) <= 6 AND list_bool_and(list_append(list_transform(conds, lambda c: c.op < 3 AND c.val <> '' AND contains(lower(coalesce(question, '')), lower(c.val))), true)) AS ok FROM items)
-SELECT item_id, CASE WHEN ok THEN 'complete' ELSE 'invalid' END AS whole, CASE WHEN ok THEN 'complete' ELSE 'invalid' END AS upper, 'invalid' AS spaced FROM v""",
+    "grammar_question": f"""WITH {_ITEMS}, v AS (SELECT item_id, length(conds) <= 6 AND list_bool_and(list_append(list_transform(conds, lambda c: c.op < 3 AND c.val <> ''
+  AND contains(lower(coalesce(question, '') || ' about ' || upper(coalesce(conds[1].val, ''))), lower(c.val))), true)) AS ok,
+  list_bool_and(list_append(list_transform(conds, lambda c, i: contains(lower(coalesce(question, '') || ' about ' || upper(coalesce(conds[1].val, ''))),
+    CASE WHEN i = length(conds) THEN lower(c.val[:-2]) ELSE lower(c.val) END)), true)) AS begun FROM items)
+SELECT item_id, CASE WHEN ok THEN 'complete' ELSE 'invalid' END AS whole, CASE WHEN ok THEN 'complete' ELSE 'invalid' END AS upper, 'invalid' AS spaced,
+  CASE WHEN begun THEN 'prefix' ELSE 'invalid' END AS cut FROM v""",
     "value_grounding": """SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 3 WHEN 4 THEN 3 ELSE 0 END AS col_ix,
   CASE c_custkey % 5 WHEN 0 THEN lower(c_mktsegment) WHEN 3 THEN 'the ' || c_mktsegment || ' segment' WHEN 4 THEN c_mktsegment ELSE lower(c_name) END AS val FROM customer""",
 } | _EXECUTED

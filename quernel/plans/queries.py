@@ -561,12 +561,13 @@ def gold_self_check(s, d):
 
 @query
 def grammar_question(s, d):
-    """Statements whose values must stand in the question: as they are, with their values in other case, and with a
-    comparison the dialect does not have."""
+    """Statements whose values must stand in the question, which is made to mention the first one: as they are, with
+    their values in other case, with a blank too many, and cut within the last value."""
     i = inputs.items(s, d).withColumn("names", rendering.column_names(F.col("header")))
-    state = lambda sql: dialect.grammar_column(sql, F.col("names"), F.coalesce("question", F.lit("")))
+    i = i.withColumn("asked", F.concat(F.coalesce("question", F.lit("")), F.lit(" about "), F.coalesce(F.upper(F.get("conds", F.lit(0))["val"]), F.lit(""))))
+    state = lambda sql: dialect.grammar_column(sql, F.col("names"), F.col("asked"))
     swapped = rendering.to_sql(F.col("header"), F.col("sel"), F.col("agg"), F.transform("conds", lambda c: F.struct(c["col_ix"].alias("col_ix"), c["op"].alias("op"), F.upper(c["val"]).alias("val"))))
-    return i.select("item_id", state(F.col("gold_sql")).alias("whole"), state(swapped).alias("upper"), state(F.replace(F.col("gold_sql"), F.lit("SELECT "), F.lit("SELECT  "))).alias("spaced"))
+    return i.select("item_id", state(F.col("gold_sql")).alias("whole"), state(swapped).alias("upper"), state(F.replace(F.col("gold_sql"), F.lit("SELECT "), F.lit("SELECT  "))).alias("spaced"), state(F.substring("gold_sql", F.lit(1), F.length("gold_sql") - 3)).alias("cut"))
 
 
 @query
