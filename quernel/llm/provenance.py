@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -72,41 +72,44 @@ _TIGHT = re.compile(r"[,;=<>](?=[^\s=>])")
 _REMARK = re.compile(r"\w+|[^\w\s]")
 
 
-#: Hashes of single tokens that a worker remembers; emptied when full.
-_known: dict[str, int] = {}
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hash(word: str) -> int:
-    h = _known.get(word)
-    if h is None:
-        if len(_known) >= 200_000:
-            _known.clear()
-        h = _known[word] = xxhash.xxh64_intdigest(word)
-    return h
+class _Memory(dict):
+    """What a worker knows of single tokens; looked up without a call, and emptied when full."""
+
+    def __init__(self, of: Callable):
+        self.of = of
+
+    def __missing__(self, token: str):
+        if len(self) >= 200_000:
+            self.clear()
+        value = self[token] = self.of(token)
+        return value
+
+
+def _plain(w: str) -> str:
+    return "S" if w[0] == "'" else "N" if w[0].isdigit() else "T" if w in TYPES else w
+
+
+_hashes = _Memory(xxhash.xxh64_intdigest)
+_plains = _Memory(_plain)
+_masks = _Memory(lambda p: "I" if (p[0].isalpha() or p[0] == "_") and p not in KEYWORDS and p not in ("S", "N", "T") else p)
+
+
+def _masked(raw: list[str]) -> tuple[list[str], list[str]]:
+    plain = list(map(_plains.__getitem__, raw))
+    return plain, list(map(_masks.__getitem__, plain))
 
 
 def tokens(body: str) -> tuple[list[str], list[str]]:
     """Tokens of comment-free SQL with literals and types masked, and the same with identifiers masked too."""
-    plain, masked = [], []
-    for w in _TOKEN.findall(body.lower()):
-        if w[0] == "'":
-            k = p = "S"
-        elif w[0].isdigit():
-            k = p = "N"
-        elif w[0].isalpha() or w[0] == "_":
-            p = "T" if w in TYPES else w
-            k = p if w in KEYWORDS or p == "T" else "I"
-        else:
-            k = p = w
-        plain.append(p)
-        masked.append(k)
-    return plain, masked
+    return _masked(_TOKEN.findall(body.lower()))
 
 
 def shingles(words: list[str]) -> np.ndarray:
     """Distinct 32-bit hashes of the runs of SHINGLE tokens; fewer tokens are one run."""
-    h = np.fromiter(map(_hash, words), dtype=np.uint64, count=len(words))
+    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
     runs = max(1, len(h) - SHINGLE + 1)
     out = np.full(runs, len(h) < SHINGLE, dtype=np.uint64)
     for j in range(min(SHINGLE, len(h))):
@@ -148,7 +151,7 @@ def remarks(content: str) -> tuple[list[int], bool]:
     edge = all(
         (b <= first or e >= last) and not content[content.rfind("\n", 0, b) + 1 : b].strip() for b, e in spans
     )
-    return sorted(_hash(g) - (1 << 63) for g in grams), edge
+    return sorted(_hashes[g] - (1 << 63) for g in grams), edge
 
 
 def data_share(body: str) -> float:
@@ -197,16 +200,19 @@ def describe(content: str, repo: str | None) -> dict:
         for x in re.sub(r"^\s*(?:--+|/\*+!?|#+)|\*+/$", "", c).split("\n")
     ]
     body = _COMMENT.sub(" ", content)
-    plain, masked = tokens(body)
+    whole = _TOKEN.findall(body.lower())
+    plain, masked = _masked(whole)
     b = shingles(masked)
     no_strings = re.sub(r"'(?:[^']|'')*'", "''", body).strip()
     signs = len(_SIGN.findall(no_strings))
     share = data_share(body)
-    names = Counter(p.split("_")[0] for p in plain if p[0].isalpha() and p not in KEYWORDS)
-    names = {p: n for p, n in names.items() if len(p) > 3}
+    names: dict[str, int] = {}
+    for p, n in Counter(plain).items():
+        first = p.split("_")[0]
+        if p[0].isalpha() and p not in KEYWORDS and len(first) > 3:
+            names[first] = names.get(first, 0) + n
     most = max(names.values(), default=0)
     own = most >= 3 and any(names.get(p) == most for p in (repo or "").lower().split("/"))
-    whole = _TOKEN.findall(body.lower())
     grams = shingles(whole)
     said, edge = remarks(content)
     return {
