@@ -7,6 +7,7 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -144,9 +145,20 @@ def _favourite(ids: np.ndarray) -> float:
     return min(1.0, 2 * float(often.max()) / len(ids))
 
 
-def _repeats(word: str) -> bool:
-    k = len(word) - LETTERS + 1
-    return len({word[i : i + LETTERS] for i in range(k)}) < k
+def _repeats(word: str, size: int) -> bool:
+    k = len(word) - size + 1
+    return len({word[i : i + size] for i in range(k)}) < k
+
+
+def _said_again(ids: list[int]) -> bool:
+    """Whether a word stands twice in a row or three words in sequence occur twice, numbers counted or left out. Without
+    that no run, period or sentence can repeat."""
+    if any(map(eq, ids, ids[1:])):
+        return True
+    for some in (ids, list(filter(None, ids))) if 0 in ids else (ids,):
+        if len(set(zip(some, some[1:], some[2:]))) < len(some) - 2:
+            return True
+    return False
 
 
 _MASKS = ("ngrams", "lines", "sentences", "periods", "letters")
@@ -169,18 +181,26 @@ def repetition(text: str) -> dict[str, float]:
     listed = list(map(known.__getitem__, words))
     starts = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))[:-1:2]
     begins, ids = starts.tolist(), np.array(listed, dtype=np.uint64)
-    masks = {"ngrams": _cover(_ngrams(ids), starts, n), "periods": _cover(_periods(ids), starts, n), "letters": np.zeros(n, dtype=bool)}
+    none = np.zeros(n, dtype=bool)
+    masks = dict.fromkeys(_MASKS, none)
+    again = _said_again(listed)
+    if again:
+        masks |= {"ngrams": _cover(_ngrams(ids), starts, n), "periods": _cover(_periods(ids), starts, n)}
+        masks["sentences"], _ = _units((m.span() for m in _SENTENCE.finditer(text)), text, listed, begins, 4, True)
     unbroken = 0
     for word in _LONG.finditer(text):
         unbroken += word.end() - word.start() - 11
+        if not _repeats(word.group(), 3):
+            continue
+        if masks["letters"] is none:
+            masks["letters"] = none.copy()
         mine = masks["letters"][word.start() : word.end()]
         for m in _RUN.finditer(word.group()):
             if m.end() - m.start() >= 12:  # six or more rounds of a few letters
                 mine[m.start() + len(m.group(1)) : m.end()] = True
-        if _repeats(word.group()):
+        if _repeats(word.group(), LETTERS):
             mine |= _again(np.frombuffer(word.group().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64), LETTERS, 1)
     masks["lines"], lines = _units(_line_bounds(text), text, listed, begins, 0, False)
-    masks["sentences"], _ = _units((m.span() for m in _SENTENCE.finditer(text)), text, listed, begins, 4, True)
     union = np.logical_or.reduce(list(masks.values()))
     data = text.encode("utf-8", "replace")
     return {k: float(np.count_nonzero(m)) / n for k, m in masks.items()} | {
