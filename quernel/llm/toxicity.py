@@ -6,7 +6,8 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -47,27 +48,43 @@ def words(text: str) -> list[str]:
     if _RUNS.search(t):
         t = _RUNS.sub(r"\1", _FILLER.sub(" ", t))
     t = _SPELT.sub(lambda m: re.sub(r"[-._·*~ ]", "", m.group()), t)
-    out = []
-    for w in _PIECES.findall(t):
-        if w.isascii():
-            if w.isalpha():
-                out.append(w)
-                continue
-            if w.replace("_", "").isalpha():
-                out.append(w.strip("_"))
-                continue
-        else:
-            swapped = w.translate(LOOK_ALIKE)
-            w = swapped if swapped.isascii() else unicodedata.normalize("NFC", w)
-        if not w.isalpha():
-            letters = sum(map(str.isalpha, w))
-            if letters == 0:
-                continue  # numbers are neutral
-            if "*" not in w and letters * 2 >= len(w):
-                w = w.translate(SIGNS)
-            w = w.strip("'’!|_")
-        out.append(_RUNS.sub(r"\1", w))
-    return out
+    return [w for w in map(_spellings.__getitem__, _PIECES.findall(t)) if w]
+
+
+def _spelling(w: str) -> str:
+    """One word in its plain spelling; empty for what has no letters."""
+    if w.isascii():
+        if w.isalpha():
+            return w
+        if w.replace("_", "").isalpha():
+            return w.strip("_")
+    else:
+        swapped = w.translate(LOOK_ALIKE)
+        w = swapped if swapped.isascii() else unicodedata.normalize("NFC", w)
+    if not w.isalpha():
+        letters = sum(map(str.isalpha, w))
+        if letters == 0:
+            return ""  # numbers are neutral
+        if "*" not in w and letters * 2 >= len(w):
+            w = w.translate(SIGNS)
+        w = w.strip("'’!|_")
+    return _RUNS.sub(r"\1", w)
+
+
+class Memory(dict):
+    """Results of a function of one word, as many as fit."""
+
+    def __init__(self, of: Callable[[str], str], most: int = 200_000):
+        self.of, self.most = of, most
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[word] = self.of(word)
+        return value
+
+
+_spellings = Memory(_spelling)
 
 
 def features(tokens: list[str]) -> list[tuple[str, str]]:
@@ -91,6 +108,11 @@ def log_odds(unsafe: dict[str, float], safe: dict[str, float], n_unsafe: float,
     return out
 
 
+def _pair(feature: str) -> tuple[str, str]:
+    before, _, after = feature.rpartition(" ")
+    return before, after
+
+
 class Model:
     """Feature weights, with the words behind masked and stretched spellings, and the calibration of scores."""
 
@@ -100,32 +122,40 @@ class Model:
         self.scale, self.size, self.threshold = scale, size, threshold
         self.masked: dict[tuple[str, int], list[str]] = {}
         self.squeezed: dict[str, str] = {}
-        for f, w in sorted(weights.items(), key=lambda x: -x[1]):
+        for f, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
             if " " not in f and w > 1:
                 self.masked.setdefault((f[:1], len(f)), []).append(f)
                 self.squeezed.setdefault(re.sub(r"(.)\1+", r"\1", f), f)
 
+        self.pairs = {_pair(f): w for f, w in weights.items() if " " in f}
+        self.known = Memory(self._resolved)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.known = Memory(self._resolved)
+
+    def _resolved(self, w: str) -> str:
+        if "*" in w:
+            pattern = re.compile("".join("." if c == "*" else re.escape(c) for c in w))
+            return next((f for f in self.masked.get((w[0], len(w)), ()) if pattern.fullmatch(f)), w)
+        return w if w in self.weights else self.squeezed.get(re.sub(r"(.)\1+", r"\1", w), w)
+
     def resolve(self, tokens: list[str]) -> list[str]:
         """Puts the heaviest known word in place of one that is masked by asterisks or that was stretched."""
-        out = []
-        for w in tokens:
-            if "*" in w:
-                pattern = re.compile("".join("." if c == "*" else re.escape(c) for c in w))
-                w = next((f for f in self.masked.get((w[0], len(w)), ()) if pattern.fullmatch(f)), w)
-            elif w not in self.weights:
-                w = self.squeezed.get(re.sub(r"(.)\1+", r"\1", w), w)
-            out.append(w)
-        return out
+        return list(map(self.known.__getitem__, tokens))
 
     def passages(self, tokens: list[str]) -> list[tuple[float, int, int]]:
         """Maximal segments ``(score, begin, end)`` of resolved words that hold a specific word.
 
         A word scores its own weight and half the weight of either pair it belongs to, less the drift.
         """
-        g = self.weights.get
-        found = features(tokens)
-        own = [g(w, 0.0) for w, _ in found]
-        pairs = [g(p, 0.0) for _, p in found] + [0.0]
+        own = list(map(self.weights.get, tokens, repeat(0.0)))
+        if self.specific > 0 and max(own, default=0.0) < self.specific:
+            return []
+        pairs = [*map(self.pairs.get, zip(["", *tokens], tokens), repeat(0.0)), 0.0]
         segments = maximal_segments([w + 0.5 * (pairs[i] + pairs[i + 1]) + DRIFT for i, w in enumerate(own)])
         if self.specific <= 0:
             return segments
@@ -287,24 +317,30 @@ def tally(texts: Iterator[str | None], wanted: frozenset[str], model: Model | No
     """Documents that have each wanted feature inside and outside of the passages of ``model``, and how many documents
     have such a passage and have none."""
     inside, outside, hit, rest = Counter(), Counter(), 0, 0
+    pairs_wanted = {_pair(f) for f in wanted if " " in f}
+
+    def found(tokens: list[str], places: list[int] | None = None) -> set[str]:
+        before = ["", *tokens]
+        some = tokens if places is None else list(map(tokens.__getitem__, places))
+        ahead = before if places is None else map(before.__getitem__, places)
+        return (set(some) & wanted) | set(map(" ".join, set(zip(ahead, some)) & pairs_wanted))
+
     for t in texts:
         tokens = words(t) if t else []
-        pairs = features(tokens)
         marks: set[int] = set()
         if model is not None and tokens:
-            resolved = model.resolve(tokens)
-            pairs = features(resolved)
-            for s, i, j in model.passages(resolved):
+            tokens = model.resolve(tokens)
+            for s, i, j in model.passages(tokens):
                 if model.p_value(s, len(tokens)) <= model.threshold:
                     marks.update(range(i, j))
         if marks:
             hit += 1
-            within = {f for i in marks for f in pairs[i]}
-            inside.update(within & wanted)
-            outside.update(({f for i, p in enumerate(pairs) if i not in marks for f in p} - within) & wanted)
+            within = found(tokens, sorted(marks))
+            inside.update(within)
+            outside.update(found(tokens, [i for i in range(len(tokens)) if i not in marks]) - within)
         else:
             rest += 1
-            outside.update({f for p in pairs for f in p} & wanted)
+            outside.update(found(tokens))
     return inside, outside, hit, rest
 
 
