@@ -383,11 +383,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_ch
 
     Without labels of both kinds nothing can be learnt, and the model flags nothing.
     """
-    judged = docs.where(F.length("text") > 0).join(majority(labels), "doc_id")
+    read = docs.where(F.length("text") > 0)
+    judged = read.select("doc_id", F.length("text").alias("n")).join(majority(labels), "doc_id")  # without the texts
     order = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    sized = judged.select("doc_id", F.xxhash64("doc_id").alias("h"), F.length("text").alias("n")).orderBy("h", "doc_id").limit(most)
-    chosen = sized.withColumn("upto", F.sum("n").over(order)).where(F.col("upto") <= most_chars).select("doc_id").distinct()
-    sample = [(r["text"], int(r["unsafe"])) for r in judged.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "unsafe").orderBy("doc_id").collect()]
+    sized = judged.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most)
+    chosen = sized.withColumn("upto", F.sum("n").over(order)).where(F.col("upto") <= most_chars).select("doc_id", "unsafe").distinct()
+    sample = [(r["text"], int(r["unsafe"])) for r in read.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()]
     if len({y for _, y in sample}) < 2:
         return Model({}, threshold=0.0)
     seen = Counter()
