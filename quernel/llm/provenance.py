@@ -7,18 +7,20 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.operators.similarity import components, links
-from quernel.session import cut
+from quernel.operators.similarity import clusters
+from quernel.session import cut, dropped, scratch
 from quernel.sources.tables import latest
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 SIMILAR = 0.8
+#: Sketches of two bits a function: of pairs at the Jaccard ``SIMILAR`` one in a thousand million differs in more functions.
+SKETCH_FAR = 46
 #: Files that are alike are copies, not alike by chance, if they share so many shingles that are rare elsewhere: at most
 #: one file outside for so many files that have the shingle.
 COPY_RARE, COPY_OUTSIDE = 16, 10
@@ -67,9 +69,11 @@ _GENERATED = re.compile(
     re.I,
 )
 _COPIED = re.compile(r"^vendored\s+from\b|^third[- ]party:|^copied\s+(?:unchanged\s+)?from\s+the\b", re.I)
-_SIGN = re.compile(r"[,;=<>]")
+_ENDS = re.compile(r"'(?:[^']|'')*'|;")
 _TIGHT = re.compile(r"[,;=<>](?=[^\s=>])")
 _REMARK = re.compile(r"\w+|[^\w\s]")
+_FENCE = re.compile(r"^\s*(?:--+|/\*+!?|#+)|\*+/$")
+_STRING = re.compile(r"'(?:[^']|'')*'")
 
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -95,6 +99,9 @@ def _plain(w: str) -> str:
 _hashes = _Memory(xxhash.xxh64_intdigest)
 _plains = _Memory(_plain)
 _masks = _Memory(lambda p: "I" if (p[0].isalpha() or p[0] == "_") and p not in KEYWORDS and p not in ("S", "N", "T") else p)
+_mask_hashes = _Memory(lambda w: _hashes[_masks[_plains[w]]])
+_firsts = _Memory(lambda p: first if p[0].isalpha() and p not in KEYWORDS and len(first := p.split("_")[0]) > 3 else "")
+_spoken = _Memory(lambda w: "0" if any(map(str.isdigit, w)) else w)
 
 
 def _masked(raw: list[str]) -> tuple[list[str], list[str]]:
@@ -109,41 +116,64 @@ def tokens(body: str) -> tuple[list[str], list[str]]:
 
 def shingles(words: list[str]) -> np.ndarray:
     """Distinct 32-bit hashes of the runs of SHINGLE tokens; fewer tokens are one run."""
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    return _runs(np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words)))
+
+
+def _runs(h: np.ndarray) -> np.ndarray:
     runs = max(1, len(h) - SHINGLE + 1)
     out = np.full(runs, len(h) < SHINGLE, dtype=np.uint64)
     for j in range(min(SHINGLE, len(h))):
         out = out * _FACTOR + h[j : j + runs]
     out ^= out >> np.uint64(29)
-    return np.unique((out * _FACTOR) >> np.uint64(32))
+    out *= _FACTOR
+    out >>= np.uint64(32)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 _rng = np.random.Generator(np.random.PCG64(20260101))
-_A = _rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64)
+_A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_LOW, _HIGH = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+_BAND = _rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """MinHash of a set of 32-bit hashes: the upper half of a 64-bit multiply-add, smallest of each function."""
-    best = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(hashes), 2048):
-        x = hashes[i : i + 2048, None] * _A[None] * np.uint64(0x9E3779B1) + _B[None] * np.uint64(0x85EBCA77C2B2AE63)
-        best = np.minimum(best, (x >> np.uint64(33)).min(0))
-    return best.astype(np.int64)
-
-
-def remarks(content: str) -> tuple[list[int], bool]:
+    """MinHash of a set of 32-bit hashes: the smallest of each function ``a * h + b`` of 32 bits."""
+    best = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, dtype=np.uint32)
+    x = hashes.astype(np.uint32)
+    for i in range(0, len(x), 256):
+        y = x[i : i + 256, None] * _A
+        y += _B
+        np.minimum(best, y.min(0), out=best)
+    return best
+
+
+def _banded(best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, a signature, the keys of its bands and a sketch: two bits of each function, as two planes of two words."""
+    keys = np.tile(_BAND, (len(best), 1))
+    for j in range(ROWS):
+        keys = (keys ^ best[:, j::ROWS]) * _FACTOR
+        keys ^= keys >> np.uint64(31)
+    mixed = best * _LOW ^ best * _HIGH >> np.uint32(7)
+    planes = np.zeros((len(best), 2, 128), dtype=bool)
+    planes[:, 0, : BANDS * ROWS] = mixed >> np.uint32(31)
+    planes[:, 1, : BANDS * ROWS] = mixed >> np.uint32(30) & np.uint32(1)
+    return keys.view(np.int64), np.packbits(planes, axis=2).reshape(len(best), 32).view(np.int64)
+
+
+def remarks(content: str, comments: list[re.Match]) -> tuple[list[int], bool]:
     """Hashes of the words and word pairs of the comments, figures being equal to each other, and whether all comments
     stand on lines of their own before the first or behind the last statement."""
     grams: set[str] = set()
     spans: list[list[int]] = []
-    for m in _COMMENT.finditer(content):
+    for m in comments:
         if spans and not content[spans[-1][1] : m.start()].strip():
             spans[-1][1] = m.end()
         else:
             spans.append([m.start(), m.end()])
         for line in m.group().lower().split("\n"):
-            words = ["0" if any(map(str.isdigit, w)) else w for w in _REMARK.findall(line.strip(" \t\r-/*#!"))]
+            words = list(map(_spoken.__getitem__, _REMARK.findall(line.strip(" \t\r-/*#!"))))
             grams.update(words)
             grams.update(map(" ".join, zip(["^", *words], [*words, "$"])) if words else ())
     first = len(content) - len(content.lstrip())
@@ -159,14 +189,16 @@ def data_share(body: str) -> float:
     if not body.strip():
         return 0.0
     data, copying = 0, False
-    for part in _split(body):
+    low = body.lower()
+    copies, inserts = "copy" in low, "insert" in low or not body.isascii()
+    for part in _split(body, copies):
         if copying:
             data += len(part)
             copying = not part.rstrip().endswith("\\.")
-        elif _COPY.match(part.rstrip().rstrip(";")):
+        elif copies and _COPY.match(part.rstrip().rstrip(";")):
             data += len(part)
             copying = True
-        elif m := _ROWS.match(part):
+        elif inserts and (m := _ROWS.match(part)):
             rest = tokens(part[m.end() :])[1]
             names = sum(w == "I" for w in rest)
             data += len(part) if names <= 0.05 * len(rest) else 0
@@ -175,14 +207,15 @@ def data_share(body: str) -> float:
     return data / len(body)
 
 
-def _split(body: str) -> Iterator[str]:
-    """Statements, cut behind each semicolon outside strings; text after ``copy ... from stdin;`` up to ``\\.`` is one."""
+def _split(body: str, copies: bool = True) -> Iterator[str]:
+    """Statements, cut behind each semicolon outside strings; text after ``copy ... from stdin;`` up to ``\\.`` is one.
+    ``copies``: whether there may be such text."""
     at = 0
-    for m in re.finditer(r"'(?:[^']|'')*'|;", body):
+    for m in _ENDS.finditer(body):
         if m.start() < at or m.group() != ";":
             continue
         yield body[at : m.end()]
-        if _COPY.match(body[at : m.start()]):
+        if copies and _COPY.match(body[at : m.start()]):
             end = body.find("\n\\.", m.end())
             stop = len(body) if end < 0 else end + 3
             yield body[m.end() : stop]
@@ -193,64 +226,99 @@ def _split(body: str) -> Iterator[str]:
 
 
 def describe(content: str, repo: str | None) -> dict:
-    """What one file shows by itself, its signatures, and whether its names are those of its own repository."""
-    lines = [
-        x.strip().strip("*!").strip()
-        for c in _COMMENT.findall(content)
-        for x in re.sub(r"^\s*(?:--+|/\*+!?|#+)|\*+/$", "", c).split("\n")
-    ]
-    body = _COMMENT.sub(" ", content)
-    whole = _TOKEN.findall(body.lower())
-    plain, masked = _masked(whole)
-    b = shingles(masked)
-    no_strings = re.sub(r"'(?:[^']|'')*'", "''", body).strip()
-    signs = len(_SIGN.findall(no_strings))
+    """What one file shows by itself, its sets of hashes, signatures of those that are compared, and whether its names are
+    those of its own repository."""
+    comments = list(_COMMENT.finditer(content))
+    lines = [x.strip().strip("*!").strip() for c in comments for x in _FENCE.sub("", c.group()).split("\n")]
+    body = " ".join(map(content.__getitem__, map(slice, [0, *(c.end() for c in comments)], [*(c.start() for c in comments), None])))
+    low = body.lower()
+    whole = _TOKEN.findall(low)
+    plain = list(map(_plains.__getitem__, whole))
+    b = _runs(np.fromiter(map(_mask_hashes.__getitem__, whole), dtype=np.uint64, count=len(whole)))
     share = data_share(body)
-    names: dict[str, int] = {}
-    for p, n in Counter(plain).items():
-        first = p.split("_")[0]
-        if p[0].isalpha() and p not in KEYWORDS and len(first) > 3:
-            names[first] = names.get(first, 0) + n
-    most = max(names.values(), default=0)
-    own = most >= 3 and any(names.get(p) == most for p in (repo or "").lower().split("/"))
-    grams = shingles(whole)
-    said, edge = remarks(content)
+    script = share < DATA_SHARE
+    minified = False
+    if script:
+        no_strings = _STRING.sub("''", body).strip()
+        signs = sum(map(no_strings.count, ",;=<>"))
+        long = len(no_strings) >= DENSE_LINE * (no_strings.count("\n") + 1)
+        minified = long and signs >= DENSE_SIGNS and len(_TIGHT.findall(no_strings)) >= DENSE_SHARE * signs
+    own = False
+    if places := [p for p in (repo or "").lower().split("/") if p and p in low]:
+        names = Counter(map(_firsts.__getitem__, plain))
+        names.pop("", None)
+        most = max(names.values(), default=0)
+        own = most >= 3 and any(names.get(p) == most for p in places)
+    said, edge = remarks(content, comments)
+    regular = script and len(whole) >= FAMILY_TOKENS and len(b) <= FAMILY_RATIO * len(whole)
+    grams = shingles(whole) if script else None
     return {
-        "generated": any(_GENERATED.search(x) for x in lines),
-        "copied": any(_COPIED.search(x) for x in lines),
-        "minified": share < DATA_SHARE
-        and signs >= DENSE_SIGNS
-        and len(_TIGHT.findall(no_strings)) >= DENSE_SHARE * signs
-        and len(no_strings) >= DENSE_LINE * (no_strings.count("\n") + 1),
+        "generated": any(map(_GENERATED.search, lines)),
+        "copied": any(map(_COPIED.search, lines)),
+        "minified": minified,
         "data_share": round(share, 6),
         "own": own,
-        "script": share < DATA_SHARE,
-        "regular": share < DATA_SHARE and len(masked) >= FAMILY_TOKENS and len(b) <= FAMILY_RATIO * len(masked),
+        "script": script,
+        "regular": regular,
         "edge": edge,
         "talk": xxhash.xxh64_intdigest(repr((said, edge))) - (1 << 63) if said else None,
-        "said": said,
         "body": xxhash.xxh64_intdigest("\x1f".join(plain)) - (1 << 63),
         "whole": xxhash.xxh64_intdigest("\x1f".join(whole)) - (1 << 63),
-        "plain": signature(grams).tolist(),
-        "grams": (grams.astype(np.int64) - (1 << 31)).tolist(),
-        "masked": signature(b).tolist(),
-        "kinds": (b.astype(np.int64) - (1 << 31)).tolist(),
+        "shape": xxhash.xxh64_intdigest(b.tobytes()) - (1 << 63) if regular else None,
+        "said": said,
+        "grams": None if grams is None else grams.astype(np.uint32).view(np.int32),
+        "plain": signature(grams) if script else None,
+        "kinds": b.astype(np.uint32).view(np.int32),
+        "masked": signature(b) if regular else None,
     }
 
 
 _FLAGS = ("generated", "copied", "minified", "data_share", "own", "script", "regular", "edge", "talk", "body", "whole")
-_SETS = ("said", "plain", "grams", "masked", "kinds")
+_ARRAYS = {"said": pa.int64(), "grams": pa.int32(), "kinds": pa.int32(), "bands": pa.int64(), "sketch": pa.int64(), "masked_bands": pa.int64(), "masked_sketch": pa.int64()}
 _SCHEMA = (
     "generated boolean, copied boolean, minified boolean, data_share double, own boolean, script boolean, "
-    "regular boolean, edge boolean, talk long, body long, whole long, "
-    "said array<long>, plain array<long>, grams array<int>, masked array<long>, kinds array<int>"
+    "regular boolean, edge boolean, talk long, body long, whole long, shape long, said array<long>, grams array<int>, "
+    "kinds array<int>, bands array<long>, sketch array<long>, masked_bands array<long>, masked_sketch array<long>"
 )
+_KINDS = {"data_share": pa.float64()} | dict.fromkeys(("talk", "body", "whole", "shape"), pa.int64())
+
+
+def _of_batch(signatures: list[np.ndarray | None]) -> list[tuple]:
+    """``_banded`` of those that are not null."""
+    full = [x for x in signatures if x is not None]
+    found = iter(zip(*_banded(np.stack(full)))) if full else iter(())
+    return [(None, None) if x is None else next(found) for x in signatures]
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns of each batch but ``content``, and what ``describe`` says of the files. Sets stay arrays of numbers."""
+    for b in batches:
+        rows = [describe(c or "", r) for c, r in zip(b.column("content").to_pylist(), b.column("repo").to_pylist())]
+        out = {n: b.column(n) for n in b.schema.names if n != "content"}
+        for r, *pairs in zip(rows, *(_of_batch([r[n] for r in rows]) for n in ("plain", "masked"))):
+            (r["bands"], r["sketch"]), (r["masked_bands"], r["masked_sketch"]) = pairs
+        for n in (*_FLAGS, "shape"):
+            out[n] = pa.array([r[n] for r in rows], _KINDS.get(n, pa.bool_()))
+        for n, kind in _ARRAYS.items():
+            each = [r[n] for r in rows]
+            ends = np.cumsum([0, *(0 if x is None else len(x) for x in each)], dtype=np.int32)
+            full = [x for x in each if x is not None and len(x)]
+            values = pa.array(np.concatenate(full), kind) if full else pa.array([], kind)
+            out[n] = pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([x is None for x in each]))
+        yield pa.RecordBatch.from_pydict(out)
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _once(raw: DataFrame, by: str, *columns: str) -> DataFrame:
+    """``by, *columns`` of one row for each value of ``by``. The columns are not shuffled; rows that are left out are few."""
+    firsts = raw.where(F.col(by).isNotNull()).groupBy(by).agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = cut(raw.select(by, "row").join(firsts, by).where("row > first").select("row"))
+    return raw.where(F.col(by).isNotNull()).join(_small(again), "row", "left_anti").select(by, *columns)
+
+
 def _own_families(one: DataFrame, raw: DataFrame, components: DataFrame) -> DataFrame:
     """``body`` of the families of ``FAMILY_FILES`` files whose masked shingles hardly occur outside of all such groups,
     and of the scripts, long or short, that consist of the shingles of such families.
@@ -261,15 +329,17 @@ def _own_families(one: DataFrame, raw: DataFrame, components: DataFrame) -> Data
     """
     sizes = one.join(components, "body").groupBy("component").agg(F.count("*").alias("files")).where(F.col("files") >= FAMILY_FILES)
     groups = cut(components.join(sizes.select("component"), "component", "left_semi"))
-    kinds = raw.groupBy("body").agg(F.first("kinds").alias("kinds"), F.first("script").alias("script"))
-    kinds = cut(kinds.select("body", "script", F.explode("kinds").alias("kind")).join(groups, "body", "left"))
-    everywhere = kinds.groupBy("kind").agg(F.count("*").alias("n_all"), F.count("component").alias("n_groups"))
-    inside = kinds.where("component IS NOT NULL").groupBy("component", "kind").agg(F.count("*").alias("n"))
+    bodies = _once(raw, "body", "script", "kinds")
+    kinds = bodies.join(_small(groups), "body", "left").select("component", F.explode("kinds").alias("kind"))
+    everywhere = cut(kinds.groupBy("kind").agg(F.count("*").alias("n_all"), F.count("component").alias("n_groups")))
+    inside = bodies.join(_small(groups), "body").select("component", F.explode("kinds").alias("kind")).groupBy("component", "kind").agg(F.count("*").alias("n"))
+    inside = cut(inside)
     own = F.sum(F.when(2 * F.col("n_groups") >= F.col("n_all"), F.col("n")).otherwise(0)) / F.sum("n")
     good = cut(inside.join(everywhere, "kind").groupBy("component").agg(own.alias("own")).where(F.col("own") >= FAMILY_OWN).select("component"))
-    tool = kinds.join(good, "component", "left_semi").groupBy("kind").agg(F.count("*").alias("n_tool"))
-    theirs = everywhere.join(tool, "kind").where(2 * F.col("n_tool") >= F.col("n_all")).select("kind", F.lit(1).alias("theirs"))
-    scored = kinds.where("script").join(theirs, "kind", "left").groupBy("body").agg(F.count("theirs").alias("theirs"), F.count("*").alias("n"))
+    tool = inside.join(good, "component", "left_semi").groupBy("kind").agg(F.sum("n").alias("n_tool"))
+    theirs = cut(everywhere.join(tool, "kind").where(2 * F.col("n_tool") >= F.col("n_all")).select("kind"))
+    scored = bodies.where("script").select("body", F.size("kinds").alias("n"), F.explode("kinds").alias("kind")).join(_small(theirs), "kind")
+    scored = scored.groupBy("body", "n").agg(F.count("*").alias("theirs"))
     like = scored.where((F.col("theirs") >= FAMILY_LIKE * F.col("n")) & (F.col("theirs") >= FAMILY_KINDS)).select("body")
     return groups.join(good, "component", "left_semi").select("body").union(like).distinct()
 
@@ -278,22 +348,26 @@ def _copies(one: DataFrame, raw: DataFrame) -> DataFrame:
     """``whole, copy_of``: scripts that are alike, literals and names included, in two repositories or more, and not by
     chance.
 
-    All pairs of distinct token sequences are compared, however short. What many people write alike is told by its
-    shingles: they stand in other scripts too.
+    All distinct token sequences are compared, however short. What many people write alike is told by its shingles: they
+    stand in other scripts too. Only shingles that two files or more of such a group share are counted over the corpus.
     """
-    classes = cut(raw.where("script").groupBy("whole").agg(F.first("plain").alias("plain"), F.first("grams").alias("grams")))
-    alike = links(classes, "whole", "plain", "grams", BANDS, ROWS, SIMILAR)
-    found = components(classes.select(F.col("whole").alias("k")), alike).select(F.col("k").alias("whole"), F.col("component").alias("copy_of"))
-    placed = cut(one.where("script").select("whole", F.coalesce("repo", F.lit("")).alias("repo")).join(found, "whole"))
-    wide = placed.groupBy("copy_of").agg(F.count_distinct("repo").alias("repos")).where("repos >= 2").select("copy_of")
-    wide = cut(wide)
-    counted = placed.groupBy("whole", "copy_of").agg(F.count("*").alias("files")).join(classes.select("whole", "grams"), "whole")
-    by_gram = cut(counted.select("copy_of", "files", F.explode("grams").alias("gram")).groupBy("copy_of", "gram").agg(F.sum("files").alias("n")))
-    inside = by_gram.join(wide, "copy_of", "left_semi").where("n >= 2")
-    everywhere = by_gram.groupBy("gram").agg(F.sum("n").alias("n_all"))
+    scripts = raw.where("script")
+    found = clusters(scripts.select(F.col("whole").alias("k"), "bands", "sketch", "grams"), SKETCH_FAR, SIMILAR)
+    found = found.select(F.col("k").alias("whole"), F.col("component").alias("copy_of"))
+    files = cut(one.where("script").groupBy("whole").agg(F.count("*").alias("files"), F.min(F.coalesce("repo", F.lit(""))).alias("x"), F.max(F.coalesce("repo", F.lit(""))).alias("y")))
+    placed = files.join(_small(found), "whole", "left").withColumn("copy_of", F.coalesce("copy_of", "whole"))
+    wide = placed.groupBy("copy_of").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x < y").select("copy_of")
+    placed = cut(placed.join(wide, "copy_of", "left_semi").select("whole", "copy_of", "files"))
+    sets = _once(scripts, "whole", "grams")
+    inside = sets.join(_small(placed), "whole").select("copy_of", "files", F.explode("grams").alias("gram"))
+    inside = cut(inside.groupBy("copy_of", "gram").agg(F.sum("files").alias("n")).where("n >= 2"))
+    # A sequence counts for as many files as have it at their latest delivery, mostly one; the others are looked up.
+    odd = raw.where("script").select("whole").distinct().join(files, "whole", "left").select("whole", F.coalesce("files", F.lit(0)).alias("files")).where("files <> 1")
+    counted = sets.join(_small(cut(odd)), "whole", "left").select(F.coalesce("files", F.lit(1)).alias("files"), F.explode("grams").alias("gram"))
+    everywhere = counted.join(_small(cut(inside.select("gram").distinct())), "gram", "left_semi").groupBy("gram").agg(F.sum("files").alias("n_all"))
     rare = inside.join(everywhere, "gram").where(COPY_OUTSIDE * (F.col("n_all") - F.col("n")) <= F.col("n"))
     sure = rare.groupBy("copy_of").agg(F.count("*").alias("rare")).where(F.col("rare") >= COPY_RARE)
-    return found.join(sure.select("copy_of"), "copy_of", "left_semi")
+    return placed.join(sure.select("copy_of"), "copy_of", "left_semi").select("whole", "copy_of")
 
 
 def _banners(told: DataFrame, raw: DataFrame) -> DataFrame:
@@ -308,10 +382,10 @@ def _banners(told: DataFrame, raw: DataFrame) -> DataFrame:
     nodes = told.groupBy("talk", "edge", "seed").agg(F.count("*").alias("n")).withColumn("node", F.xxhash64("talk", "seed"))
     begin = F.when(F.col("seed"), 1.0).when(F.col("edge"), REMARK_EDGE).otherwise(REMARK_INSIDE)
     nodes = cut(nodes.select("node", "talk", "edge", "seed", "n", begin.alias("w"), F.lit(0).cast("long").alias("known")))
-    said = raw.where("talk IS NOT NULL").groupBy("talk").agg(F.first("said").alias("said"))
-    pairs = nodes.select("node", "talk", "n").join(said, "talk").select("node", "n", F.explode("said").alias("gram"))
-    often = pairs.groupBy("gram").agg(F.sum("n").alias("files")).where(F.col("files") >= REMARK_FILES).select("gram")
-    pairs = cut(pairs.join(_small(often), "gram").select("node", "gram"))
+    said = cut(nodes.select("node", "talk", "n").join(_once(raw, "talk", "said"), "talk").select("node", "n", "said"))
+    often = said.select("n", F.explode("said").alias("gram")).groupBy("gram").agg(F.sum("n").alias("files")).where(F.col("files") >= REMARK_FILES)
+    known = said.select("node", F.explode("said").alias("gram")).join(_small(cut(often.select("gram"))), "gram")
+    known = cut(known.groupBy("node").agg(F.collect_list("gram").alias("grams")))
     free = ~F.col("seed")
     share = lambda c: F.coalesce(F.sum(F.when(c, F.col("n") * F.col("w"))) / F.sum(F.when(c, F.col("n"))), F.lit(0.5))
     logit = lambda p: F.log(p / (1 - p))
@@ -320,9 +394,9 @@ def _banners(told: DataFrame, raw: DataFrame) -> DataFrame:
             F.coalesce(F.sum(F.col("n") * F.col("w")), F.lit(0.0)).alias("yes"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"),
             share(free & F.col("edge")).alias("edge"), share(free & ~F.col("edge")).alias("inside"),
         ).first()
-        of_all = pairs.join(nodes, "node").groupBy("gram").agg(F.sum(F.col("n") * F.col("w")).alias("y"), F.sum(F.col("n") * (1 - F.col("w"))).alias("x"))
+        of_all = known.join(nodes.select("node", "n", "w"), "node").select("n", "w", F.explode("grams").alias("gram")).groupBy("gram").agg(F.sum(F.col("n") * F.col("w")).alias("y"), F.sum(F.col("n") * (1 - F.col("w"))).alias("x"))
         odds = F.log((F.col("y") + 0.1) / (t["yes"] + 0.2)) - F.log((F.col("x") + 0.1) / (t["all"] - t["yes"] + 0.2))
-        heard = pairs.join(_small(cut(of_all.select("gram", odds.alias("odds")))), "gram")
+        heard = known.select("node", F.explode("grams").alias("gram")).join(_small(cut(of_all.select("gram", odds.alias("odds")))), "gram")
         heard = heard.groupBy("node").agg((F.sum("odds") / F.sqrt(F.count("*"))).alias("odds"), F.count("*").alias("known"))
         place = logit(F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.when(F.col("edge"), t["edge"]).otherwise(t["inside"]))))
         w = 1 / (1 + F.exp(-(place + F.coalesce("odds", F.lit(0.0)))))
@@ -346,24 +420,28 @@ def file_evidence(files: DataFrame) -> DataFrame:
     a null repository is no repository of its own.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [describe(c or "", r) for c, r in zip(b["content"], b["repo"])]
-            yield pd.DataFrame({"k": b["k"], "repo": b["repo"], **{n: [r[n] for r in rows] for n in (*_FLAGS, *_SETS)}})
-
+    spark = files.sparkSession
     kind, stamp = (files.schema[c].dataType.simpleString() for c in ("file_id", "loaded_at"))
-    raw = files.select(
-        F.struct("file_id", "loaded_at").alias("k"), F.col("max_stars_repo_name").alias("repo"), "content"
-    ).mapInPandas(run, f"k struct<file_id {kind}, loaded_at {stamp}>, repo string, {_SCHEMA}")
-    raw = cut(raw)
-    one = latest(raw.select("k.file_id", "k.loaded_at", "repo", *_FLAGS), "file_id", ["repo", *_FLAGS])
-    one = cut(one)
+    each = files.select("file_id", "loaded_at", F.col("max_stars_repo_name").alias("repo"), "content")
+    each = each.mapInArrow(_described, f"file_id {kind}, loaded_at {stamp}, repo string, {_SCHEMA}")
+    # As columns, so that each of the passes below reads only what it needs.
+    path = scratch(spark)
+    try:
+        each.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+        return _evidence(spark.read.parquet(path))
+    finally:
+        dropped(spark, path)
+
+
+def _evidence(raw: DataFrame) -> DataFrame:
+    """``file_evidence`` from the files as ``describe`` tells them; the result does not need ``raw`` any more."""
+    one = cut(latest(raw.select("file_id", "loaded_at", "repo", *_FLAGS), "file_id", ["repo", *_FLAGS]))
 
     # Regular files of one set of masked shingles are one node; a tool's files are often equal once names are masked.
-    shaped = cut(raw.where("regular").select("body", F.xxhash64("kinds").alias("shape"), "masked", "kinds"))
-    shapes = shaped.groupBy("shape").agg(F.first("masked").alias("masked"), F.first("kinds").alias("kinds"))
-    grouped = components(shapes.select(F.col("shape").alias("k")), links(shapes, "shape", "masked", "kinds", BANDS, ROWS, SIMILAR))
-    regular = shaped.select("body", "shape").distinct().join(grouped, F.col("shape") == F.col("k")).select("body", "component")
+    shaped = cut(raw.where("regular").select("body", "shape", "masked_bands", "masked_sketch", "kinds"))
+    grouped = clusters(shaped.select(F.col("shape").alias("k"), F.col("masked_bands").alias("bands"), F.col("masked_sketch").alias("sketch"), F.col("kinds").alias("grams")), SKETCH_FAR, SIMILAR)
+    regular = shaped.select("body", "shape").distinct().join(_small(grouped), F.col("shape") == F.col("k"), "left")
+    regular = regular.select("body", F.coalesce("component", "shape").alias("component"))
 
     copies = _copies(one, raw)
     families = cut(_own_families(one, raw, regular).withColumn("family", F.lit(True)))

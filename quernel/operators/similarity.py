@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,8 @@ SIMILAR = 0.8
 BLOCK = 256
 #: Buckets of more than two members that are broadcast; more of them are joined by a shuffle.
 BROADCAST_BUCKETS = 500_000
+#: Links of which ``clusters`` finds the components on the driver; more of them take rounds on the cluster.
+DRIVER_LINKS = 200_000
 _MASK = (1 << 32) - 1
 
 
@@ -154,6 +159,94 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return nodes.select("k").join(label, "k", "left").select("k", F.coalesce("component", "k").alias("component"))
 
 
+def _far(x: str, y: str) -> Column:
+    """In how many functions two sketches differ. A sketch is two planes of two words, a bit of each function in either."""
+    words = [F.col(x)[i].bitwiseXOR(F.col(y)[i]) for i in range(4)]
+    return F.bit_count(words[0].bitwiseOR(words[2])) + F.bit_count(words[1].bitwiseOR(words[3]))
+
+
+def clusters(nodes: DataFrame, most: int, similar: float = SIMILAR) -> DataFrame:
+    """``k, component`` of the nodes that are linked to any other: the connected components of the pairs that share a
+    band and whose sets have the Jaccard ``similar``. ``nodes`` has ``k, bands, sketch, grams``; a ``k`` that stands in
+    several rows has the same values in each.
+
+    Only components are wanted, so not all links are looked for. First all members of a bucket are compared with its
+    least; then, in blocks of ``BLOCK``, those that are not yet known to be of one component. Sizes tell most pairs that
+    can't be similar, and sketches those that differ in more than ``most`` functions; sets travel for the rest only.
+    """
+    left = nodes.select("k", F.explode("bands").alias("bucket"))
+    shared = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("head"), F.max("k").alias("last")).where("head < last")
+    shared = cut(shared.select("bucket", "head", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    met = left.join(_broadcast(shared, BROADCAST_BUCKETS), "bucket").distinct()
+    about = nodes.groupBy("k").agg(F.first("sketch").alias("s"), F.first(F.size("grams")).alias("size"))
+    met = cut(met.join(about, "k"))
+    close = (_far("s", "t") <= most) & (F.least("size", "size2") >= similar * F.greatest("size", "size2"))
+    names = {"k": "b", "s": "t", "size": "size2"}
+
+    heads = met.where("k = head").select("bucket", F.col("k").alias("a"), "s", "size")
+    stars = heads.join(met.where("k <> head").withColumnsRenamed(names), "bucket").where(close).select("a", "b")
+    links = _alike(stars, nodes, similar)
+
+    met = met.where("k <> head").join(_broadcast(_linked(links), BROADCAST_BUCKETS), "k", "left").withColumn("component", F.coalesce("component", "k"))
+    mixed = met.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+    met = cut(met.join(mixed, "bucket", "left_semi").withColumn("mine", F.pmod(F.xxhash64("k"), "blocks")))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    first = met.select(F.col("k").alias("a"), "s", "size", "component", "bucket", F.col("mine").alias("i"), others.alias("j"))
+    second = met.withColumnsRenamed(names | {"component": "other"}).select("b", "t", "size2", "other", "bucket", others.alias("i"), F.col("mine").alias("j"))
+    pairs = first.join(second, ["bucket", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & close)
+    return _linked(links.unionByName(_alike(pairs.select("a", "b"), nodes, similar)))
+
+
+def _broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which is at hand, broadcast if it has no more rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def _linked(links: DataFrame) -> DataFrame:
+    """``k, component`` of the ends of ``links``: the least node that each is linked to. At most ``DRIVER_LINKS`` links
+    reach the driver."""
+    some = links.limit(DRIVER_LINKS + 1).toArrow()
+    if some.num_rows > DRIVER_LINKS:
+        return cut(components(links.select(F.col("a").alias("k")).union(links.select("b")).distinct(), links))
+    least: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while (up := least.setdefault(k, k)) != k:
+            least[k] = k = least.setdefault(up, up)
+        return k
+
+    for a, b in zip(some["a"].to_pylist(), some["b"].to_pylist()):
+        low, high = sorted((root(a), root(b)))
+        least[high] = low
+    kind = some.schema.field("a").type
+    found = pa.table({"k": pa.array(least, kind), "component": pa.array(map(root, list(least)), kind)})
+    return links.sparkSession.createDataFrame(found)
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
+    """The distinct ``a, b`` of ``pairs`` whose sets have that Jaccard. Only the sets of their members are shuffled."""
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, keys = [], []
+            for side in ("x", "y"):
+                column = batch.column(side)
+                sizes.append(np.diff(column.offsets.to_numpy()))
+                values = column.flatten().to_numpy().view(np.uint32).astype(np.uint64)
+                keys.append(values | np.repeat(np.arange(len(column), dtype=np.uint64) << np.uint64(32), sizes[-1]))
+            merged = np.sort(np.concatenate(keys), kind="stable")
+            both = np.bincount((merged[1:][merged[1:] == merged[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(sizes[0]))
+            yield batch.select(["a", "b"]).filter(pa.array(both / (sizes[0] + sizes[1] - both) >= similar))
+
+    pairs = cut(pairs.distinct())
+    ends = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+    ends = F.broadcast(ends) if pairs.limit(BROADCAST_BUCKETS + 1).count() <= BROADCAST_BUCKETS else ends
+    sets = cut(nodes.select("k", "grams").join(ends, "k", "left_semi").groupBy("k").agg(F.first("grams").alias("g")))
+    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("g").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("g").alias("y")), "b")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return cut(both.select("a", "b", "x", "y").mapInArrow(judged, f"a {kind}, b {kind}"))
+
+
 def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, class_id, links, keep``: near-duplicate class of each row, its verified links, and whether it is kept.
 

@@ -49,6 +49,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{_shared(spark).rstrip('/')}/scratch-{uuid.uuid4()}"
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete ``path``, with what lies below it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation.
 

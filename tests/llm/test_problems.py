@@ -7,11 +7,15 @@ import random
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quernel import session
 from quernel.llm import cutoff, leakage, mixing, packing, prose, provenance, repetition, tokenizing, toxicity
+from quernel.operators import similarity
 
 T0 = dt.datetime(2025, 1, 1)
 T1 = dt.datetime(2025, 1, 2)
@@ -190,6 +194,73 @@ def test_variants_of_one_tool_and_its_short_files(spark):
     assert got == {0, 1, 2, 10, 11, 12, 20, 21, 22, 50}
 
 
+def test_components_without_all_pairs(spark, monkeypatch):
+    rng = random.Random(21)
+    sets = {}
+    for family in range(3):
+        base = rng.sample(range(1 << 32), 220)
+        for i in range(300 if family == 0 else 40):
+            sets[len(sets)] = rng.sample(base, 220 - rng.randint(0, 16)) + rng.sample(range(1 << 32), rng.randint(0, 8))
+        for i in range(30):  # not alike, though they share bands
+            sets[len(sets)] = rng.sample(base, 150) + rng.sample(range(1 << 32), 60)
+    chain = rng.sample(range(1 << 32), 400)
+    for i in range(12):
+        sets[len(sets)] = chain[15 * i : 15 * i + 200]
+    hashes = {k: np.unique(np.array(x, dtype=np.uint64)) for k, x in sets.items()}
+    bands, sketches = provenance._banded(np.stack([provenance.signature(x) for x in hashes.values()]))
+    buckets, up = defaultdict(list), {k: k for k in sets}
+    for k in sets:
+        for i, b in enumerate(bands[k]):
+            buckets[i, b].append(k)
+
+    def root(k):
+        return k if up[k] == k else root(up[k])
+
+    every = {(a, b) for x in buckets.values() for a in x for b in x if a < b}
+    for a, b in every:
+        if (n := len(set(sets[a]) & set(sets[b]))) / (len(sets[a]) + len(sets[b]) - n) >= 0.8:
+            low, high = sorted((root(a), root(b)))
+            up[high] = low
+    linked = {root(k) for k in sets if root(k) != k}
+    expected = {k: root(k) for k in sets if root(k) in linked}
+
+    rows = [(k, bands[k].tolist(), sketches[k].tolist(), x.astype(np.uint32).view(np.int32).tolist()) for k, x in hashes.items()]
+    nodes = spark.createDataFrame([*rows, rows[0], rows[5]], "k long, bands array<long>, sketch array<long>, grams array<int>")
+    compared, alike = [], similarity._alike
+
+    def counted(pairs, *rest):
+        compared.append(pairs.distinct().count())
+        return alike(pairs, *rest)
+
+    monkeypatch.setattr(similarity, "_alike", counted)
+    assert {r.k: r.component for r in similarity.clusters(nodes, provenance.SKETCH_FAR).collect()} == expected
+    assert len(every) > 45_000 and 5 * sum(compared) < len(every)
+    monkeypatch.setattr(similarity, "DRIVER_LINKS", 5)
+    assert {r.k: r.component for r in similarity.clusters(nodes, provenance.SKETCH_FAR).collect()} == expected
+
+
+def test_sketches_of_alike_sets_are_near():
+    rng = random.Random(22)
+    pairs = []
+    for n in (20, 200, 2000):
+        for _ in range(300):
+            x = rng.sample(range(1 << 32), n + n // 8)
+            pairs.append((x[:n], x[n // 8 :]))  # a Jaccard of 7 / 9 to 0.8
+    sides = [provenance._banded(np.stack([provenance.signature(np.array(p[i], dtype=np.uint64)) for p in pairs]))[1].view(np.uint64) for i in (0, 1)]
+    planes = sides[0] ^ sides[1]
+    far = [sum(int(w).bit_count() for w in row) for row in planes[:, :2] | planes[:, 2:]]
+    assert max(far) <= provenance.SKETCH_FAR and 18 < sum(far) / len(far) < 22
+
+
+def test_evidence_leaves_no_files(spark):
+    def kept():
+        return sorted(x.name for x in Path(session._shared(spark).removeprefix("file:")).glob("scratch-*"))
+
+    before = kept()
+    provenance.file_evidence(spark.createDataFrame([(1, HAND, "me/app", T0), (2, None, None, T0)], FILE)).collect()
+    assert kept() == before
+
+
 def test_banners_are_learnt_from_the_corpus(spark, monkeypatch):
     monkeypatch.setattr(provenance, "_GENERATED", re.compile("(?!)"))
     rng = random.Random(8)
